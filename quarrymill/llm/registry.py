@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, warc
+from . import bpe, fingerprints, langid, mixing, quality, warc
 from .common import table
 
 DOCS = "(SELECT doc_id, coalesce(text, '') AS text, lang, source FROM documents)"
@@ -17,6 +17,21 @@ def op2_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.beside_next(table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out().alias("held_out"))
+    net = langid.fit(docs.filter("not held_out"))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), net).drop("text")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = warc.write_archives(table(spark, sf_dir, "pages"))
     records = warc.resolve(warc.read_archives(spark, warc.dedup_archives(spark, raw)))
@@ -56,7 +71,10 @@ FROM q LEFT JOIN n USING (skey, nth)"""
 
 
 def queries() -> dict:
-    return {"op2_byte_pairs": op2_byte_pairs, "op6_warc": op6_warc, "op10_fair_mix": op10_fair_mix}
+    return {
+        "op2_byte_pairs": op2_byte_pairs, "op4_fingerprints": op4_fingerprints, "op6_warc": op6_warc, "op8_quality": op8_quality,
+        "op9_language": op9_language, "op10_fair_mix": op10_fair_mix,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
