@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, mixing, quality, warc
+from . import bpe, fingerprints, langid, licenses, mixing, quality, warc
 from .common import table
 
 DOCS = "(SELECT doc_id, coalesce(text, '') AS text, lang, source FROM documents)"
@@ -21,6 +21,30 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.beside_next(table(spark, sf_dir, "documents"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def _op7_sql() -> str:
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+".replace("\\\\", "\\")
+    places = " || ".join(
+        "list_filter(range(len(w)), lambda i: " + " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p.split())) + ")" for p in licenses.PHRASES
+    )
+    base = ", ".join(f"CASE WHEN len(list_filter(range(len(w)), lambda i: {' AND '.join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p.split()))})) > 0 THEN '{label}' END" for p, label in licenses.PHRASES.items())
+    sets = ", ".join(f"('{label}', {sorted(set(t.split()))}, {licenses._need(len(set(t.split())), licenses.THRESHOLD)})" for t, label in licenses.TEMPLATES.items())
+    return f"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '{word}') AS w FROM d),
+b AS (SELECT doc_id, len(w)::BIGINT AS n_words, {places} AS s, list_filter([{base}], lambda x: x IS NOT NULL) AS base FROM w),
+l AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{word}')) AS terms FROM d),
+m AS (SELECT doc_id, label, len(list_intersect(terms, words)) / len(words) AS c FROM l, (VALUES {sets}) v(label, words, need) WHERE len(list_intersect(terms, words)) >= need),
+g AS (SELECT doc_id, list(DISTINCT label) AS more, max(c) AS c FROM m GROUP BY 1)
+SELECT doc_id, n_words, len(s)::BIGINT AS n_base, list_min(s)::BIGINT AS first_word, list_max(s)::BIGINT AS last_word,
+  array_to_string(list_sort(base), ',') AS base_labels, coalesce(array_to_string(list_sort(list_distinct(base || coalesce(more, []))), ','), '') AS labels,
+  CASE WHEN len(s) > 0 THEN 1.0 ELSE coalesce(c, 0) END::DOUBLE AS score
+FROM b LEFT JOIN g USING (doc_id)"""
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
@@ -72,10 +96,10 @@ FROM q LEFT JOIN n USING (skey, nth)"""
 
 def queries() -> dict:
     return {
-        "op2_byte_pairs": op2_byte_pairs, "op4_fingerprints": op4_fingerprints, "op6_warc": op6_warc, "op8_quality": op8_quality,
-        "op9_language": op9_language, "op10_fair_mix": op10_fair_mix,
+        "op2_byte_pairs": op2_byte_pairs, "op4_fingerprints": op4_fingerprints, "op6_warc": op6_warc, "op7_licenses": op7_licenses,
+        "op8_quality": op8_quality, "op9_language": op9_language, "op10_fair_mix": op10_fair_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6_SQL, "op10_fair_mix": OP10_SQL}
+    return {"op6_warc": OP6_SQL, "op7_licenses": _op7_sql(), "op10_fair_mix": OP10_SQL}
