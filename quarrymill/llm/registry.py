@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, licenses, mixing, quality, warc
+from . import bpe, fingerprints, langid, licenses, linededup, mixing, quality, warc
 from .common import table
 
 DOCS = "(SELECT doc_id, coalesce(text, '') AS text, lang, source FROM documents)"
@@ -56,6 +56,30 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), net).drop("text")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_deleted", F.length("text").cast("long").alias("n_chars"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
+def line_dedup_sql(docs: str, words: int = linededup.LEAST_WORDS) -> str:
+    """CTEs that end in ``dedup`` (doc_id, text, n_lines, n_deleted) of the CTE or table ``docs``; ids are unique there."""
+    return f"""
+ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM {docs}),
+lw AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))::BIGINT AS n, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM ln),
+lr AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS e FROM lw WHERE n > 0),
+wn AS (SELECT doc_id, sum(n) OVER a AS words, min(pos) OVER a AS first, max(pos) OVER a AS last, array_to_string(list(bare) OVER a, chr(10)) AS key FROM (SELECT *, e - n AS s FROM lr) WINDOW a AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND {words - 1} FOLLOWING)
+  UNION ALL SELECT doc_id, sum(n) OVER b, min(pos) OVER b, max(pos) OVER b, array_to_string(list(bare) OVER b, chr(10)) FROM lr WINDOW b AS (PARTITION BY doc_id ORDER BY e RANGE BETWEEN {words - 1} PRECEDING AND CURRENT ROW)),
+wf AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, first) AS nth, min((doc_id, first)) OVER (PARTITION BY key) AS kept FROM wn WHERE words >= {words}),
+gone AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS pos FROM wf WHERE (doc_id, first) > kept),
+dedup AS (SELECT d.doc_id, CASE WHEN g.doc_id IS NULL THEN d.text ELSE coalesce(k.text, '') END AS text, len(string_split(d.text, chr(10)))::INT AS n_lines, coalesce(g.n, 0)::INT AS n_deleted
+  FROM {docs} d LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone JOIN lr USING (doc_id, pos) GROUP BY 1) g USING (doc_id)
+  LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM ln WHERE (doc_id, pos) NOT IN (SELECT (doc_id, pos) FROM gone JOIN lr USING (doc_id, pos)) GROUP BY 1) k USING (doc_id))"""
+
+
+OP5_SQL = f"""WITH {line_dedup_sql('documents')}
+SELECT doc_id, n_lines, n_deleted, length(text)::BIGINT AS n_chars, md5(text) AS text_md5 FROM dedup"""
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = warc.write_archives(table(spark, sf_dir, "pages"))
     records = warc.resolve(warc.read_archives(spark, warc.dedup_archives(spark, raw)))
@@ -96,10 +120,10 @@ FROM q LEFT JOIN n USING (skey, nth)"""
 
 def queries() -> dict:
     return {
-        "op2_byte_pairs": op2_byte_pairs, "op4_fingerprints": op4_fingerprints, "op6_warc": op6_warc, "op7_licenses": op7_licenses,
+        "op2_byte_pairs": op2_byte_pairs, "op4_fingerprints": op4_fingerprints, "op5_line_dedup": op5_line_dedup, "op6_warc": op6_warc, "op7_licenses": op7_licenses,
         "op8_quality": op8_quality, "op9_language": op9_language, "op10_fair_mix": op10_fair_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6_SQL, "op7_licenses": _op7_sql(), "op10_fair_mix": OP10_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op7_licenses": _op7_sql(), "op10_fair_mix": OP10_SQL}
