@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, licenses, linededup, mixing, quality, warc
+from . import bpe, fingerprints, langid, licenses, linededup, mixing, ngramjoin, quality, warc
 from .common import table
 
 DOCS = "(SELECT doc_id, coalesce(text, '') AS text, lang, source FROM documents)"
@@ -17,6 +17,10 @@ def op2_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.similar_classes(table(spark, sf_dir, "documents"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.beside_next(table(spark, sf_dir, "documents"))
 
@@ -120,7 +124,7 @@ FROM q LEFT JOIN n USING (skey, nth)"""
 
 def queries() -> dict:
     return {
-        "op2_byte_pairs": op2_byte_pairs, "op4_fingerprints": op4_fingerprints, "op5_line_dedup": op5_line_dedup, "op6_warc": op6_warc, "op7_licenses": op7_licenses,
+        "op2_byte_pairs": op2_byte_pairs, "op3_ngram_join": op3_ngram_join, "op4_fingerprints": op4_fingerprints, "op5_line_dedup": op5_line_dedup, "op6_warc": op6_warc, "op7_licenses": op7_licenses,
         "op8_quality": op8_quality, "op9_language": op9_language, "op10_fair_mix": op10_fair_mix,
     }
 
