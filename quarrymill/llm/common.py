@@ -56,3 +56,17 @@ def let(value: Column, body) -> Column:
 def text_of(df: DataFrame, col: str = "text") -> Column:
     """The text, null as the empty string."""
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def arrow_groups(batches, by, cols):
+    """Runs of rows with equal values of ``by``, as lists of tuples of ``cols``."""
+    now, held = None, []
+    for batch in batches:
+        for at, row in zip(zip(*[batch.column(c).to_pylist() for c in by], strict=True), zip(*[batch.column(c).to_pylist() for c in cols], strict=True), strict=True):
+            if at != now:
+                if held:
+                    yield now, held
+                now, held = at, []
+            held.append(row)
+    if held:
+        yield now, held

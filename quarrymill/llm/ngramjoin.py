@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import arrow_groups, text_of, written
 from .components import components
 from .shingles import MinHash, shingle_set
 
@@ -110,20 +110,6 @@ def in_blocks(members: DataFrame, group: str, n: Column) -> DataFrame:
     return rows.repartition(group, "lo", "hi").sortWithinPartitions(group, "lo", "hi", "key")
 
 
-def _groups(batches, by, cols):
-    """Runs of rows with equal values of ``by``, as lists of tuples of ``cols``."""
-    now, held = None, []
-    for batch in batches:
-        for at, row in zip(zip(*[batch.column(c).to_pylist() for c in by], strict=True), zip(*[batch.column(c).to_pylist() for c in cols], strict=True), strict=True):
-            if at != now:
-                if held:
-                    yield now, held
-                now, held = at, []
-            held.append(row)
-    if held:
-        yield now, held
-
-
 def _halves(rows, side):
     """Row numbers of the two blocks; both are all rows if the group is one block with itself."""
     sides = np.array([r[side] for r in rows])
@@ -148,7 +134,7 @@ def candidates(classes: DataFrame, threshold: float, tolerance: float) -> DataFr
 
     def run(batches):
         out = []
-        for _, rows in _groups(batches, ("bucket", "lo", "hi"), ("key", "sig", "side")):
+        for _, rows in arrow_groups(batches, ("bucket", "lo", "hi"), ("key", "sig", "side")):
             sigs = np.frombuffer(b"".join(r[1] for r in rows), "<u2").reshape(len(rows), -1)
             low = forest(len(rows), *_pairs(sigs, rows, 2, plan))
             out += [(rows[i][0], rows[k][0]) for i, k in enumerate(low) if k != i]
@@ -169,7 +155,7 @@ def verified(members: DataFrame, threshold: float, tolerance: float) -> DataFram
     hashes = MinHash(BANDS * ROWS, seed=3)
 
     def run(batches):
-        for _, rows in _groups(_sets(batches), ("comp", "lo", "hi"), ("key", "copies", "side", "set")):
+        for _, rows in arrow_groups(_sets(batches), ("comp", "lo", "hi"), ("key", "copies", "side", "set")):
             rows = [r for k, r in enumerate(rows) if not k or r[0] != rows[k - 1][0]]
             sets = [np.frombuffer(r[3], np.uint64) for r in rows]
             sigs = np.stack([hashes.signature(s).astype("<u2") for s in sets])

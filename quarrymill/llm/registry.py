@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, licenses, linededup, mixing, ngramjoin, quality, warc
+from . import bpe, fingerprints, langid, licenses, linededup, lmscore, mixing, ngramjoin, quality, warc
 from .common import table
 
 DOCS = "(SELECT doc_id, coalesce(text, '') AS text, lang, source FROM documents)"
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", lmscore.held_out().alias("held_out"))
+    return lmscore.score(docs.withColumn("learn", ~F.col("held_out")), ("doc_id", "held_out"))
+
+
 def op2_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -124,7 +129,7 @@ FROM q LEFT JOIN n USING (skey, nth)"""
 
 def queries() -> dict:
     return {
-        "op2_byte_pairs": op2_byte_pairs, "op3_ngram_join": op3_ngram_join, "op4_fingerprints": op4_fingerprints, "op5_line_dedup": op5_line_dedup, "op6_warc": op6_warc, "op7_licenses": op7_licenses,
+        "op1_lm_score": op1_lm_score, "op2_byte_pairs": op2_byte_pairs, "op3_ngram_join": op3_ngram_join, "op4_fingerprints": op4_fingerprints, "op5_line_dedup": op5_line_dedup, "op6_warc": op6_warc, "op7_licenses": op7_licenses,
         "op8_quality": op8_quality, "op9_language": op9_language, "op10_fair_mix": op10_fair_mix,
     }
 
