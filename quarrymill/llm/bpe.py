@@ -168,7 +168,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
 
     @F.pandas_udf("binary")
     def back(col):
-        return col.map(lambda x: None if x is None else coder(path).decode(x.tolist()))
+        return col.map(lambda x: None if x is None else coder(path).decode(list(x)))
 
     return docs.withColumn(out, back(F.col(ids)))
 
