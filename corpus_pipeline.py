@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm import bpe, langid, linededup, mixing, ngramjoin
-from quarrymill.llm.common import written
+from quarrymill.llm.common import WORD, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A language verdict of less than this probability is no verdict.
@@ -31,8 +31,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the runs of lines that an earlier document or place has."""
-    return _with_chars(linededup.dedup_lines(docs.select(*COLUMNS)))
+    """Documents without the runs of lines that an earlier document or place has; those of which no word is left go."""
+    kept = linededup.dedup_lines(docs.select(*COLUMNS))
+    return _with_chars(kept.filter((F.col("n_deleted") == 0) | F.col("text").rlike(WORD)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
