@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import listing_queries
+
+FAMILIES = [listing_queries.R]
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for r in FAMILIES for name, f in r.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for r in FAMILIES for name, sql in r.sql.items()}
