@@ -19,6 +19,11 @@ def any_word(words: list[str]) -> str:
     return "|".join(re.escape(w) for w in words)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def first_of(cases: list[tuple[Column, Column]], otherwise: Column | None = None) -> Column:
     """The value of the first condition that holds."""
     if not cases:
@@ -37,17 +42,24 @@ def taipei_iso(value: Column, end_of_day: bool = False) -> Column:
 
     Times without offset are Taipei's. ``end_of_day`` turns midnight into the day's last second, as written in the source.
     """
+    zoned_end = r"T?\d\d:\d\d(:\d\d(\.\d+)?)?[+-]\d\d:?\d\d$"
+
+    def shift(local: Column, s: Column) -> Column:
+        zone = F.regexp_extract(s, r"([+-]\d\d:?\d\d)$", 1)
+        sign = F.when(F.substring(zone, 1, 1) == "-", -1).otherwise(1)
+        off = sign * (F.substring(zone, 2, 2).cast("int") * 60 + F.substring(zone, -2, 2).cast("int"))
+        at = F.when(s.rlike(zoned_end), F.timestamp_seconds(F.unix_timestamp(local) + (480 - off) * 60)).otherwise(local)
+        return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(TAIPEI))
+
+    def read(s: Column) -> Column:
+        bare = F.regexp_replace(F.when(s.rlike(zoned_end), F.regexp_replace(s, r"[+-]\d\d:?\d\d$", "")).otherwise(s), r"(:\d\d)\.\d+$", "$1")
+        local = let(bare, lambda x: F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in DATE_FORMATS]))
+        if end_of_day:
+            local = let(local, lambda t: F.when(F.date_format(t, "HH:mm:ss") == "00:00:00", F.timestamp_seconds(F.unix_timestamp(t) + 86399)).otherwise(t))
+        return let(local, lambda t: shift(t, s))
+
     s = F.regexp_replace(F.trim(value), "Z", "+00:00")
-    zone = F.regexp_extract(s, r"([+-]\d\d:?\d\d)$", 1)
-    zoned = s.rlike(r"T?\d\d:\d\d(:\d\d(\.\d+)?)?[+-]\d\d:?\d\d$")
-    bare = F.regexp_replace(F.when(zoned, F.regexp_replace(s, r"[+-]\d\d:?\d\d$", "")).otherwise(s), r"(:\d\d)\.\d+$", "$1")
-    local = F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in DATE_FORMATS])
-    if end_of_day:
-        local = F.when(F.date_format(local, "HH:mm:ss") == "00:00:00", F.date_trunc("day", local) + F.expr("INTERVAL '23:59:59' HOUR TO SECOND")).otherwise(local)
-    sign = F.when(F.substring(zone, 1, 1) == "-", -1).otherwise(1)
-    off = sign * (F.substring(zone, 2, 2).cast("int") * 60 + F.substring(zone, -2, 2).cast("int"))
-    shifted = F.when(zoned, F.timestamp_seconds(F.unix_timestamp(local) + (480 - off) * 60)).otherwise(local)
-    return F.when(s != "", F.concat(F.date_format(shifted, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(TAIPEI)))
+    return F.when(F.trim(value) != "", let(s, read))
 
 
 def classify(title: Column, *texts: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import listing_queries
+from . import listing_queries, text_queries
 
-FAMILIES = [listing_queries.R]
+FAMILIES = [listing_queries.R, text_queries.R]
 
 
 def queries() -> dict:
