@@ -28,12 +28,13 @@ from pyspark.sql import functions as F
 from .common import arrow_groups, text_of, written
 
 #: Slots of a predictor's table and of the blocks in which tables travel; tokens broadcast; tokens held while counting.
-SLOTS, PART, HEAD, HELD = 1 << 22, 1 << 15, 300_000, 400_000
+SLOTS, PART, HEAD, HELD = 1 << 22, 1 << 15, 300_000, 150_000
 #: First weights of order 2, order 4 and word, for each gate; the gradient step; the count added to each side of a decision.
 WEIGHTS = ((0.9, 0.1, 0.1), (0.15, 0.8, 0.1), (0.6, 0.1, 0.5), (0.1, 0.45, 0.5))
 STEP, PRIOR = 3.0, 0.2
-#: Bytes of the first block of a text and of the longest; bytes of the texts that are coded together.
-FIRST, LONGEST, TOGETHER = 64, 1 << 15, 1 << 17
+#: Bytes of the first block of a text and of the longest; bytes of the texts that are coded, and counted, together; texts
+#: that are taken out of an Arrow batch at a time; logits are held in this part of one.
+FIRST, LONGEST, TOGETHER, COUNTED, TAKEN, FINE = 64, 1 << 15, 1 << 17, 1 << 20, 256, 1024
 PAD = b"\0\0\0\0"
 GATES, ORDERS = len(WEIGHTS), len(WEIGHTS[0])
 PHI = np.uint32(0x9E3779B1)
@@ -71,15 +72,14 @@ class Trees:
                 nodes += [n for n, _ in path]
                 bits += [b for _, b in path]
         self.length = np.array(lengths, np.int32)
-        self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]]).astype(np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]]).astype(np.int32)
         self.node, self.sign = np.array(nodes, np.uint8), (np.array(bits, np.int8) * 2 - 1).astype(np.int8)
 
     def paths(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(decisions of each pair, places of these decisions in node and sign)."""
         n = self.length[pair]
-        ends = np.cumsum(n)
-        at = np.repeat(self.start[pair] - (ends - n), n)
-        at += np.arange(len(at))
+        at = np.repeat(self.start[pair] - (np.cumsum(n, dtype=np.int32) - n), n)
+        at += np.arange(len(at), dtype=np.int32)
         return n, at
 
 
@@ -143,30 +143,35 @@ def _tokens(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+def _texts(batch):
+    """The texts of a batch, a few at a time."""
+    for i in range(0, batch.num_rows, TAKEN):
+        yield batch.slice(i, TAKEN)
+
+
 def _count_tokens(batches):
     """Rows (token, train, total) with counts of this task, and rows without token that hold its byte pairs."""
-    train, total = Counter(), Counter()
+    learnt, other = Counter(), Counter()
     pairs = np.zeros(65536, np.int64)
 
-    def rows():
-        keys = list(total)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([train[k] for k in keys], pa.int64()), pa.array(total.values(), pa.int64()), pa.nulls(len(keys), pa.int32())], names=["token", "train", "total", "pair"])
+    def rows(counts, is_learnt):
+        keys, n = list(counts), pa.array(counts.values(), pa.int64())
+        counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), n if is_learnt else pa.array(np.zeros(len(keys), np.int64)), n, pa.nulls(len(keys), pa.int32())], names=["token", "train", "total", "pair"])
 
     for batch in batches:
-        for text, learn in zip(batch.column("text").to_pylist(), batch.column("learn").to_pylist(), strict=True):
-            words = _tokens(text)
-            total.update(words)
-            if learn:
-                train.update(words)
-        for texts in batches_of(batch.filter(batch.column("learn")).column("text").to_pylist()):
-            data, at, _ = lay_out(texts)
-            pairs += np.bincount((data[at - 1].astype(np.int64) << 8) | data[at], minlength=65536)
-        if len(total) > HELD:
-            yield rows()
-            train.clear()
-            total.clear()
-    if total:
-        yield rows()
+        for part in _texts(batch):
+            for text, learn in zip(part.column("text").to_pylist(), part.column("learn").to_pylist(), strict=True):
+                (learnt if learn else other).update(_tokens(text))
+            for texts in batches_of(part.filter(part.column("learn")).column("text").to_pylist(), COUNTED):
+                data, at, _ = lay_out(texts)
+                pairs += np.bincount((data[at - 1].astype(np.int64) << 8) | data[at], minlength=65536)
+            for counts in (learnt, other):
+                if len(counts) > HELD:
+                    yield rows(counts, counts is learnt)
+    for counts in (learnt, other):
+        if counts:
+            yield rows(counts, counts is learnt)
     some = np.flatnonzero(pairs)
     if len(some):
         yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.binary()), pa.array(pairs[some]), pa.array(pairs[some]), pa.array(some.astype(np.int32))], names=["token", "train", "total", "pair"])
@@ -203,15 +208,8 @@ def _count_decisions(trees: Trees):
                 slot = (np.repeat(slots(key), n) + trees.node[places]) & (SLOTS - 1)
                 np.add.at(table, slot * 2 + (trees.sign[places] > 0), np.repeat(times, n))
 
-        held, size = [], 0
-        for batch in batches:
-            for x in batch.column("text").to_pylist():
-                held.append(x.encode())
-                size += len(held[-1])
-                if size > 1 << 21:
-                    learn(held)
-                    held, size = [], 0
-        if held:
+        texts = (x for batch in batches for part in _texts(batch) for x in part.column("text").to_pylist())
+        for held in batches_of(texts, COUNTED):
             learn(held)
         task = TaskContext.get().partitionId()
         step = PART * 2
@@ -226,7 +224,7 @@ def _count_decisions(trees: Trees):
 
 
 def _sum_parts(last: bool):
-    """Sums the counts of each group of (part, task); ``last``: into logits, as half floats."""
+    """Sums the counts of each group of (part, task); ``last``: into logits, as 16-bit numbers of FINE to one."""
 
     def run(batches):
         for (part, task), rows in arrow_groups(batches, ("part", "task"), ("counts",)):
@@ -235,7 +233,7 @@ def _sum_parts(last: bool):
                 _add(counts, packed)
             if last:
                 two = counts.reshape(-1, 2).astype(np.float64) + PRIOR
-                out = np.log(two[:, 1] / two[:, 0]).astype(np.float16).tobytes()
+                out = np.rint(np.log(two[:, 1] / two[:, 0]) * FINE).astype(np.int16).tobytes()
             else:
                 out = _pack(counts)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([task], pa.int32()), pa.array([out], pa.binary())], names=["part", "task", "counts"])
@@ -278,7 +276,8 @@ class Model:
         n, places = self.trees.paths(keys[0] & np.uint32(0xFFFF))
         node, sign = self.trees.node[places].astype(np.int32), self.trees.sign[places]
         first = np.cumsum(n) - n
-        own = weights[lane]
+        begins = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+        own = np.ascontiguousarray((weights[lane] / FINE).T)
         z, inputs = None, []
         for k, (key, table) in enumerate(zip(keys, self.tables, strict=True)):
             slot = np.repeat(slots(key), n)
@@ -286,23 +285,23 @@ class Model:
             slot &= SLOTS - 1
             x = table.take(slot)
             x *= sign
+            x = x.astype(np.float32)
             inputs.append(x)
-            part = np.repeat(own[:, k], n)
+            part = np.repeat(own[k], n)
             part *= x
             z = part if z is None else np.add(z, part, out=z)
         np.negative(z, out=z)
         np.minimum(z, 60, out=z)
         e = np.exp(z, out=z)
         one = e + np.float32(1)
-        cost = np.add.reduceat(np.log(one), first)
-        total += np.bincount(text, cost, len(total))
+        total[text[begins]] += np.add.reduceat(np.log(one), first[begins])
         e /= one
         seen = np.bincount(lane, n, len(weights))
         some = np.flatnonzero(seen)
         for k, x in enumerate(inputs):
             x *= e
             slope = np.bincount(lane, np.add.reduceat(x, first), len(weights))
-            weights[some, k] += (STEP * slope[some] / (seen[some] + 200)).astype(np.float32)
+            weights[some, k] += (STEP / FINE * slope[some] / (seen[some] + 200)).astype(np.float32)
         np.clip(weights, 0, 2, out=weights)
 
 
@@ -312,7 +311,7 @@ class Model:
 def train(docs: DataFrame) -> tuple[Model, DataFrame, dict]:
     """Model, vocabulary (token, train, total) and totals (tokens, kinds, texts) of ``docs`` (text, learn boolean).
 
-    The tables have a fixed size: 3 of SLOTS half floats reach the driver, and 65,536 byte-pair counts.
+    The tables have a fixed size: 3 of SLOTS 16-bit numbers reach the driver, and 65,536 byte-pair counts.
     """
     rows = docs.select(text_of(docs).alias("text"), "learn")
     counted = rows.mapInArrow(_count_tokens, "token binary, train long, total long, pair int")
@@ -334,10 +333,10 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame, dict]:
     parts = parts.withColumn("task", F.pmod("task", F.lit(some)).cast("int"))
     parts = parts.repartition("part", "task").sortWithinPartitions("part", "task").mapInArrow(_sum_parts(False), schema)
     parts = parts.withColumn("task", F.lit(0)).repartition("part").sortWithinPartitions("part").mapInArrow(_sum_parts(True), schema)
-    tables = [np.zeros(SLOTS, np.float16) for _ in range(ORDERS)]
+    tables = [np.zeros(SLOTS, np.int16) for _ in range(ORDERS)]
     for r in parts.select("part", "counts").toLocalIterator():
         order, i = divmod(r["part"], SLOTS // PART)
-        tables[order][i * PART : (i + 1) * PART] = np.frombuffer(r["counts"], np.float16)
+        tables[order][i * PART : (i + 1) * PART] = np.frombuffer(r["counts"], np.int16)
     return Model(trees, tables), vocabulary, totals
 
 
@@ -372,28 +371,27 @@ def score(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), most_head: int =
 
     def run(batches):
         model, head, norm, end = shared.value
-        if not isinstance(model.tables[0], np.ndarray) or model.tables[0].dtype != np.float32:
-            model.tables = [t.astype(np.float32) for t in model.tables]
         logs = {}
-        for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            costs = np.concatenate([model.costs(part) for part in batches_of(texts)]) if texts else np.zeros(0)
-            out = []
-            for text in texts:
-                words = _tokens(text)
-                counts = [head.get(w, -1) for w in words]
-                base, known = 0.0, 1 if ends else 0
-                for c, times in Counter(counts).items():
-                    if c >= 0:
-                        if c not in logs:
-                            logs[c] = math.log10(c + 1)
-                        base += logs[c] * times
-                        known += times if c else 0
-                out.append((len(words) + 1, known, base + end - norm * (len(words) + 1), [w for w, c in zip(words, counts, strict=True) if c < 0]))
-            cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
-            new = [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary())), strict=True)]
-            new += [pa.array(-costs / math.log(10)), pa.array([len(x.encode()) for x in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *new], names=[*keep, "n_tokens", "known", "base", "rare", "score", "n_bytes"])
+        for whole in batches:
+            for batch in _texts(whole):
+                texts = batch.column("_text").to_pylist()
+                costs = np.concatenate([model.costs(part) for part in batches_of(texts)]) if texts else np.zeros(0)
+                out = []
+                for text in texts:
+                    words = _tokens(text)
+                    counts = [head.get(w, -1) for w in words]
+                    base, known = 0.0, 1 if ends else 0
+                    for c, times in Counter(counts).items():
+                        if c >= 0:
+                            if c not in logs:
+                                logs[c] = math.log10(c + 1)
+                            base += logs[c] * times
+                            known += times if c else 0
+                    out.append((len(words) + 1, known, base + end - norm * (len(words) + 1), [w for w, c in zip(words, counts, strict=True) if c < 0]))
+                cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
+                new = [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary())), strict=True)]
+                new += [pa.array(-costs / math.log(10)), pa.array([len(x.encode()) for x in texts], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *new], names=[*keep, "n_tokens", "known", "base", "rare", "score", "n_bytes"])
 
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "n_tokens long, known long, base double, rare array<binary>, score double, n_bytes long"])
     scored = docs.select(*keep, text_of(docs).alias("_text")).mapInArrow(run, schema)
