@@ -7,7 +7,6 @@ import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import normalize as N
 from ..functions import rules
@@ -101,9 +100,9 @@ def _trimmed(c: str) -> Column:
 
 
 #: The fields of each source's rows, as they are spelt there.
-TOURISM = T.StructType.fromDDL("id string, title string, description string, begin string, end string, url string, distric string, address string, organizer string, co_rganizer string, ticket string, is_major boolean, links array<struct<src:string>>")
-TRENDY = T.StructType.fromDDL("id string, title string, categoryName string, location string, startDate string, endDate string, content string, departmentName string, officeName string")
-TALENT = T.StructType.fromDDL("slug string, title struct<en:string,zh:string>, contents struct<en:string,zh:string>, date string, start_time string, end_time string, location struct<en:string,zh:string>, format string, fee string, organiser struct<en:string>")
+TOURISM = "struct<id:string,title:string,description:string,begin:string,end:string,url:string,distric:string,address:string,organizer:string,co_rganizer:string,ticket:string,is_major:boolean,links:array<struct<src:string>>>"
+TRENDY = "struct<id:string,title:string,categoryName:string,location:string,startDate:string,endDate:string,content:string,departmentName:string,officeName:string>"
+TALENT = "struct<slug:string,title:struct<en:string,zh:string>,contents:struct<en:string,zh:string>,date:string,start_time:string,end_time:string,location:struct<en:string,zh:string>,format:string,fee:string,organiser:struct<en:string>>"
 TRENDY_TYPES = {"演唱會經濟": "music", "城市行動": "festival", "產業趨勢": "talk"}
 TOURISM_PAGE = "https://www.travel.taipei/en/event-calendar"
 
@@ -243,3 +242,44 @@ def apply_details(listings: DataFrame, details: DataFrame, keep_unknown: bool =
     rows = rows.withColumn("address", F.when(exact, F.col("d_address")).otherwise(F.col("address"))).withColumn("moved", F.when(F.col("_moved"), F.col("why"))).withColumn("city", F.col("_city"))
     keep = F.col("city").isin(rules.HOME_CITIES) if not keep_unknown else F.coalesce(F.col("city").isin(rules.HOME_CITIES), F.lit(True))
     return rows.filter(keep).drop("_city", "_moved", "fields", "d_city", "d_address", "why")
+
+
+# ---- bilingual article payloads
+
+
+ARTICLE = "struct<title:struct<en:string,zh:string>,contents:struct<en:string,zh:string>,updated_time:string>"
+FAQ = "struct<title:struct<en:string,zh:string>,slug:string,contents:array<struct<sequence_no:int,title:struct<en:string,zh:string>,contents:struct<en:string,zh:string>>>>"
+
+
+def _fragment(c: Column) -> Column:
+    from ..operators.documents import read_page
+
+    @F.pandas_udf("string")
+    def text(col):
+        return col.map(lambda x: read_page(f"<div>{x or ''}</div>", ["div"])[0])
+
+    return text(c)
+
+
+def article_texts(rows: DataFrame, payload: str = "payload", thin: int = 200) -> DataFrame:
+    """``rows`` with text (English, then Chinese, each under its title), page_title, page_updated and status (ok, thin)."""
+    rows = rows.withColumn("_a", F.from_json(payload, ARTICLE))
+    rows = rows.withColumn("_en", _fragment(F.col("_a.contents.en"))).withColumn("_zh", _fragment(F.col("_a.contents.zh")))
+    part = lambda body, name, lang: F.when(F.col(body) != "", F.concat(F.lit(f"## {name}："), F.coalesce(f"_a.title.{lang}", F.lit("")), F.lit("\n\n"), body))
+    text = F.concat_ws("\n\n", part("_en", "English", "en"), part("_zh", "中文", "zh"))
+    rows = rows.withColumn("text", text).withColumn("page_title", F.coalesce(F.nullif("_a.title.en", F.lit("")), "_a.title.zh")).withColumn("page_updated", F.nullif(F.substring("_a.updated_time", 1, 10), F.lit("")))
+    return rows.withColumn("status", F.when(F.length("text") < thin, "thin").otherwise("ok")).drop("_a", "_en", "_zh")
+
+
+def faq_texts(rows: DataFrame, category: str, data: str = "data") -> DataFrame:
+    """``rows`` (id, data: JSON array of FAQ categories) with text: questions and answers of the first category that the name
+    or slug fits, in their order, and status (ok, thin, or error where no category fits)."""
+    cats = rows.select("id", F.from_json(data, f"array<{FAQ}>").alias("c"))
+    fits = F.filter("c", lambda x: F.coalesce(F.lower(x["title"]["en"]).contains(category.lower()), F.lit(False)) | F.coalesce(F.lower(x["slug"]) == category.lower(), F.lit(False)))
+    one = cats.withColumn("cat", F.get(fits, F.lit(0)))
+    items = one.select("id", F.posexplode_outer(F.col("cat.contents")).alias("pos", "i")).withColumn("_en", _fragment(F.col("i.contents.en"))).withColumn("_zh", _fragment(F.col("i.contents.zh")))
+    block = F.when(F.col("i").isNotNull(), F.concat(F.lit("## Q: "), F.coalesce("i.title.en", F.lit("")), F.lit("\n\n"), "_en", F.lit("\n\n### 問："), F.coalesce("i.title.zh", F.lit("")), F.lit("\n\n"), "_zh"))
+    items = items.select("id", F.struct(F.coalesce("i.sequence_no", F.lit(0)).alias("s"), "pos", block.alias("b")).alias("e"))
+    text = items.groupBy("id").agg(F.concat_ws("\n\n", F.transform(F.array_sort(F.collect_list("e")), lambda x: x["b"])).alias("text"))
+    found = one.select("id", F.col("cat").isNotNull().alias("found"))
+    return found.join(text, "id").select("id", "text", F.when(~F.col("found"), "error").when(F.length("text") < 200, "thin").otherwise("ok").alias("status"))

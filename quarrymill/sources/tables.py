@@ -46,10 +46,10 @@ def read_csv_feed(spark: SparkSession, path: str, columns: list[str]) -> DataFra
     return rows.select(*[F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c) for c in columns], "shifted")
 
 
-def unwrap(payload: DataFrame, row: T.StructType, keys: tuple[str, ...] = ("data", "results", "items", "list"), raw: str = "value") -> DataFrame:
-    """The rows of API payloads (JSON text in ``raw``): the list under the first known key, or the payload itself if a list."""
+def unwrap(payload: DataFrame, row: str, keys: tuple[str, ...] = ("data", "results", "items", "list"), raw: str = "value") -> DataFrame:
+    """The rows (of type ``row``, as DDL) of API payloads (JSON text in ``raw``): the list under the first known key, or the payload itself if a list."""
     inner = F.coalesce(*[F.get_json_object(raw, f"$.{k}") for k in keys], F.when(F.trim(raw).startswith("["), F.col(raw)))
-    return payload.select(F.inline(F.from_json(inner, T.ArrayType(row))))
+    return payload.select(F.inline(F.from_json(inner, f"array<{row}>")))
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
