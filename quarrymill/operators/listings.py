@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from ..functions import rules
 
-LATE = F.lit("9999")
+LATE = "9999"
 
 
 # ---- status and query
@@ -85,7 +85,7 @@ def matches(now: str, *, types=None, tags=None, city=None, keyword=None, free_on
 
 def order() -> list[Column]:
     rank = F.when(F.col("status") == "upcoming", 0).when(F.col("status") == "ongoing", 1).otherwise(9)
-    return [rank, F.coalesce("starts_at", LATE), F.col("uid")]
+    return [rank, F.coalesce("starts_at", F.lit(LATE)), F.col("uid")]
 
 
 def query(events: DataFrame, now: str, limit: int | None = None, **params) -> DataFrame:
@@ -224,7 +224,7 @@ def merge_duplicates(events: DataFrame) -> DataFrame:
     import pandas as pd
 
     rows = events.withColumn("_t", N.title_key(F.col("title"))).withColumn("_m", F.substring("starts_at", 1, 16)).withColumn("_c", completeness())
-    rank = F.struct((-F.col("_c")).alias("c"), F.coalesce("first_seen", LATE).alias("f"), F.col("uid").alias("u"))
+    rank = F.struct((-F.col("_c")).alias("c"), F.coalesce("first_seen", F.lit(LATE)).alias("f"), F.col("uid").alias("u"))
     place = [F.coalesce(F.col(c), F.lit("")).alias(f"_{c}") for c in ("city", "district", "organizer")]
     rows = rows.select("*", rank.alias("_rank"), *place)
     keyed = rows.filter("_t <> '' and coalesce(starts_at, '') <> ''")
@@ -256,7 +256,7 @@ def merge_duplicates(events: DataFrame) -> DataFrame:
 def fold_duplicates(grouped: DataFrame) -> DataFrame:
     """The representatives of ``merge_duplicates`` with empty fields filled from the others in order of completeness; places
     in conflict are emptied, unless all share the city. also_listed has the uids of the others, in that order."""
-    rows = grouped.withColumn("_r", F.struct((-completeness()).alias("c"), F.coalesce("first_seen", LATE).alias("f"), F.col("uid").alias("u")))
+    rows = grouped.withColumn("_r", F.struct((-completeness()).alias("c"), F.coalesce("first_seen", F.lit(LATE)).alias("f"), F.col("uid").alias("u")))
     first = lambda c: F.get(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("_r", F.col(c).alias("v"))))), lambda x: x["v"]), F.lit(0))
     filled = [first(c).alias(c) for c in (*FILLED, *LOCATION)]
     many = rows.groupBy("rep_uid").agg(
@@ -319,7 +319,7 @@ def other_sessions(events: DataFrame, most: int = 6) -> DataFrame:
 
     A series is cut to its first ``most`` + 1 upcoming rows before it is joined with itself: no row needs more.
     """
-    rows = events.select("uid", N.title_key(F.col("title")).alias("t"), F.coalesce(F.concat(F.lit("o"), F.col("organizer")), F.lit("-")).alias("o"), F.coalesce("starts_at", LATE).alias("at"), "status")
+    rows = events.select("uid", N.title_key(F.col("title")).alias("t"), F.coalesce(F.concat(F.lit("o"), F.col("organizer")), F.lit("-")).alias("o"), F.coalesce("starts_at", F.lit(LATE)).alias("at"), "status")
     w = Window.partitionBy("t", "o").orderBy("at", "uid")
     few = rows.filter("status = 'upcoming'").withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= most + 1).select("t", "o", F.col("uid").alias("other"), "pos")
     pairs = rows.select("uid", "t", "o").join(few, ["t", "o"]).filter("uid <> other")

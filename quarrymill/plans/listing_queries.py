@@ -295,7 +295,7 @@ def c2(spark, sf):
     shown = shown.join(new, "uid", "left").withColumn("is_new", F.coalesce("is_new", F.lit(False)))
     shown = shown.withColumn("tags", N.site_tags(F.col("tags"), F.col("title"), F.col("title_en"))).withColumn("venue", N.clean_venue(F.col("venue")))
     folded = L.fold_duplicates(L.merge_duplicates(shown))
-    return folded.orderBy(F.coalesce("starts_at", L.LATE), "uid").select("uid", "status", "starts_at", "venue", "city", "is_new", "venue_conflict", F.size("also_listed").alias("n_also"))
+    return folded.orderBy(F.coalesce("starts_at", F.lit(L.LATE)), "uid").select("uid", "status", "starts_at", "venue", "city", "is_new", "venue_conflict", F.size("also_listed").alias("n_also"))
 
 
 # ---- digests
