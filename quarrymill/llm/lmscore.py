@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_groups, text_of, written
+from .common import arrow_groups, small_batches, text_of, written
 
 #: Slots of a predictor's table and of the blocks in which tables travel; tokens broadcast; tokens held while counting.
-SLOTS, PART, HEAD, HELD = 1 << 22, 1 << 15, 300_000, 150_000
+SLOTS, PART, HEAD, HELD = 1 << 21, 1 << 15, 200_000, 100_000
 #: First weights of order 2, order 4 and word, for each gate; the gradient step; the count added to each side of a decision.
 WEIGHTS = ((0.9, 0.1, 0.1), (0.15, 0.8, 0.1), (0.6, 0.1, 0.5), (0.1, 0.45, 0.5))
 STEP, PRIOR = 3.0, 0.2
@@ -121,7 +121,7 @@ def contexts(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 
 def slots(key: np.ndarray) -> np.ndarray:
     """Where the decisions of a key's context begin in its predictor's table."""
-    return ((((key >> np.uint32(8)) * PHI) >> np.uint32(10)) & np.uint32(SLOTS - 32)).astype(np.int32)
+    return ((((key >> np.uint32(8)) * PHI) >> np.uint32(9)) & np.uint32(SLOTS - 32)).astype(np.int32)
 
 
 def batches_of(texts: list[str | None], size: int = TOGETHER):
@@ -213,8 +213,10 @@ def _count_decisions(trees: Trees):
             learn(held)
         task = TaskContext.get().partitionId()
         step = PART * 2
-        for order, table in enumerate(tables):
+        for order in range(ORDERS):
+            table, tables[order] = tables[order], None
             rows = [(i, _pack(table[i * step : (i + 1) * step])) for i in range(len(table) // step) if table[i * step : (i + 1) * step].any()]
+            del table
             if rows:
                 part, data = zip(*rows, strict=True)
                 n = len(rows)
@@ -268,16 +270,21 @@ class Model:
                 take = slice(now[live[0]], to[0])
             else:
                 take = np.arange(sizes.sum()) + np.repeat(now[live] - (np.cumsum(sizes) - sizes), sizes)
-            self._block([k[take] for k in keys], lane[take], text[take], weights, total)
+            self._block([k[take] for k in keys], lane[take], weights, total)
             now[live] = to
             block = min(block * 2, LONGEST)
 
-    def _block(self, keys, lane, text, weights, total) -> None:
+    def _block(self, keys, lane, weights, total) -> None:
+        """Codes the bytes of one block of each text with the weights as they are, then moves the weights. The bytes are put
+        in order of text and gate first, so that weights are spread, and sums taken, over long runs."""
+        order = np.argsort(lane.astype(np.uint16) if len(weights) < 65536 else lane, kind="stable")
+        keys, lane = [k[order] for k in keys], lane[order]
         n, places = self.trees.paths(keys[0] & np.uint32(0xFFFF))
         node, sign = self.trees.node[places].astype(np.int32), self.trees.sign[places]
-        first = np.cumsum(n) - n
-        begins = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-        own = np.ascontiguousarray((weights[lane] / FINE).T)
+        begins = np.flatnonzero(np.concatenate([[True], lane[1:] != lane[:-1]]))
+        ends = np.cumsum(n)
+        starts = (ends - n)[begins]
+        seen, lanes = np.diff(np.append(starts, ends[-1])), lane[begins]
         z, inputs = None, []
         for k, (key, table) in enumerate(zip(keys, self.tables, strict=True)):
             slot = np.repeat(slots(key), n)
@@ -287,21 +294,18 @@ class Model:
             x *= sign
             x = x.astype(np.float32)
             inputs.append(x)
-            part = np.repeat(own[k], n)
+            part = np.repeat(weights[lanes, k] / np.float32(FINE), seen)
             part *= x
             z = part if z is None else np.add(z, part, out=z)
         np.negative(z, out=z)
         np.minimum(z, 60, out=z)
         e = np.exp(z, out=z)
         one = e + np.float32(1)
-        total[text[begins]] += np.add.reduceat(np.log(one), first[begins])
+        np.add.at(total, lanes // GATES, np.add.reduceat(np.log(one), starts))
         e /= one
-        seen = np.bincount(lane, n, len(weights))
-        some = np.flatnonzero(seen)
         for k, x in enumerate(inputs):
             x *= e
-            slope = np.bincount(lane, np.add.reduceat(x, first), len(weights))
-            weights[some, k] += (STEP / FINE * slope[some] / (seen[some] + 200)).astype(np.float32)
+            weights[lanes, k] += (STEP / FINE * np.add.reduceat(x, starts) / (seen + 200)).astype(np.float32)
         np.clip(weights, 0, 2, out=weights)
 
 
@@ -327,6 +331,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame, dict]:
     shared = rows.sparkSession.sparkContext.broadcast(trees)
     parts = rows.filter("learn").select("text").mapInArrow(lambda b: _count_decisions(shared.value)(b), "part int, task int, counts binary")
     parts = written(parts, "lm-counts")
+    shared.destroy()
     tasks = (parts.agg(F.max("task").alias("n")).first()["n"] or 0) + 1
     some = math.isqrt(tasks - 1) + 1
     schema = "part int, task int, counts binary"
@@ -354,14 +359,7 @@ def head_of(vocabulary: DataFrame, most: int = HEAD) -> tuple[dict[bytes, int],
 _models: dict[int, Model] = {}
 
 
-def score(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), most_head: int = HEAD) -> DataFrame:
-    """(keep..., n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of every row of ``docs`` (text,
-    learn boolean: whether the row is learnt from; columns ``keep``).
-
-    A null text is empty, which has an end still. Without any row to learn from all counts are 0 and the tables are empty.
-    Rows with equal ids are separate texts. base_score sums log10((c + 1) / (N + V + 1)) over the tokens and the end; score is
-    the model's log10 probability of the text's bytes and its end.
-    """
+def _score(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), most_head: int = HEAD) -> DataFrame:
     spark = docs.sparkSession
     model, vocabulary, totals = train(docs)
     head, least = head_of(vocabulary, most_head)
@@ -396,6 +394,7 @@ def score(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), most_head: int =
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "n_tokens long, known long, base double, rare array<binary>, score double, n_bytes long"])
     scored = docs.select(*keep, text_of(docs).alias("_text")).mapInArrow(run, schema)
     scored = written(scored.withColumn("_row", F.monotonically_increasing_id()), "lm-scores")
+    shared.destroy()
     rare = scored.select("_row", F.explode("rare").alias("token")).groupBy("_row", "token").agg(F.count("*").alias("times"))
     rare = rare.join(vocabulary.filter(F.col("total") < least).select("token", "train"), "token")
     rare = rare.groupBy("_row").agg(F.sum(F.log10(F.col("train") + 1) * F.col("times")).alias("more"), F.sum(F.when(F.col("train") > 0, F.col("times")).otherwise(0)).alias("rare_known"))
@@ -407,6 +406,18 @@ def score(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), most_head: int =
     )
 
 
+def score(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), most_head: int = HEAD) -> DataFrame:
+    """(keep..., n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of every row of ``docs`` (text,
+    learn boolean: whether the row is learnt from; columns ``keep``).
+
+    A null text is empty, which has an end still. Without any row to learn from all counts are 0 and the tables are empty.
+    Rows with equal ids are separate texts. base_score sums log10((c + 1) / (N + V + 1)) over the tokens and the end; score is
+    the model's log10 probability of the text's bytes and its end.
+    """
+    small_batches(docs.sparkSession)
+    return _score(docs, keep, most_head)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Whether a document is kept from training: the CRC-32 of its id as text leaves 2 when divided by 7."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 7 == 2
