@@ -78,7 +78,7 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     key = F.md5(F.coalesce(F.col("text"), F.lit("")))
     ids = docs.select("doc_id", "text", key.alias("row"))
     gone = repeated_lines(ids, least_words)
-    both = docs.select(*cols, key.alias("row")).alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.row") == F.col("g.row")), "left")
+    both = docs.select(*cols, key.alias("_text_key")).alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d._text_key") == F.col("g.row")), "left")
     lines = F.split("d.text", "\n")
     gone_at = F.col("g.gone")
     starts = F.filter(gone_at, lambda x, i: ~F.coalesce(F.get(gone_at, i - 1) == x - 1, F.lit(False)))
