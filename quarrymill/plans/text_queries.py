@@ -236,9 +236,6 @@ def u4(spark, sf):
     return hits.groupBy("uid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]), ",").alias("keywords"))
 
 
-_TOK = ["jazz", "the", "of", "music"]
-
-
 @R.add("o4_w9_section_search", """WITH s AS (SELECT doc_id, source, lower(split_part(text, chr(10), 1)) AS h, lower(text) AS t FROM documents), k(t0) AS (VALUES ('the'), ('le'), ('der')),
 c AS (SELECT doc_id, source, sum(least(3, (length(h) - length(replace(h, t0, ''))) // length(t0)) * 4 + least(3, (length(t) - length(replace(t, t0, ''))) // length(t0)) * 1.0)::DOUBLE AS total, count(*) FILTER (contains(h, t0) OR contains(t, t0)) AS hit FROM s, k GROUP BY 1, 2),
 r AS (SELECT doc_id, source, total * (1 + hit::DOUBLE / 3) AS score FROM c WHERE total > 0), b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS nth FROM r) SELECT doc_id, source, round(score, 6) AS score FROM b WHERE nth = 1 ORDER BY score DESC, doc_id LIMIT 6""")

@@ -15,12 +15,16 @@ LISTING = T.StructType([T.StructField(c, T.StringType()) for c in (
     "price_text", "status", "first_seen", "last_seen", "content_hash")] + [T.StructField("schema_version", T.IntegerType()), T.StructField("feedback", T.StringType())])
 
 
+_own: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share: under spark.checkpoint.dir, or where that is unset (tests) a new one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not _own:
+            _own.append(f"file://{tempfile.mkdtemp(prefix='spark-')}")
+        at = _own[0]
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
