@@ -18,10 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: The pattern of the public rank files, with white space spelt as the Unicode property that it means there.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Pieces remembered in a worker; when so many are held they are forgotten. Only time depends on it.
-MEMORY, LONGEST_KEPT = 300_000, 64
+MEMORY, LONGEST_KEPT = 150_000, 64
+#: Rows that are coded at a time, so that the ids of few texts are held.
+TAKEN = 128
 
 
 class BytePairs:
@@ -138,6 +142,7 @@ def encode_text(text: str, path: str, pattern: str = PIECES) -> list[int]:
     pairs, known = coder(path), _pieces.setdefault((path, pattern), {})
     if len(known) > MEMORY:
         known.clear()
+    if len(pairs.stands) > MEMORY:
         pairs.stands.clear()
     out = []
     for piece in regex.findall(pattern, text):
@@ -150,17 +155,33 @@ def encode_text(text: str, path: str, pattern: str = PIECES) -> list[int]:
     return list(chain.from_iterable(out))
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """``docs`` with column ``out``, array<int>: the ids of the whole text; a null text is empty and has none.
+def _slices(batches):
+    return (batch.slice(i, TAKEN) for batch in batches for i in range(0, batch.num_rows, TAKEN))
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", check: str | None = None) -> DataFrame:
+    """``docs`` with column ``out``, array<int>: the ids of the whole text; a null text is empty and has none. With ``check``
+    also a boolean of that name: whether decoding the ids gives the text again.
 
-    All columns are kept (one named ``out`` is replaced), rows stay where they are.
+    All columns are kept (those named ``out`` or ``check`` are replaced), rows stay where they are.
     """
+    small_batches(docs.sparkSession)
+    new = [out, *([check] if check else [])]
+    cols = [c for c in docs.columns if c not in new]
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
-    @F.pandas_udf("array<int>")
-    def ids(texts):
-        return texts.map(lambda x: encode_text(x, path))
+    def run(batches):
+        pairs = coder(path)
+        for batch in _slices(batches):
+            texts = batch.column(text).to_pylist()
+            ids = [encode_text(x or "", path) for x in texts]
+            made = [pa.array(ids, pa.list_(pa.int32()))]
+            if check:
+                made.append(pa.array([pairs.decode(i) == (x or "").encode() for i, x in zip(ids, texts, strict=True)]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in cols], *made], names=[*cols, *new])
 
-    return docs.withColumn(out, ids(F.coalesce(F.col(text), F.lit(""))))
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in cols], f"`{out}` array<int>", *([f"`{check}` boolean"] if check else [])])
+    return docs.select(*cols).mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -176,11 +197,12 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
 def round_trip(docs: DataFrame, path: str, text: str = "text", more: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(more..., n_tokens, ids_sha256, decoded_sha256) of every row: encoded, decoded and digested in one pass, so that
     neither ids nor bytes travel between processes."""
+    small_batches(docs.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def run(batches):
         pairs = coder(path)
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for x in batch.column("_text").to_pylist():
                 ids = encode_text(x, path)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, written
+from .common import shuffle_parts, small_batches, written
 from .shingles import MinHash, shingle_set
 
 #: Hash functions; rows of a band. Pairs of similarity 0.8 share no band of 16 with 4 rows in 2 of 10,000 cases.
@@ -85,6 +85,7 @@ def beside_next(docs: DataFrame, size: int = SIZE) -> DataFrame:
     range above needs as its last successor, goes to two tasks.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id"), F.lit(LOWEST)).alias("_at"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     parts = shuffle_parts(spark)
     ids = rows.select("_at")

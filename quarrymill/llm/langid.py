@@ -14,6 +14,8 @@ from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Bytes of a window, size of a byte's vector, filter widths, filters of each width, windows in a matrix product.
 LENGTH, DEPTH, WIDTHS, FILTERS, BLOCK = 128, 6, (2, 3, 4), 16, 256
 #: The bound of the training sample: labelled texts of a language, windows of a text. Passes over it, step, seed.
@@ -134,6 +136,7 @@ def fit(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> ByteCnn | None
     At most about ``sample_texts`` texts of a language, the same ones each time, give at most SAMPLE_WINDOWS windows each;
     only these reach the driver.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.filter("text is not null and lang is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -152,6 +155,7 @@ def predict(docs: DataFrame, net: ByteCnn | None, text: str = "text", pred: str
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text if there is no network.
     """
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf(f"`{pred}` string, `{score}` double")
     def languages(texts):
