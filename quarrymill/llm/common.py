@@ -18,17 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     It is the one that the session names in spark.checkpoint.dir; only where none is named (tests, one machine) a new
-    folder is made and named there.
+    folder is made.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        own = spark.sparkContext.getCheckpointDir()
-        at = own or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not _own:
+            _own.append(f"file://{tempfile.mkdtemp(prefix='spark-')}")
+        at = _own[0]
     return at.rstrip("/")
 
 
@@ -52,6 +55,17 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(name, rows)
 
 
+SALTS = 16
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """``big`` joined with ``small``, which has one row for each value of ``on``: that row is repeated for each of ``salts``
+    salts, and the rows of ``big`` are dealt out over them, so that a value that a third of all rows share is ``salts`` keys."""
+    dealt = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
+    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(spread, [on, "_salt"], how).drop("_salt")
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, text_of, written
+from .common import SPACES, let, salted_join, text_of, written
 
 SYMBOLS, WINDOW = "#*$%&|<>", 8
 #: Base rules: fewer words than this fail, and more than this percentage of words in repeated windows.
@@ -139,23 +139,25 @@ def outliers(rows: DataFrame, names: list[str]) -> DataFrame:
     ``rows`` should be a written table: every step reads it once or twice.
     """
     groups = rows.groupBy("gkey").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_GROUP).select("gkey")
-    rows = rows.join(groups, "gkey", "left_semi")
+    rows = salted_join(rows, groups, "gkey", "left_semi")
     long = rows.select("gkey", F.explode(F.array(*[F.struct(F.lit(x).alias("name"), F.col(x).alias("x")) for x in names])).alias("v")).select("gkey", "v.*")
     step = F.round(F.col("x") * STEPS_A_UNIT).cast("long")
     middles = written(_quantile(long.withColumn("step", step), ["gkey", "name"], "step", 0.5, "middle"), "middles")
-    spread = long.join(middles, ["gkey", "name"]).withColumn("step", F.abs(step - F.col("middle")))
+    wide = middles.groupBy("gkey").agg(F.map_from_entries(F.collect_list(F.struct("name", "middle"))).alias("middles"))
+    spread = salted_join(long, wide, "gkey").withColumn("middle", F.element_at("middles", F.col("name"))).drop("middles")
+    spread = spread.withColumn("step", F.abs(step - F.col("middle")))
     spreads = _quantile(spread, ["gkey", "name"], "step", 0.5, "spread")
     start = middles.join(spreads, ["gkey", "name"]).groupBy("gkey")
     at = lambda x, c: F.max(F.when(F.col("name") == x, F.col(c))) / STEPS_A_UNIT
     start = start.agg(*[at(x, "middle").alias(f"m{i}") for i, x in enumerate(names)], *[at(x, "spread").alias(f"d{i}") for i, x in enumerate(names)])
     d2 = sum(((F.col(x) - F.col(f"m{i}")) / F.greatest(F.col(f"d{i}") * 1.4826, F.lit(FLOORS.get(x, 1e-3)))) ** 2 for i, x in enumerate(names))
     start = written(start, "start")
-    measured = rows.join(start, "gkey").select(*rows.columns, _log_step(d2).alias("step"))
+    measured = salted_join(rows, start, "gkey").select(*rows.columns, _log_step(d2).alias("step"))
     for _ in range(STEPS):
         bound = _quantile(measured, ["gkey"], "step", SUBSET, "bound")
-        subset = measured.join(bound, "gkey").filter("step <= bound")
+        subset = salted_join(measured, bound, "gkey").filter("step <= bound")
         fitted = written(_fit(subset, names), "scatter")
-        measured = rows.join(fitted, "gkey").withColumn("d2", _distance(names)).select(*rows.columns, "d2", _log_step(F.col("d2")).alias("step"))
+        measured = salted_join(rows, fitted, "gkey").withColumn("d2", _distance(names)).select(*rows.columns, "d2", _log_step(F.col("d2")).alias("step"))
     return measured.select(*rows.columns, F.col("d2").alias("distance"))
 
 
@@ -168,7 +170,7 @@ def with_groups(rows: DataFrame, least: int = LEAST_GROUP) -> DataFrame:
     pooled = fine.withColumn("gkey", F.when(F.col("n") >= least, F.col("_fine")).otherwise(F.col("_lang")))
     total = F.sum("n").over(Window.partitionBy("gkey"))
     keys = pooled.withColumn("gkey", F.when(total >= least, F.col("gkey")).otherwise(F.lit("*"))).select("_fine", "gkey")
-    return rows.withColumn("_fine", both).join(keys, "_fine").drop("_fine")
+    return salted_join(rows.withColumn("_fine", both), keys, "_fine").drop("_fine")
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
@@ -182,7 +184,7 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     names = list(FLOORS)
     good = written(with_groups(stats.filter("not base_failed")).select("*", *[c.alias(x) for x, c in vector().items()]), "quality-vectors")
     far = outliers(good, names)
-    small = good.join(far.select("gkey").distinct(), "gkey", "left_anti").withColumn("distance", F.lit(None).cast("double"))
+    small = salted_join(good, far.select("gkey").distinct(), "gkey", "left_anti").withColumn("distance", F.lit(None).cast("double"))
     failed = stats.filter("base_failed").withColumn("distance", F.lit(None).cast("double"))
     cols = [*stats.columns, "distance"]
     rows = far.select(*cols).unionByName(small.select(*cols)).unionByName(failed.select(*cols))
