@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, text_of, written
+from .common import SPACES, let, salted_join, text_of, written
 
 LEAST_WORDS = 50
 
@@ -57,9 +57,9 @@ def repeated_lines(rows: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     at = F.struct("doc_id", "row", "first")
     place = F.struct("doc_id", "row", "at")
     shared = found.groupBy("print").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high").select("print")
-    near = found.join(shared, "print", "left_semi")
+    near = salted_join(found, shared, "print", "left_semi", salts=4)
     first = near.groupBy("key").agg(F.min(at).alias("kept"), F.max(at).alias("latest")).filter("kept <> latest").select("key", "kept")
-    later = near.join(first, "key").filter(at > F.col("kept"))
+    later = salted_join(near, first, "key", salts=4).filter(at > F.col("kept"))
     spans = later.groupBy("doc_id", "row", "first").agg(F.max("last").alias("last"))
     marks = lines.select("doc_id", "row", "pos", F.lit(None).cast("int").alias("reach")).unionByName(spans.select("doc_id", "row", F.col("first").alias("pos"), F.col("last").alias("reach")))
     so_far = Window.partitionBy("doc_id", "row").orderBy("pos").rangeBetween(Window.unboundedPreceding, 0)
