@@ -243,17 +243,44 @@ p AS (SELECT g.*, trim(regexp_replace('Days: ' || coalesce(n_name, '—') || ',
 @R.add("g1_g2_guide_index", f"WITH {PLAIN_SQL} SELECT slug, section, plain FROM p WHERE NOT regexp_matches(text[1:60], '[*`\\[]')")
 def g1(spark, sf):
     rows = guides(spark, sf).filter(~F.expr("substring(body, locate('bold** ', body) + 7)").rlike(r"[*`\[]"))
-    return plain(rows, fact_table(spark, sf)).select("slug", "section", "plain")
+    return index_of(rows, fact_table(spark, sf))
 
 
 @R.add("g4_guide_text", f"WITH {PLAIN_SQL} SELECT slug, md5(string_agg(plain, chr(10) ORDER BY section)) AS text_md5, (SELECT string_agg(DISTINCT q.fact, ',' ORDER BY q.fact) FROM p q WHERE q.slug = p.slug AND NOT regexp_matches(q.text[1:60], '[*`\\[]')) AS figures FROM p WHERE NOT regexp_matches(text[1:60], '[*`\\[]') GROUP BY 1")
 def g4(spark, sf):
     rows = guides(spark, sf).filter(~F.expr("substring(body, locate('bold** ', body) + 7)").rlike(r"[*`\[]"))
-    rows = plain(rows, fact_table(spark, sf)).withColumn("ids", F.regexp_extract_all("body", F.lit(r"\{\{fact:([a-z0-9_]+)\}\}"), 1))
+    return text_of_guides(rows, fact_table(spark, sf))
+
+
+def whole_guides(spark, sf):
+    """Guides of seven sections each, with whole texts and whatever markup they hold."""
+    body = GUIDE.replace("substring(text, 1, 60)", "coalesce(text, '')")
+    return read(spark, sf, "documents").selectExpr("concat('g', cast(floor(doc_id / 7) as string)) AS slug", "doc_id AS section", f"{body} AS body")
+
+
+def index_of(rows, facts):
+    return plain(rows, facts).select("slug", "section", "plain")
+
+
+def text_of_guides(rows, facts):
+    rows = plain(rows, facts).withColumn("ids", F.regexp_extract_all("body", F.lit(r"\{\{fact:([a-z0-9_]+)\}\}"), 1))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "plain"))), lambda x: x["plain"]), "\n")
     return rows.groupBy("slug").agg(F.md5(text).alias("text_md5"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), ",").alias("figures"))
 
 
+# The markup rules have no SQL: whole texts go through them here, and the tests compare them with a row-by-row version.
+
+
+@R.add("g1_g2_whole_guide_index")
+def g1_whole(spark, sf):
+    return index_of(whole_guides(spark, sf), fact_table(spark, sf))
+
+
+@R.add("g4_whole_guide_text")
+def g4_whole(spark, sf):
+    return text_of_guides(whole_guides(spark, sf), fact_table(spark, sf))
+
+
 @R.add("a10_reading_minutes", r"SELECT source AS slug, greatest(2, round_even(sum(len(regexp_extract_all(text, '\S+'))) / 220, 0))::BIGINT AS minutes FROM documents GROUP BY 1")
 def a10(spark, sf):
     words = F.regexp_count("text", F.lit(r"(?U)\S+"))

@@ -26,9 +26,14 @@ def s1(spark, sf):
 
 @R.add("s6_parquet_export", f"WITH {LISTINGS_CTE} SELECT {SELECT} FROM listings WHERE k % 2 = 0")
 def s6(spark, sf):
+    return exported(spark, sf).filter("k % 2 = 0").select("uid", *BASIC)
+
+
+def exported(spark, sf):
+    """Every listing, out of the export; the query shows those of its SQL."""
     path = tables.scratch(spark, "export")
-    tables.write_listings(listings(spark, sf).filter("k % 2 = 0"), path, "parquet")
-    return spark.read.parquet(path).select("uid", *BASIC)
+    tables.write_listings(listings(spark, sf), path, "parquet")
+    return spark.read.parquet(path)
 
 
 SESSION_SQL = """SELECT 'taiwan_pathfinder' AS source_platform, 'RiverTracing' || '-' || substr(o_orderdate::VARCHAR, 1, 10) AS source_id, 'River Tracing' AS title, substr(o_orderdate::VARCHAR, 1, 10) || 'T00:00:00+08:00' AS starts_at, substr(o_orderdate::VARCHAR, 1, 10) || 'T23:59:59+08:00' AS ends_at,
@@ -37,15 +42,21 @@ SESSION_SQL = """SELECT 'taiwan_pathfinder' AS source_platform, 'RiverTracing' |
 
 @R.add("s3_p16_csv_sessions", SESSION_SQL)
 def s3(spark, sf):
-    o = read(spark, sf, "orders").filter("o_orderkey % 8 < 4")
+    return sessions(spark, sf).filter("k % 8 < 4").drop("k")
+
+
+def sessions(spark, sf):
+    """The listings of every session, with the order's key k; the query shows those of its SQL."""
+    o = read(spark, sf, "orders")
     k = F.col("o_orderkey")
     price = F.when(k % 4 == 1, "NT$0").when(k % 4 == 0, F.lit(None)).otherwise(F.concat(F.lit("NT$1,"), F.lpad((k % 1000).cast("string"), 3, "0")))
     none = F.lit(None).cast("string")
-    rows = o.select(F.lit(" River Tracing ").alias("type_zh"), F.lit("River Tracing").alias("type_en"), F.substring(F.col("o_orderdate").cast("string"), 1, 10).alias("date"), none.alias("list_price"), none.alias("early_2m"), none.alias("early_1m"), F.lit("https://f.example.org").alias("form"), none.alias("state"), F.when(k % 3 == 0, "open").alias("signup"), price.alias("price"), none.alias("blank"), F.when(k % 9 == 0, "Cancelled").alias("final"))
+    rows = o.select(F.lit(" River Tracing ").alias("type_zh"), F.lit("River Tracing").alias("type_en"), F.substring(F.col("o_orderdate").cast("string"), 1, 10).alias("date"), none.alias("list_price"), none.alias("early_2m"), none.alias("early_1m"), F.concat(F.lit("https://f.example.org/"), k.cast("string")).alias("form"), none.alias("state"), F.when(k % 3 == 0, "open").alias("signup"), price.alias("price"), none.alias("blank"), F.when(k % 9 == 0, "Cancelled").alias("final"))
     path = tables.scratch(spark, "csv")
     rows.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     got = feeds.from_sessions(tables.read_csv_feed(spark, path, feeds.SESSIONS).filter("shifted is null").drop("shifted"))
-    return got.select("source_platform", "source_id", "title", "starts_at", "ends_at", "is_free", "price_text", "status", F.array_join("tags", ",").alias("tags"))
+    key = F.regexp_extract("source_url", r"(\d+)$", 1).cast("long").alias("k")
+    return got.select("source_platform", "source_id", "title", "starts_at", "ends_at", "is_free", "price_text", "status", F.array_join("tags", ",").alias("tags"), key)
 
 
 TOUR_SQL = f"""WITH {LISTINGS_CTE} SELECT 'activity-' || source_id AS source_id, title, coalesce(nullif(CASE WHEN k % 2 = 0 THEN source_url ELSE '' END, ''), 'https://l.example.org/' || k) AS source_url, starts_at, substr(ends_at, 1, 10) || 'T23:59:59+08:00' AS ends_at, coalesce(organizer, 'co') AS organizer, CASE WHEN k % 3 = 0 THEN true END AS major FROM listings"""
@@ -66,8 +77,13 @@ def s4(spark, sf):
 
 @R.add("p18_trendy_api", f"WITH {LISTINGS_CTE} SELECT source_id, 'https://trendy.taipei/tw/Event/Detail?id=' || source_id AS source_url, title, CASE k % 3 WHEN 0 THEN 'music' WHEN 1 THEN 'talk' END AS type, CASE k % 3 WHEN 0 THEN 'cat:演唱會經濟' WHEN 1 THEN 'cat:產業趨勢' ELSE 'cat:x' END AS tags, starts_at FROM listings WHERE k % 3 < 2")
 def p18(spark, sf):
-    rows = listings(spark, sf).filter("k % 3 < 2")
-    inner = F.struct(F.col("source_id").alias("id"), "title", F.when(F.col("k") % 3 == 0, "演唱會經濟").otherwise("產業趨勢").alias("categoryName"), F.col("address").alias("location"), F.col("starts_at").alias("startDate"), F.col("ends_at").alias("endDate"), F.col("description").alias("content"), F.col("organizer").alias("departmentName"))
+    return trendy(spark, sf).filter("cast(source_id as long) % 3 < 2")
+
+
+def trendy(spark, sf):
+    """The listings of every row of the payloads; the query shows those of its SQL, a third has no category of a known type."""
+    rows = listings(spark, sf)
+    inner = F.struct(F.col("source_id").alias("id"), "title", F.when(F.col("k") % 3 == 0, "演唱會經濟").when(F.col("k") % 3 == 1, "產業趨勢").otherwise("x").alias("categoryName"), F.col("address").alias("location"), F.col("starts_at").alias("startDate"), F.col("ends_at").alias("endDate"), F.col("description").alias("content"), F.col("organizer").alias("departmentName"))
     got = feeds.from_trendy(tables.unwrap(payloads(rows, inner, "result"), feeds.TRENDY, ("result",)))
     return got.select("source_id", "source_url", "title", "type", F.array_join("tags", ",").alias("tags"), "starts_at")
 
@@ -169,6 +185,6 @@ def t2(spark, sf):
 @R.add("p28_article_payloads", "SELECT doc_id, 'thin' AS status FROM documents WHERE length(text) < 0 UNION ALL SELECT doc_id, 'en title' FROM documents WHERE text <> ''")
 def p28(spark, sf):
     d = read(spark, sf, "documents").filter("text <> ''")
-    payload = F.to_json(F.struct(F.struct(F.lit("en title").alias("en")).alias("title"), F.struct(F.concat(F.lit("<p>"), F.substring("text", 1, 50), F.lit("</p>")).alias("en")).alias("contents"), F.lit("2024-02-03T00:00:00").alias("updated_time")))
+    payload = F.to_json(F.struct(F.struct(F.lit("en title").alias("en")).alias("title"), F.struct(F.concat(F.lit("<p>"), "text", F.lit("</p>")).alias("en")).alias("contents"), F.lit("2024-02-03T00:00:00").alias("updated_time")))
     got = feeds.article_texts(d.select("doc_id", payload.alias("payload")))
     return got.select("doc_id", F.col("page_title").alias("status"))

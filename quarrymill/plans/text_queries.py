@@ -141,7 +141,7 @@ def p33(spark, sf):
 @R.add("p25_page_dates", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '2024-03-05' WHEN 1 THEN '2023-11-30' END AS updated FROM documents")
 def p25(spark, sf):
     marks = ["更新日期：113-03-05", "Last updated: 2023-11-30", "更新日期：113-02-31", "nothing"]
-    return spark.sql(f"SELECT doc_id, concat(substring(text, 1, 40), '\n', {pick(marks, 'doc_id')}) AS text FROM {{d}}", d=read(spark, sf, "documents")).select("doc_id", N.found_updated(F.col("text")).cast("string").alias("updated"))
+    return spark.sql(f"SELECT doc_id, concat(text, '\n', {pick(marks, 'doc_id')}) AS text FROM {{d}}", d=read(spark, sf, "documents")).select("doc_id", N.found_updated(F.col("text")).cast("string").alias("updated"))
 
 
 # ---- time windows
