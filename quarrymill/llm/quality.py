@@ -1,8 +1,10 @@
 """Quality rules and robust multivariate outliers, in DataFrame operations only.
 
 ``text_statistics`` counts, within one row each, what the base rules and the outlier test need. ``outliers`` estimates centre
-and scatter of the transformed statistics for every language and source by the minimum covariance determinant: from a start
-of coordinate medians, concentration steps refit mean and covariance on the documents of least Mahalanobis distance. All
+and scatter of the transformed statistics for every language and source by the minimum covariance determinant: from several
+starts (coordinate medians, each coordinate alone, small random samples), concentration steps refit mean and covariance on the
+half of the documents that has the least Mahalanobis distance. The starts of least determinant go on until their bounds
+settle, the fit of least determinant is kept for each group, and a last fit rests on all documents that are near it. All
 estimates are pre-aggregated sums, and medians and subsets come from histograms of fine steps, so a source that holds a third
 of all documents is never gathered anywhere.
 """
@@ -17,13 +19,17 @@ from .common import SPACES, let, salted_join, text_of, written
 SYMBOLS, WINDOW = "#*$%&|<>", 8
 #: Base rules: fewer words than this fail, and more than this percentage of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 20, 30
-#: Part of a group that the estimates rest on, concentration steps, documents that a group needs to be judged.
-SUBSET, STEPS, LEAST_GROUP = 0.75, 3, 40
-#: The covariance of that part of a normal cloud in five dimensions, times this, is that of the whole. A document goes if its
+#: Part of a group that the estimates rest on, documents that a group needs to be judged.
+SUBSET, LEAST_GROUP = 0.5, 40
+#: Random starts and the documents of each, steps that every start takes, starts that go on, steps at most from there.
+SAMPLES, SAMPLE, FIRST_STEPS, GO_ON, MOST_STEPS = 3, 12, 2, 2, 20
+#: The covariance of that part of a normal cloud in five dimensions, times this, is that of the whole; the squared distance up
+#: to which documents have a part in the last fit (39 of 40 normal vectors are as near), and its factor. A document goes if its
 #: squared distance is beyond the cutoff (a normal vector is, once in ten thousand).
-CONSISTENT, CUTOFF = 1.41, 25.74
-#: Least standard deviation of each statistic: a group in which nearly all values are equal is not a reason to reject.
-FLOORS = {"x0": 0.5, "x1": 0.12, "x2": 0.06, "x3": 0.25, "x4": 0.25}
+CONSISTENT, NEAR, NEAR_CONSISTENT, CUTOFF = 1.91, 12.83, 1.05, 25.74
+#: Least standard deviation of each statistic: a group in which nearly all values are equal is not a reason to reject. Those of x3
+#: and x4 are small enough that a quarter of repeated lines, or of repeated words, can reach the cutoff alone.
+FLOORS = {"x0": 0.5, "x1": 0.12, "x2": 0.06, "x3": 0.1, "x4": 0.1}
 STEPS_A_UNIT = 256
 
 
@@ -90,15 +96,16 @@ def _quantile(rows: DataFrame, keys: list[str], step: str, part: float, name: st
     return at.filter(F.col("sum") >= F.col("all") * part).groupBy(*keys).agg(F.min(step).alias(name))
 
 
-def _fit(subset: DataFrame, names: list[str]) -> DataFrame:
-    """(gkey, m0.., a00..): means and the inverse of the Cholesky factor of the covariance of each group."""
+def _fit(subset: DataFrame, names: list[str], keys: tuple[str, ...] = ("gkey",), factor: float = CONSISTENT) -> DataFrame:
+    """(keys..., m0.., a00.., det): means and the inverse of the Cholesky factor of the covariance of each group, and the log of
+    its determinant."""
     d = len(names)
     aggs = [F.avg(x).alias(f"m{i}") for i, x in enumerate(names)]
     aggs += [F.avg(F.col(names[i]) * F.col(names[j])).alias(f"p{i}{j}") for i in range(d) for j in range(i + 1)]
-    est = subset.groupBy("gkey").agg(*aggs)
+    est = subset.groupBy(*keys).agg(*aggs)
     floor = lambda i: F.lit(FLOORS[names[i]] ** 2) if names[i] in FLOORS else F.lit(1e-6)
-    cov = [((F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * CONSISTENT + (floor(i) if i == j else 0)).alias(f"s{i}{j}") for i in range(d) for j in range(i + 1)]
-    est = est.select("gkey", *[f"m{i}" for i in range(d)], *cov)
+    cov = [((F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * factor + (floor(i) if i == j else 0)).alias(f"s{i}{j}") for i in range(d) for j in range(i + 1)]
+    est = est.select(*keys, *[f"m{i}" for i in range(d)], *cov)
     for i in range(d):
         for j in range(i + 1):
             rest = F.col(f"s{i}{j}")
@@ -115,7 +122,12 @@ def _fit(subset: DataFrame, names: list[str]) -> DataFrame:
                     x = x - F.col(f"l{i}{k}") * F.col(f"a{k}{j}")
                 x = x / F.col(f"l{i}{i}")
             est = est.withColumn(f"a{i}{j}", x)
-    return est.select("gkey", *[f"m{i}" for i in range(d)], *[f"a{i}{j}" for i in range(d) for j in range(i + 1)])
+    det = sum((F.log(f"l{i}{i}") for i in range(d)), F.lit(0.0))
+    return est.select(*keys, *_parameters(d), det.alias("det"))
+
+
+def _parameters(d: int) -> list[str]:
+    return [*[f"m{i}" for i in range(d)], *[f"a{i}{j}" for i in range(d) for j in range(i + 1)]]
 
 
 def _distance(names: list[str]) -> Column:
@@ -147,18 +159,49 @@ def outliers(rows: DataFrame, names: list[str]) -> DataFrame:
     spread = salted_join(long, wide, "gkey").withColumn("middle", F.element_at("middles", F.col("name"))).drop("middles")
     spread = spread.withColumn("step", F.abs(step - F.col("middle")))
     spreads = _quantile(spread, ["gkey", "name"], "step", 0.5, "spread")
+    d = len(names)
     start = middles.join(spreads, ["gkey", "name"]).groupBy("gkey")
     at = lambda x, c: F.max(F.when(F.col("name") == x, F.col(c))) / STEPS_A_UNIT
-    start = start.agg(*[at(x, "middle").alias(f"m{i}") for i, x in enumerate(names)], *[at(x, "spread").alias(f"d{i}") for i, x in enumerate(names)])
-    d2 = sum(((F.col(x) - F.col(f"m{i}")) / F.greatest(F.col(f"d{i}") * 1.4826, F.lit(FLOORS.get(x, 1e-3)))) ** 2 for i, x in enumerate(names))
-    start = written(start, "start")
-    measured = salted_join(rows, start, "gkey").select(*rows.columns, _log_step(d2).alias("step"))
-    for _ in range(STEPS):
-        bound = _quantile(measured, ["gkey"], "step", SUBSET, "bound")
-        subset = salted_join(measured, bound, "gkey").filter("step <= bound")
-        fitted = written(_fit(subset, names), "scatter")
-        measured = salted_join(rows, fitted, "gkey").withColumn("d2", _distance(names)).select(*rows.columns, "d2", _log_step(F.col("d2")).alias("step"))
-    return measured.select(*rows.columns, F.col("d2").alias("distance"))
+    scale = lambda i: F.greatest(at(names[i], "spread") * 1.4826, F.lit(FLOORS.get(names[i], 1e-3)))
+    start = start.agg(*[at(x, "middle").alias(f"m{i}") for i, x in enumerate(names)], *[(1 / scale(i)).alias(f"d{i}") for i in range(d)])
+    part = lambda s, i, j: F.col(f"d{i}") if i == j and s in (0, i + 1) else F.lit(0.0)
+    one = lambda s: F.struct(F.lit(s).alias("s"), *[F.col(f"m{i}") for i in range(d)], *[part(s, i, j).alias(f"a{i}{j}") for i in range(d) for j in range(i + 1)], F.lit(0.0).alias("det"))
+    fits = start.select("gkey", F.inline(F.array(*[one(s) for s in range(d + 1)])))
+    slim = written(rows.select("gkey", *names, F.xxhash64(*rows.columns).alias("h")), "vectors")
+    sizes = slim.groupBy("gkey").agg(F.count("*").alias("n"))
+    drawn = salted_join(slim, sizes, "gkey").withColumn("s", F.explode(F.sequence(F.lit(d + 1), F.lit(d + SAMPLES))))
+    drawn = drawn.filter(F.pmod(F.xxhash64("h", "s"), F.ceil(F.col("n") / SAMPLE)) == 0)
+    fits = written(fits.unionByName(_fit(drawn, names, ("gkey", "s"))), "scatter")
+    slim = slim.select("gkey", *names)
+    for _ in range(FIRST_STEPS):
+        fits = _concentrated(slim, fits, names)[0]
+    best = F.row_number().over(Window.partitionBy("gkey").orderBy("det", "s"))
+    fits = written(fits.withColumn("_nth", best).filter(F.col("_nth") <= GO_ON).drop("_nth"), "scatter")
+    was = None
+    for _ in range(MOST_STEPS):
+        fits, bounds = _concentrated(slim, fits, names)
+        if was is not None and bounds.join(was.withColumnRenamed("bound", "was"), ["gkey", "s"]).filter("abs(bound - was) > 1").isEmpty():
+            break
+        was = bounds
+    kept = [*_parameters(d), "det"]
+    fits = fits.groupBy("gkey").agg(F.min_by(F.struct(*kept), F.struct("det", "s")).alias("f")).select("gkey", "f.*")
+    near = salted_join(slim, written(fits, "scatter"), "gkey").filter(_distance(names) <= NEAR)
+    fits = written(_fit(near, names, factor=NEAR_CONSISTENT), "scatter")
+    return salted_join(rows, fits, "gkey").select(*rows.columns, _distance(names).alias("distance"))
+
+
+def _concentrated(rows: DataFrame, fits: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The fits (gkey, s, ...) after a concentration step of each start, and (gkey, s, bound), the bounds of their subsets.
+    ``rows`` are dealt by group once for all starts, which follow row by row."""
+    params = _parameters(len(names))
+
+    def measured(fits: DataFrame, *more: str) -> DataFrame:
+        every = fits.groupBy("gkey").agg(F.collect_list(F.struct("s", *params, *more)).alias("_f"))
+        return salted_join(rows, every, "gkey").select("gkey", *names, F.inline("_f")).withColumn("step", _log_step(_distance(names)))
+
+    bounds = written(_quantile(measured(fits).select("gkey", "s", "step"), ["gkey", "s"], "step", SUBSET, "bound"), "bounds")
+    subset = measured(fits.join(bounds, ["gkey", "s"]), "bound").filter("step <= bound")
+    return written(_fit(subset, names, ("gkey", "s")), "scatter"), bounds
 
 
 def with_groups(rows: DataFrame, least: int = LEAST_GROUP) -> DataFrame:

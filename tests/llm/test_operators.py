@@ -334,6 +334,33 @@ def test_outliers_are_those_of_a_robust_estimate(spark):
     assert all(got[i] > quality.CUTOFF for i in range(400, 460)) and sum(got[i] > quality.CUTOFF for i in range(400)) <= 4
 
 
+def test_a_third_of_bad_copies_does_not_mask_itself(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    good = rng.multivariate_normal([5, 1.7, 0.1, 0.1, 0.1], np.diag([1, 0.04, 0.01, 0.01, 0.01]), 400)
+    bad = rng.multivariate_normal([7, 1.0, 0.9, 2.5, 2.5], np.eye(5) * 1e-4, 200)
+    rows = [("g", i, *map(float, v)) for i, v in enumerate(np.vstack([good, bad]))]
+    df = spark.createDataFrame(rows, "gkey string, id int, x0 double, x1 double, x2 double, x3 double, x4 double")
+    got = {r["id"]: r["distance"] for r in quality.outliers(df, list(quality.FLOORS)).collect()}
+    assert all(got[i] > quality.CUTOFF for i in range(400, 600)) and sum(got[i] > quality.CUTOFF for i in range(400)) <= 4
+
+
+def test_repeats_alone_can_reject(spark):
+    import random
+
+    rnd = random.Random(6)
+    make = lambda n: " ".join(f"w{rnd.randint(0, 5000)}" for _ in range(n))
+    rows = [(i, "\n".join(make(12) for _ in range(rnd.randint(4, 12)))) for i in range(200)]
+    rows.append((500, "\n".join([make(6)] * 10)))  # nothing but one line again and again, in windows too short for the base rule
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).withColumn("source", F.lit("s"))
+    rows = quality.text_statistics(df).withColumn("base_failed", F.lit(False))
+    rows = quality.with_groups(rows).select("*", *[c.alias(x) for x, c in quality.vector().items()])
+    rows = rows.withColumn("x4", F.when(F.col("doc_id") == 500, F.lit(0.0)).otherwise(F.col("x4"))).localCheckpoint()
+    far = {r["doc_id"]: r["distance"] for r in quality.outliers(rows, list(quality.FLOORS)).collect()}
+    assert far[500] > quality.CUTOFF and sum(x > quality.CUTOFF for x in far.values()) <= 4
+
+
 # ---- 9: languages
 
 
