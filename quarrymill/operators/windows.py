@@ -64,9 +64,12 @@ def picks(events: DataFrame, now: str, order: list[Column], limit: int = 6, leas
     here = in_windows(events.filter("status = 'upcoming'"), windows(spark, now).filter("name in ('weekend', 'next30')"))
     chosen = here.agg(F.when(F.count_if(F.col("name") == "weekend") >= least, F.lit("weekend")).otherwise(F.lit("next30")).alias("chosen"))
     rows = here.join(F.broadcast(chosen), F.col("name") == F.col("chosen"))
-    # Only the best matter: the base order is cut by a running place per score, which needs no more than the first few of each.
-    rows = rows.withColumn("base", pick_score()).withColumn("at", F.row_number().over(Window.partitionBy("base").orderBy(*order))).filter(F.col("at") <= 50 * limit)
-    rows = rows.withColumn("pos", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("score", F.round(F.col("base") - discount * F.col("pos"), 6))
+    # The base order goes by start as text, so a place is that within the day plus the rows of earlier days, of which there are few.
+    rows = rows.withColumn("base", pick_score()).withColumn("_day", F.substring("starts_at", 1, 10))
+    days = rows.groupBy("_day").agg(F.count("*").alias("n"))
+    days = days.withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    rows = rows.join(F.broadcast(days), "_day").withColumn("pos", F.col("_before") + F.row_number().over(Window.partitionBy("_day").orderBy(*order)) - 1)
+    rows = rows.withColumn("score", F.round(F.col("base") - discount * F.col("pos"), 6))
     same = Window.partitionBy(F.substring("starts_at", 1, 10), F.substring("title", 1, 12)).orderBy(F.desc("score"), "pos")
     rows = rows.withColumn("nth", F.row_number().over(same)).filter("nth = 1")
     return rows.orderBy(F.desc("score"), "pos").limit(limit).select("uid", "score")
@@ -77,15 +80,15 @@ def similar(events: DataFrame, limit: int = 4, discount: float = 0.01, most: int
 
     The score is 1 for the same district, 0.5 for the same organiser, less 0.01 for each place in the type's order of upcoming
     rows. It is at most 1.5, so nothing after some 154 rows of other titles can be among the best: the candidates of a type
-    are the rows whose place, less the count of the type's most frequent title before them, is at most ``most``. The result is
-    exact, and the join grows with the listings and not with their square.
+    are the rows whose place, less the largest count that any title has before them, is at most ``most``, and of each title
+    the first ``most`` + 1. The result is exact, and the join grows with the listings and not with their square.
     """
     rows = events.select("uid", "type", N.title_key(F.col("title")).alias("t"), F.coalesce("starts_at", F.lit("9999")).alias("at"), "district", "organizer", "status")
-    top = rows.filter("status = 'upcoming'").groupBy("type", "t").agg(F.count("*").alias("n")).groupBy("type").agg(F.max_by("t", F.struct("n", "t")).alias("_top"))
     w = Window.partitionBy("type").orderBy("at", "uid")
-    cand = rows.filter("status = 'upcoming'").join(top, "type")
-    cand = cand.withColumn("pos", F.row_number().over(w) - 1).withColumn("same", F.sum((F.col("t") == F.col("_top")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    cand = cand.filter(F.col("pos") - F.coalesce("same", F.lit(0)) <= most)
+    cand = rows.filter("status = 'upcoming' and type is not null")
+    cand = cand.withColumn("pos", F.row_number().over(w) - 1).withColumn("nth", F.row_number().over(Window.partitionBy("type", "t").orderBy("at", "uid")))
+    cand = cand.withColumn("same", F.max("nth").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    cand = cand.filter((F.col("pos") - F.coalesce("same", F.lit(0)) <= most) & (F.col("nth") <= most + 1)).drop("nth", "same")
     c = cand.select("type", F.col("uid").alias("other"), F.col("t").alias("ot"), F.col("district").alias("od"), F.col("organizer").alias("oo"), F.col("at").alias("oat"), "pos")
     pairs = rows.join(c, "type").filter((F.col("t") != F.col("ot")) & (F.col("uid") != F.col("other")))
     kth = F.row_number().over(Window.partitionBy("uid").orderBy("pos"))

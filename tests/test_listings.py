@@ -125,3 +125,20 @@ def test_empty_tables(spark):
     none = listing(spark).withColumn("is_new", F.lit(False))
     assert L.query(none, NOW).count() == L.merge_duplicates(none).count() == L.other_sessions(none).count() == W.similar(none).count() == 0
     assert L.glance(none).first()["total"] == 0
+
+
+def test_similar_looks_past_a_long_run_of_one_title(spark):
+    rows = [{"uid": f"a{i:04}", "title": "first", "starts_at": f"2024-07-01T00:{i // 60:02}:{i % 60:02}+08:00"} for i in range(1000)]
+    rows += [{"uid": f"b{i:04}", "title": "more often", "starts_at": f"2024-08-01T00:{i // 60:02}:{i % 60:02}+08:00"} for i in range(1100)]
+    got = {(r["uid"], r["nth"]): (r["other"], r["score"]) for r in W.similar(listing(spark, *rows)).collect()}
+    assert len(got) == 4 * 2100
+    for i in (0, 999):
+        assert [got[f"a{i:04}", k] for k in (1, 2, 3, 4)] == [(f"b000{k - 1}", round(-0.01 * (k - 1), 6)) for k in (1, 2, 3, 4)]
+        assert [got[f"b{i:04}", k][0] for k in (1, 2, 3, 4)] == ["a0000", "a0001", "a0002", "a0003"]
+
+
+def test_picks_count_every_row_before(spark):
+    rows = [{"uid": f"a{i:04}", "title": "same", "starts_at": f"2024-06-15T13:{i // 60:02}:{i % 60:02}+08:00"} for i in range(1000)]
+    rows += [{"uid": f"z{k}", "title": f"late {k}", "starts_at": "2024-06-16T12:00:00+08:00", "is_free": True} for k in range(3)]
+    got = [(r["uid"], r["score"]) for r in W.picks(listing(spark, *rows), NOW, L.order()).collect()]
+    assert got == [("a0000", 0.0), ("z0", -1.0), ("z1", -1.002), ("z2", -1.004)]
