@@ -42,9 +42,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, each as often as it takes it."""
-    taken = mixing.fair_mix(docs).filter("passes > 0").select("doc_id", "size", "passes").groupBy("doc_id").agg(F.max("passes").alias("passes"))
-    rows = docs.select(*COLUMNS).join(taken, "doc_id")
+    """The documents that the mix takes, each as often as it takes it. Passes stay with their own row, whatever ids are null or
+    repeated: rows are known by all their columns, and the passes of equal rows are added."""
+    keyed = docs.select(*COLUMNS, F.md5(F.to_json(F.struct(*COLUMNS))).alias("_row"))
+    taken = mixing.fair_mix(keyed, more=("_row",)).filter("passes > 0").groupBy("_row").agg(F.sum("passes").cast("int").alias("passes"))
+    rows = keyed.dropDuplicates(["_row"]).join(taken, "_row")
     return rows.withColumn("passes", F.explode(F.sequence(F.lit(1), "passes"))).select(*COLUMNS)
 
 

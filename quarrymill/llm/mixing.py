@@ -46,16 +46,17 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share=SHARE, repeats=REPEA
     return per.select("source", "skey", "source_size", "weight", "budget", target.alias("target"))
 
 
-def fair_mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, repeats=REPEATS, bucket_digits: int = 3) -> DataFrame:
-    """One row a document of ``docs`` (doc_id, text, source): doc_id, skey, size, source_size, target, passes, taken.
+def fair_mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, repeats=REPEATS, bucket_digits: int = 3, more: tuple[str, ...] = ()) -> DataFrame:
+    """One row a document of ``docs`` (doc_id, text, source): doc_id, skey, size, source_size, target, passes, taken, ``more``.
 
     A null text has no words; documents without words, and those of a source without words, are never taken. A null source
     is a source of its own, last in order. Rows with one doc_id are separate documents next to each other in the shuffle.
-    An empty table gives an empty table. Of the input, only doc_id, text and source are looked at.
+    An empty table gives an empty table. Of the input, only doc_id, text and source are looked at; the columns ``more`` stay with
+    their rows.
     """
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
     skey = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    sized = docs.select("doc_id", "source", skey.alias("skey"), size.alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("place"))
+    sized = docs.select("doc_id", "source", skey.alias("skey"), size.alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("place"), *more)
     sized = written(sized.withColumn("bucket", F.substring("place", 1, bucket_digits)), "mix-sizes")
     targets = source_targets(sized, weights, share, repeats)
     sums = sized.groupBy("skey", "bucket").agg(F.sum("size").alias("words"))
@@ -66,14 +67,14 @@ def fair_mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, repeats=REPEATS, buc
     queued = sized.join(sums, ["skey", "bucket"]).withColumn("cum", F.col("before") + F.sum("size").over(inside))
     queued = queued.withColumn("nth", F.row_number().over(inside))
     finishes = [F.when((F.col("target") > 0) & (F.col("size") > 0), (F.col("cum") + i * F.col("source_size")) / F.col("target")) for i in range(repeats)]
-    queued = written(queued.withColumn("finish", F.array(*finishes)).select("doc_id", "skey", "place", "nth", "size", "source_size", "target", "budget", "finish"), "mix-queue")
+    queued = written(queued.withColumn("finish", F.array(*finishes)).select("doc_id", "skey", "place", "nth", "size", "source_size", "target", "budget", "finish", *more), "mix-queue")
     cut = _cut(queued)
     if cut is None:
-        return queued.select("doc_id", "skey", "size", "source_size", "target", F.lit(0).alias("passes"), F.lit(0).cast("long").alias("taken"))
+        return queued.select("doc_id", "skey", "size", "source_size", "target", F.lit(0).alias("passes"), F.lit(0).cast("long").alias("taken"), *more)
     last = F.struct(F.lit(cut["finish"]), F.lit(cut["skey"]), F.lit(cut["place"]), F.lit(cut["nth"]))
     passes = F.size(F.filter("finish", lambda f: F.struct(f, F.col("skey"), F.col("place"), F.col("nth")) <= last))
     passes = F.when(F.col("size") > 0, passes).otherwise(0)
-    return queued.select("doc_id", "skey", "size", "source_size", "target", passes.alias("passes"), (passes * F.col("size")).cast("long").alias("taken"))
+    return queued.select("doc_id", "skey", "size", "source_size", "target", passes.alias("passes"), (passes * F.col("size")).cast("long").alias("taken"), *more)
 
 
 def _cut(queued: DataFrame):

@@ -1,6 +1,7 @@
 """The pipeline stage by stage against plain versions on its own inputs."""
 
 import corpus_pipeline as P
+from pyspark.sql import functions as F
 
 from quarrymill.llm.common import written
 
@@ -36,3 +37,20 @@ def test_stages(spark):
 def test_run(spark):
     rows = P.run(spark, SMALL)
     assert rows.count() > 0 and rows.filter("not round_trip").count() == 0
+
+
+def test_mixing_keeps_null_and_repeated_ids_apart(spark):
+    import collections
+
+    from quarrymill.llm import mixing
+
+    text = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(None, text(900, 30), "en", "b", 7), (None, text(901, 20), None, None, 7), (None, text(901, 20), None, None, 7)]
+    rows += [(k % 8, text(k, 5 + k), "en", "abc"[k % 3], 7) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = collections.Counter(tuple(r) for r in P.mix(spark, docs, SMALL).collect())
+    want = collections.Counter()
+    for r in mixing.fair_mix(docs.withColumn("whole", F.struct(*P.COLUMNS)), more=("whole",)).collect():
+        want[tuple(r["whole"])] += r["passes"]
+    assert got == +want and any(r[0] is None for r in got)
+    assert sum(len(r[1].split()) * n for r, n in got.items()) <= int(1.5 * sum(len(r[1].split()) for r in rows))
