@@ -66,6 +66,20 @@ def salted_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner", s
     return dealt.join(spread, [on, "_salt"], how).drop("_salt")
 
 
+#: Parts of all rows: a value that has more than one of them is hot, so there are no more hot values than this.
+HOT = 1000
+
+
+def hot_join(big: DataFrame, small: DataFrame, on: str, n: str, how: str = "inner") -> DataFrame:
+    """``big`` joined (inner or left) with ``small``, a written table with one row for each value of ``on``, whose column ``n``
+    says how many rows of ``big`` have it, about. The values with more than one in HOT of these rows, HOT at most, are
+    broadcast; the others go by shuffle, in which no value stands out."""
+    total = small.agg(F.sum(n).alias("n")).first()["n"] or 0
+    is_hot = F.col(n) > max(total / HOT, 1)
+    hot = F.broadcast(small.filter(is_hot))
+    return big.join(hot, on).unionByName(big.join(hot, on, "left_anti").join(small.filter(~is_hot), on, how), allowMissingColumns=True)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

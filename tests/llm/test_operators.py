@@ -80,14 +80,96 @@ def test_lm_learns(spark):
 def test_lm_decisions_are_a_distribution():
     import numpy as np
 
-    pairs = np.zeros(65536, np.int64)
-    pairs[[97 * 256 + 98, 97 * 256 + 99, 97]] = [50, 20, 3]
-    trees = lmscore.Trees(pairs)
-    assert np.allclose((0.5 ** trees.length.reshape(256, 256).astype(float)).sum(1), 1)
-    # with empty tables every decision has a half, so a byte costs its path
-    model = lmscore.Model(trees, [np.zeros(lmscore.SLOTS, np.int16)] * 3)
-    want = trees.length[[97, 97 * 256 + 98, 98 * 256]].sum() * math.log(2)
-    assert model.costs([b"ab"])[0] == pytest.approx(want, rel=1e-6)
+    singles, own = np.zeros((256, 256), np.int64), np.zeros((1, 256), np.int64)
+    singles[97, [98, 99]] = [50, 20]
+    singles[0, 97] = 3
+    own[0, 98] = 9
+    trees = lmscore.Trees(singles, np.array([97 * 256 + 97]), own)
+    assert np.allclose((0.5 ** trees.length.reshape(257, 256).astype(float)).sum(1), 1)
+    # with empty tables every decision has a half, so a byte costs its path, in the tree of the two bytes before if it has one
+    model = lmscore.Model(trees, [np.zeros(lmscore.SLOTS + 256, np.int16)] * 3)
+    length = trees.length.reshape(257, 256)
+    assert model.costs([b"ab"])[0][0] == pytest.approx((length[0, 97] + length[97, 98] + length[98, 0]) * math.log(2), rel=1e-6)
+    assert model.costs([b"x", b"aab"])[0][1] == pytest.approx((length[0, 97] + length[97, 97] + length[256, 98] + length[98, 0]) * math.log(2), rel=1e-6)
+
+
+def coded(model, text):
+    """The cost of a text's bytes, decision by decision."""
+    import numpy as np
+
+    x = lmscore.PAD + text + b"\0"
+    keys = lmscore.contexts(x, np.arange(len(lmscore.PAD), len(x)), model.trees.tree)
+    weights = np.array(lmscore.WEIGHTS)
+    blocks = lmscore._blocks(len(text) + 1)[: len(text) + 1]
+    total = 0.0
+    for block in range(int(blocks[-1]) + 1):
+        steps, seen = np.zeros_like(weights), np.zeros(len(weights))
+        for i in np.flatnonzero(blocks == block):
+            slot = [int(lmscore.slots(k[i : i + 1])[0]) for k in keys]
+            gate = 2 * (abs(model.tables[2][slot[2]]) >= lmscore.SURE * lmscore.FINE) + (abs(model.tables[1][slot[1]]) >= lmscore.SURE * lmscore.FINE)
+            for code in model.trees.paths(keys[0][i : i + 1])[1].tolist():
+                sign = 1 if code & 1 else -1
+                logits = np.array([t[p + (code >> 1)] / lmscore.FINE for t, p in zip(model.tables, slot, strict=True)])
+                p = 1 / (1 + math.exp(-sign * float(weights[gate] @ logits)))
+                total -= math.log(p)
+                steps[gate] += (1 - p) * sign * logits
+                seen[gate] += 1
+        weights = np.clip(weights + lmscore.STEP * steps / (seen + 200)[:, None], 0, 2)
+    return total
+
+
+def test_lm_codes_as_decision_by_decision():
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(4)
+    make = lambda n: " ".join(rnd.choice(["the", "then", "theme", "Ünï", "x1\n"]) for _ in range(n)).encode()
+    singles = np.zeros((256, 256), np.int64)
+    learnt = make(3000)
+    np.add.at(singles, (list(learnt[:-1]), list(learnt[1:])), 1)
+    trees = lmscore.Trees(singles)
+    tables = []
+    x = lmscore.PAD + learnt + b"\0"
+    for key in lmscore.contexts(x, np.arange(len(lmscore.PAD), len(x)), trees.tree):
+        counts = np.full((lmscore.SLOTS + 256, 2), lmscore.PRIOR)
+        n, code = trees.paths(key)
+        np.add.at(counts.reshape(-1), np.repeat(lmscore.slots(key) * 2, n) + code, 1)
+        tables.append(np.rint(np.log(counts[:, 1] / counts[:, 0]) * lmscore.FINE).astype(np.int16))
+    model = lmscore.Model(trees, tables)
+    held = [b"", b"q", make(40), make(300), "ünknown wörds, and the rest".encode() * 5]
+    costs = model.costs(held)[0]
+    assert costs == pytest.approx([coded(model, t) for t in held], rel=1e-4)
+    assert costs[3] / len(held[3]) < 1.2 < costs[4] / len(held[4])
+    # the gate says something: known contexts are sure far more often than unknown ones
+    sure = lambda t: np.mean(np.abs(tables[2].take(lmscore.slots(lmscore.contexts(lmscore.PAD + t + b"\0", np.arange(4, len(t) + 5), trees.tree)[2]))) >= lmscore.SURE * lmscore.FINE)
+    assert sure(held[3]) > 0.5 > 0.1 > sure(bytes(rnd.randrange(256) for _ in range(2000)))
+
+
+def test_lm_tells_texts_that_stand_twice_apart(spark):
+    import random
+
+    rnd = random.Random(9)
+    make = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 6))) for _ in range(n))
+    twice, once = make(600), [make(600) for _ in range(20)]
+    rows = [(1, twice, True), (2, twice, True), (3, twice, False), *[(10 + i, x, i % 2 == 0) for i, x in enumerate(once)], (99, None, True)]
+    got = {r["doc_id"]: r for r in lmscore.score(spark.createDataFrame(rows, "doc_id long, text string, learn boolean").repartition(3)).collect()}
+    assert max(got[i]["bits_per_byte"] for i in (1, 2, 3)) < 0.5 * min(got[10 + i]["bits_per_byte"] for i in range(20))
+    assert all(got[i]["n_foretold"] > 10 for i in (1, 2, 3)) and all(got[10 + i]["n_foretold"] == 0 for i in range(20))
+    # what phrases save is what the decisions, coded one after another, say
+    model, _, known, _ = lmscore.train(spark.createDataFrame(rows, "doc_id long, text string, learn boolean"))
+    table = {r["context"]: r for r in known.collect()}
+    cost, ((context, phrase, spent),) = model.costs([twice.encode()])
+    total, w, b, gate = cost[0], [lmscore.TRUST] * 3, list(lmscore.BIAS), 0
+    for c, p, nats in zip(context.tolist(), phrase.tolist(), spent.tolist(), strict=True):
+        if c in table:
+            r, met = table[c], table[c]["guess"] == p
+            x = math.log((r["c"] + 0.5) / (r["n"] - r["c"] + 0.5))
+            good = 1 / (1 + math.exp(-(w[gate] * x + b[gate])))
+            total += -math.log(good if met else 1 - good) - (nats if met else 0)
+            move = lmscore.TRUST_STEP * (1 - good if met else -good)
+            w[gate], b[gate], gate = w[gate] + move * x, b[gate] + move, 1 if met else 2
+    assert got[3]["score"] == pytest.approx(-total / math.log(10), rel=1e-6)
 
 
 # ---- 2: byte pairs
