@@ -1,9 +1,10 @@
 """Document fingerprints: MinHash signatures over word shingles, banded and joined.
 
-``signatures`` maps texts to signatures without a shuffle. ``near_duplicates`` explodes signatures into bands, joins the
-documents of a band bucket with the bucket's first document only (so a bucket of any size gives as many pairs as it has
-documents), and verifies the Jaccard similarity of each pair exactly. ``beside_next`` streams documents in descending order
-of id, each with its successor, over a range partition, and compares fingerprints.
+``signatures`` maps texts to signatures without a shuffle. ``near_duplicates`` joins the bands of signatures: texts with equal
+shingle sets become one class first, classes that share a band bucket are compared (in pairs of blocks, so a bucket of any size
+is dealt out), and the Jaccard similarity of what the signatures don't rule out is verified exactly. ``beside_next`` streams
+documents in descending order of id, each with its successor, over a range partition, and compares fingerprints; classes and
+link counts travel with the documents as short rows of their own.
 """
 
 from __future__ import annotations
@@ -12,14 +13,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, small_batches, written
+from .common import shuffle_parts, small_batches
+from .ngramjoin import Banding, digest, linked
 from .shingles import MinHash, shingle_set
 
-#: Hash functions; rows of a band. Pairs of similarity 0.8 share no band of 16 with 4 rows in 2 of 10,000 cases.
-SIZE, ROWS, SIMILAR = 64, 4, 0.8
+#: Hash functions; rows of a band; similarity; the chance that too few values of a signature agree at that similarity. Pairs of
+#: similarity 0.8 share no band of 16 with 4 rows in 2 of 10,000 cases.
+SIZE, ROWS, SIMILAR, MISSED = 64, 4, 0.8, 1e-6
 LOWEST = -(1 << 63)
 
 
@@ -51,42 +55,34 @@ def signatures(docs: DataFrame, size: int = SIZE, text: str = "text", out: str =
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, rows: int = ROWS, threshold: float = SIMILAR) -> DataFrame:
-    """(doc_id, like_id, jaccard): documents with the first document (least id) of a band bucket that they share, where the
-    exact Jaccard similarity of their shingle sets is at least ``threshold``; like_id < doc_id.
+    """(doc_id, row, key, class_id, copy_id, n_links, first) of every row of ``docs`` (doc_id, text): n_links counts the other
+    documents with an exact Jaccard similarity of ``threshold`` or more, class_id is the least doc_id that such links lead to.
 
-    Texts without words are like no other. Null ids are left out; rows with one id are one document (its texts' buckets all
-    count). Linking every document of a bucket to its first keeps the output linear in the input.
+    row is the MD5 of the text, key the digest of its shingle set, copy_id the least doc_id with it, first whether the row is its
+    class's first. Texts without words and null ids are like no other. Rows with one doc_id are separate documents.
     """
-    width = rows * 4
-
-    @F.pandas_udf("array<long>")
-    def sets(texts):
-        return texts.map(lambda x: shingle_set(x).view(np.int64))
-
-    base = docs.filter("doc_id is not null").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    base = written(signatures(base, size).select("doc_id", "signature", sets("text").alias("shingles")), "fingerprints")
-    bands = base.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(size // rows - 1)), lambda i: F.substring(F.col("signature"), i * width + 1, F.lit(width)))).alias("band", "bits"))
-    first = bands.groupBy("band", "bits").agg(F.min("doc_id").alias("like_id"), F.count("*").alias("n")).filter("n > 1")
-    pairs = bands.join(first, ["band", "bits"]).filter("doc_id <> like_id").select("doc_id", "like_id").distinct()
-    a = base.select("doc_id", F.col("shingles").alias("a"))
-    b = base.select(F.col("doc_id").alias("like_id"), F.col("shingles").alias("b"))
-    both = pairs.join(a, "doc_id").join(b, "like_id")
-    common = F.size(F.array_intersect("a", "b"))
-    scored = both.withColumn("jaccard", common / (F.size("a") + F.size("b") - common))
-    return scored.filter(F.col("jaccard") >= threshold).groupBy("doc_id", "like_id").agg(F.max("jaccard").alias("jaccard"))
-
-
-def beside_next(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    return linked(docs.select("doc_id", "text"), threshold, MISSED, Banding(size // rows, rows, seed=1, step=size))
+
+
+def beside_next(docs: DataFrame, size: int = SIZE, near: DataFrame | None = None) -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likenesses (see the columns below), one row a document.
 
     The edited text has the last floor(n/2) code points replaced by the first as many (or all) of the next document in
     descending order of doc_id; after the last comes the first. A null text is empty, a null doc_id comes last, rows with one
-    id are ordered by text. Documents are range-partitioned by id once; only the first document of each range, which the
-    range above needs as its last successor, goes to two tasks.
+    id are ordered by a hash of the text; ids are long integers. Documents are range-partitioned by id once; only the first
+    document of each range, which the range above needs as its last successor, goes to two tasks.
+
+    With ``near``, the result of near_duplicates, class_id and n_links are those of it; else each document is its own class.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id"), F.lit(LOWEST)).alias("_at"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+    @F.pandas_udf("binary")
+    def packed(texts):
+        coder = zstandard.ZstdCompressor(3)
+        return texts.map(lambda x: coder.compress(x.encode()))
+
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id"), F.lit(LOWEST)).alias("_at"), packed(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
     parts = shuffle_parts(spark)
     ids = rows.select("_at")
     marks = ids.agg(F.percentile_approx("_at", [i / parts for i in range(1, parts)] or [0.5], 10000).alias("m")).first()["m"]
@@ -118,32 +114,47 @@ def beside_next(docs: DataFrame, size: int = SIZE) -> DataFrame:
     placed = rows.withColumn("_p", places("_at", range_of("_at")))
     placed = placed.withColumn("_k", F.explode(F.sequence(F.lit(0), (F.size("_p") / 2).cast("int") - 1)))
     placed = placed.withColumn("_part", F.element_at("_p", F.col("_k") * 2 + 1)).withColumn("_as", F.element_at("_p", F.col("_k") * 2 + 2)).drop("_p", "_k")
-    dealt = placed.repartitionById(max(parts, len(bounds) + 1), F.col("_part"))
-    order = [(F.col("_as") == 2).cast("int"), F.col("_at").desc(), "text"]
-    dealt = dealt.sortWithinPartitions(*order).select("doc_id", "_as", "text")
+    columns = ["doc_id", "_at", "_part", "_as", "text", "key", "class_id", "n_links"]
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    placed = placed.select("doc_id", "_at", "_part", "_as", "text", none("binary", "key"), none("long", "class_id"), none("long", "n_links"))
+    if near is not None:  # a row that says so comes before the rows of its document
+        told = near.filter("n_links > 0").select("doc_id", "key", "class_id", "n_links").distinct()
+        told = told.select("doc_id", F.col("doc_id").alias("_at"), range_of("doc_id").alias("_part"), F.lit(-1).alias("_as"), none("binary", "text"), "key", "class_id", "n_links")
+        placed = placed.unionByName(told)
+    dealt = placed.select(*columns).repartitionById(max(parts, len(bounds) + 1), F.col("_part"))
+    order = [(F.col("_as") == 2).cast("int"), F.col("_at").desc(), (F.col("_as") != -1).cast("int"), F.xxhash64("text"), "text"]
+    dealt = dealt.sortWithinPartitions(*order).select("doc_id", "_as", "text", "key", "class_id", "n_links")
 
     def run(batches):
-        held = None  # doc_id, text, signature of the row before
+        held, facts = None, {}  # doc_id, text, signature, class and links of the row before; what is told of the id at hand
+        coder = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for doc_id, role, text in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "_as", "text")], strict=True):
-                sig = signature(text, size)
+            for doc_id, role, text, key, class_id, n_links in zip(*[batch.column(c).to_pylist() for c in dealt_columns], strict=True):
+                if role == -1:
+                    facts = {k: v for k, v in facts.items() if k[0] == doc_id} | {(doc_id, key): (class_id, n_links)}
+                    continue
+                text = coder.decompress(text).decode()
+                shingles = shingle_set(text)
+                sig = _minhash(size).signature(shingles)
                 if held is not None:
                     out.append(_row(*held, text, sig, size))
-                held = (doc_id, text, sig) if role == 0 else None
+                near_by = facts.get((doc_id, digest(shingles))) if any(k[0] == doc_id for k in facts) else None
+                held = (doc_id, text, sig, *(near_by or (doc_id, 0))) if role == 0 else None
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _KINDS, strict=True)], names=_NAMES)
 
-    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    dealt_columns = dealt.columns
+    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long, n_links long")
 
 
-_NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+_NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id", "n_links"]
+_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
 
 
-def _row(doc_id, text, sig, next_text, next_sig, size):
+def _row(doc_id, text, sig, class_id, n_links, next_text, next_sig, size):
     half = len(text) // 2
     edited = text[: len(text) - half] + next_text[:half]
     other = signature(edited, size)
     hexed = lambda s: s.astype(">u4").tobytes().hex()
-    return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), hexed(sig), hexed(other), likeness(sig, other), likeness(sig, next_sig)
+    return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), hexed(sig), hexed(other), likeness(sig, other), likeness(sig, next_sig), class_id, n_links

@@ -18,20 +18,40 @@ from __future__ import annotations
 
 from functools import lru_cache
 from math import comb
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_groups, small_batches, text_of, written
+from .common import arrow_groups, hot_join, small_batches, text_of, written
 from .components import components
 from .shingles import MinHash, shingle_set
 
 #: Bands and rows of the signature (a pair of similarity 0.8 shares none in 3 of a million cases), values compared at a time,
 #: the posterior probability below which a pair is dropped, classes of a block.
 BANDS, ROWS, STEP, TOLERANCE, BLOCK, SIMILAR = 24, 4, 16, 1e-6, 256, 0.8
+#: Bits of the map that keeps texts which are no candidates from being shuffled.
+BITS = 1 << 26
+
+
+class Banding(NamedTuple):
+    """Bands and rows of a signature, the seed of its hash functions, and the values compared at a time."""
+
+    bands: int = BANDS
+    rows: int = ROWS
+    seed: int = 3
+    step: int = STEP
+
+    @property
+    def size(self) -> int:
+        return self.bands * self.rows
+
+    def hashes(self) -> MinHash:
+        return MinHash(self.size, self.seed)
 
 
 @lru_cache
@@ -81,22 +101,28 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return low
 
 
-def _key(shingles: np.ndarray) -> bytes | None:
+def digest(shingles: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, sig): the digest of each text's shingle set and its signature, 16 bits a value; null without words."""
-    hashes = MinHash(BANDS * ROWS, seed=3)
+def sketches(docs: DataFrame, banding: Banding) -> DataFrame:
+    """(doc_id, row, key, sig): the MD5 of each text, the digest of its shingle set and its signature, 16 bits a value; the last
+    two are null without words."""
+    hashes = banding.hashes()
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(x) for x in batch.column("text").to_pylist()]
             sigs = [hashes.signature(s).astype("<u2").tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(_key, sets), pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "key", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(map(digest, sets), pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "row", "key", "sig"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(run, f"doc_id {kind}, key binary, sig binary")
+    return docs.select("doc_id", row_of().alias("row"), text_of(docs).alias("text")).mapInArrow(run, f"doc_id {kind}, row binary, key binary, sig binary")
+
+
+def row_of() -> Column:
+    """What tells rows of one doc_id apart: the MD5 of the text, null as empty."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
 
 
 def in_blocks(members: DataFrame, group: str, n: Column) -> DataFrame:
@@ -123,13 +149,13 @@ def _pairs(sigs, rows, side, plan):
     return left[i], right[j]
 
 
-def candidates(classes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+def candidates(classes: DataFrame, threshold: float, tolerance: float, banding: Banding) -> DataFrame:
     """(a, b): keys of ``classes`` (key, sig) with the least key that pruning leaves them connected with in a block pair."""
-    plan, width = least_agreeing(threshold, tolerance, BANDS * ROWS), ROWS * 2
+    plan, width = least_agreeing(threshold, tolerance, banding.size, banding.step), banding.rows * 2
     band = lambda i: F.xxhash64(F.substring(F.col("sig"), i * width + 1, F.lit(width)), i)
-    bands = classes.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = written(bands.join(shared, "bucket"), "buckets")
+    bands = classes.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.lit(banding.bands - 1)), band)).alias("bucket"))
+    shared = written(bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    members = written(hot_join(bands, shared, "bucket", "n"), "buckets")
     members = members.join(classes, "key")
 
     def run(batches):
@@ -148,11 +174,11 @@ def candidates(classes: DataFrame, threshold: float, tolerance: float) -> DataFr
     return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def verified(members: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+def verified(members: DataFrame, threshold: float, tolerance: float, banding: Banding) -> DataFrame:
     """(a, b, links) for ``members`` (comp, n, key, copies, text): in each block pair, the documents that a class is linked
     with, and the least class that exact links connect it with."""
-    plan = least_agreeing(threshold, tolerance, BANDS * ROWS)
-    hashes = MinHash(BANDS * ROWS, seed=3)
+    plan = least_agreeing(threshold, tolerance, banding.size, banding.step)
+    hashes = banding.hashes()
 
     def run(batches):
         for _, rows in arrow_groups(_sets(batches), ("comp", "lo", "hi"), ("key", "copies", "side", "set")):
@@ -189,11 +215,59 @@ def _sets(batches):
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
             sets = [shingle_set(x) for x in part.column("text").to_pylist()]
-            fits = pa.array([_key(s) == k for s, k in zip(sets, part.column("key").to_pylist(), strict=True)])
+            fits = pa.array([digest(s) == k for s, k in zip(sets, part.column("key").to_pylist(), strict=True)])
             part = part.select([c for c in part.schema.names if c != "text"])
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array([s.tobytes() for s in sets], pa.binary())], names=[*part.schema.names, "set"]).filter(fits)
 
 
+def linked(docs: DataFrame, threshold: float = SIMILAR, tolerance: float = TOLERANCE, banding: Banding | None = None) -> DataFrame:
+    """One row a document of ``docs`` (doc_id, text): doc_id, row, key, class_id, copy_id, n_links, first; see similar_classes.
+
+    row and key are the digests of the text and of its shingle set; first is whether it is the first row of its class by doc_id
+    and row. For texts without words and null ids key is null, and first is true.
+    """
+    banding = banding or Banding()
+    small_batches(docs.sparkSession)
+    sketch = written(sketches(docs, banding), "sketches")
+    has_key = F.col("key").isNotNull() & F.col("doc_id").isNotNull()
+    classes = sketch.filter(has_key).groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("head"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    classes = written(classes, "classes")
+    groups = written(components(candidates(classes.select("key", "sig"), threshold, tolerance, banding)), "groups")
+    sizes = written(groups.groupBy("comp").agg(F.count("*").alias("n")), "sizes")
+    members = hot_join(groups.withColumnRenamed("node", "key"), sizes, "comp", "n")
+    members = written(members.join(classes.select("key", F.col("head.doc_id").alias("copy_id"), "copies"), "key"), "members")
+    texts = known_only(docs.filter("doc_id is not null").select(F.col("doc_id").alias("copy_id"), text_of(docs).alias("text")), members, "copy_id")
+    exact = written(verified(texts.join(members, "copy_id"), threshold, tolerance, banding), "verified")
+    links = exact.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "key")
+    named = written(components(exact.select("a", "b")).withColumnRenamed("node", "key").join(classes.select("key", "head"), "key"), "named")
+    heads = written(named.groupBy("comp").agg(F.min("head").alias("first"), F.count("*").alias("n")), "heads")
+    named = hot_join(named.select("key", "comp"), heads, "comp", "n").select("key", "first")
+    rows = classes.select("key", "head", "copies").join(links, "key", "left").join(named, "key", "left")
+    rows = written(rows.select("key", "head", F.coalesce("first", "head").alias("first"), "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "linked")
+    out = hot_join(sketch.filter(has_key).select("doc_id", "row", "key"), rows, "key", "copies")
+    out = out.select("doc_id", "row", "key", F.col("first.doc_id").alias("class_id"), F.col("head.doc_id").alias("copy_id"), "n_links", (F.struct("doc_id", "row") == F.col("first")).alias("first"))
+    alone = sketch.filter(~has_key).select("doc_id", "row", F.lit(None).cast("binary").alias("key"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first"))
+    return out.unionByName(alone)
+
+
+def known_only(rows: DataFrame, known: DataFrame, on: str) -> DataFrame:
+    """``rows`` without most of those whose ``on`` isn't in ``known``, before they are shuffled: a bitmap of BITS hashed values
+    of ``known``, which has the same size whatever the input, is broadcast. It only saves shuffling; a join must follow."""
+    place = F.pmod(F.xxhash64(on), F.lit(BITS))
+    maps = known.select((place + 1).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("m"))
+    bits = np.zeros(BITS // 8, np.uint8)
+    for r in maps.toLocalIterator():  # BITS / 32768 maps of 4096 bytes at most, counted from 1
+        bits[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def there(place):
+        p = place.to_numpy()
+        return pd.Series((shared.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1)
+
+    return rows.filter(there(place))
+
+
 def similar_classes(docs: DataFrame, threshold: float = SIMILAR, tolerance: float = TOLERANCE) -> DataFrame:
     """One row a document of ``docs`` (doc_id, text): doc_id, class_id, copy_id, n_links.
 
@@ -202,34 +276,19 @@ def similar_classes(docs: DataFrame, threshold: float = SIMILAR, tolerance: floa
     words is one shingle. Texts without words, null texts and null ids are linked with none and stand for themselves. Rows
     with one doc_id are separate documents.
     """
-    small_batches(docs.sparkSession)
-    sketch = written(sketches(docs), "sketches")
-    usable = sketch.filter("key is not null and doc_id is not null")
-    classes = written(usable.groupBy("key").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")
-    groups = components(candidates(classes.select("key", "sig"), threshold, tolerance))
-    sizes = groups.groupBy("comp").agg(F.count("*").alias("n"))
-    members = groups.withColumnRenamed("node", "key").join(sizes, "comp").join(classes.select("key", "copy_id", "copies"), "key")
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").alias("copy_id"), text_of(docs).alias("text"))
-    exact = written(verified(texts.join(members, "copy_id"), threshold, tolerance), "verified")
-    links = exact.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "key")
-    whole = components(exact.select("a", "b"))
-    named = whole.withColumnRenamed("node", "key").join(classes.select("key", "copy_id"), "key")
-    named = named.join(named.groupBy("comp").agg(F.min("copy_id").alias("class_id")), "comp").select("key", "class_id")
-    rows = classes.select("key", "copy_id", "copies").join(links, "key", "left").join(named, "key", "left")
-    rows = rows.select("key", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = sketch.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(rows, "key", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return linked(docs, threshold, tolerance).select("doc_id", "class_id", "copy_id", "n_links")
 
 
 def one_of_each(docs: DataFrame, threshold: float = SIMILAR, tolerance: float = TOLERANCE) -> DataFrame:
-    """The rows of ``docs`` without all but one of each class: that with the least doc_id stays.
+    """The rows of ``docs`` without all but one of each class: that with the least doc_id, and the least MD5 of its text.
 
-    Texts without words and null ids stay. Rows with one doc_id stay or go together, but equal rows count once. All columns
-    are kept.
+    Texts without words and null ids stay. Rows with one doc_id are separate documents; of rows equal in doc_id and text one
+    stays. All columns are kept.
     """
-    found = similar_classes(docs.select("doc_id", "text"), threshold, tolerance)
-    gone = found.filter("doc_id <> class_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return left
-    return left.dropDuplicates()
+    found = written(linked(docs.select("doc_id", "text"), threshold, tolerance), "linked")
+    gone = found.filter(~F.col("first")).select("doc_id", F.col("row").alias("_row")).distinct()
+    left = docs.withColumn("_row", row_of()).join(gone, ["doc_id", "_row"], "left_anti")
+    if found.filter("key is not null").groupBy("doc_id", "row").count().filter("count > 1").isEmpty():
+        return left.drop("_row")
+    alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return left.filter(~alone).dropDuplicates(["doc_id", "_row"]).unionByName(left.filter(alone)).drop("_row")

@@ -27,7 +27,8 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.beside_next(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return fingerprints.beside_next(docs, near=fingerprints.near_duplicates(docs))
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

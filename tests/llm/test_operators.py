@@ -260,6 +260,10 @@ def test_join_is_exact(spark, monkeypatch):
     kept = ngramjoin.one_of_each(df.filter("doc_id is not null and doc_id <> 3"))
     want = {c for i, x, c, _ in similar([r for r in rows if r[0] is not None and r[0] != 3])}
     assert {r["doc_id"] for r in kept.collect()} == want
+    # rows with one id are separate: those that are like no other stay, of equal ones one
+    some = [(1, "x y z a b c"), (3, "x y z a b c"), (3, "k l m n o p"), (3, "k l m n o p"), (4, None), (4, None), (None, "x y z a b c"), (5, "k l m n o p"), (6, "")]
+    left = ngramjoin.one_of_each(spark.createDataFrame(some, "doc_id long, text string").withColumn("_other", F.lit(1)))
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([(1, "x y z a b c"), (3, "k l m n o p"), (4, None), (4, None), (None, "x y z a b c"), (6, "")], key=str)
 
 
 def test_pruning_keeps_what_reaches_the_threshold():
@@ -302,14 +306,34 @@ def test_fingerprint_estimates(spark):
     rows = [*near_group(60), (1, "short text"), (2, "short text"), (3, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     known = dict(rows)
-    got = fingerprints.near_duplicates(df).collect()
-    assert (2, 1, 1.0) in [tuple(r) for r in got]
-    for r in got:
-        x, y = shingles(known[r["doc_id"]]), shingles(known[r["like_id"]])
-        assert r["jaccard"] == pytest.approx(len(x & y) / len(x | y)) and r["jaccard"] >= 0.8
-    linked = {r["doc_id"] for r in got}
-    close = {i for i, x in rows[:60] if i != 1000 and len(shingles(x) & shingles(rows[0][1])) >= 0.8 * len(shingles(x) | shingles(rows[0][1]))}
-    assert close <= linked
+    want = {(i, c, n) for i, _, c, n in similar(rows)}
+    near = fingerprints.near_duplicates(df)
+    assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in near.collect()} == want
+    whole = fingerprints.beside_next(df.repartition(3), near=near).collect()
+    assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in whole} == want and len(whole) == len(rows)
+
+
+def test_no_link_is_lost_beside_an_unlike_head(spark):
+    """Documents that share buckets with one of least id that is like none of them, interleaved with another group."""
+    import random
+
+    rnd = random.Random(12)
+    base, other = ([f"{p}{rnd.randint(0, 10_000)}" for _ in range(300)] for p in "wv")
+    edited = lambda w, at: " ".join(f"e{rnd.randint(0, 10**6)}" if i in at else x for i, x in enumerate(w))
+    rows = [(0, " ".join(base[:200]) + " " + " ".join(f"h{i}" for i in range(60))), (1, " ".join(other[:210]) + " " + " ".join(f"g{i}" for i in range(60)))]
+    rows += [(2 + 2 * i, edited(base, {rnd.randrange(300), rnd.randrange(300)})) for i in range(25)]
+    rows += [(3 + 2 * i, edited(other, {rnd.randrange(300), rnd.randrange(300)})) for i in range(25)]
+    want = {(i, c, n) for i, _, c, n in similar(rows)}
+    assert {c for _, c, _ in want} == {0, 1, 2, 3} and max(n for _, _, n in want) == 24
+    got = fingerprints.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in got.collect()} == want
+
+
+def test_fingerprints_find_all_links(spark):
+    rows = [(r["doc_id"], r["text"]) for r in table(spark).collect()]
+    want = {i: n for i, _, _, n in similar(rows)}
+    got = {r["doc_id"]: r["n_links"] for r in registry.op4_fingerprints(spark, SMALL).collect()}
+    assert set(got) == set(want) and sum(got.values()) >= 0.9 * sum(want.values()) and all(got[i] <= n for i, n in want.items())
 
 
 # ---- 5: lines
