@@ -13,8 +13,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round every node takes the least label of its neighbours (pre-aggregated), then the label of its label, so the rounds
     grow with the logarithm of a component's width. Each round's labels are a written table. Nulls and loops are passed over.
+    First, the links of a node are drawn together: it keeps the one with its least neighbour, with which its others are linked
+    instead, so that several stars over the same nodes become one.
     """
     links = edges.filter("a is not null and b is not null and a <> b").select("a", "b")
+    low = written(links.groupBy("a").agg(F.min("b").alias("low")), "lows")
+    drawn = links.join(low, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    links = low.select("a", F.col("low").alias("b")).unionByName(drawn).distinct()
     both = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = written(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("comp")), "labels")
     for _ in range(rounds):
