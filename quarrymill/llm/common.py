@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +95,22 @@ def text_of(df: DataFrame, col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def packed(text: Column) -> Column:
+    """The text's UTF-8, zstd-compressed: what is shuffled of whole texts."""
+
+    @F.pandas_udf("binary")
+    def of(texts):
+        coder = zstandard.ZstdCompressor(3)
+        return texts.map(lambda x: coder.compress(x.encode()))
+
+    return of(text)
+
+
+def unpacked(data: list[bytes | None]) -> list[str]:
+    coder = zstandard.ZstdDecompressor()
+    return [coder.decompress(x).decode() for x in data]
+
+
 def arrow_groups(batches, by, cols):
     """Runs of rows with equal values of ``by``, as lists of tuples of ``cols``."""
     now, held = None, []

@@ -13,11 +13,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, small_batches
+from .common import packed, shuffle_parts, small_batches, unpacked
 from .ngramjoin import Banding, digest, linked
 from .shingles import MinHash, shingle_set
 
@@ -76,12 +75,6 @@ def beside_next(docs: DataFrame, size: int = SIZE, near: DataFrame | None = None
     """
     spark = docs.sparkSession
     small_batches(spark)
-
-    @F.pandas_udf("binary")
-    def packed(texts):
-        coder = zstandard.ZstdCompressor(3)
-        return texts.map(lambda x: coder.compress(x.encode()))
-
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id"), F.lit(LOWEST)).alias("_at"), packed(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
     parts = shuffle_parts(spark)
     ids = rows.select("_at")
@@ -127,14 +120,13 @@ def beside_next(docs: DataFrame, size: int = SIZE, near: DataFrame | None = None
 
     def run(batches):
         held, facts = None, {}  # doc_id, text, signature, class and links of the row before; what is told of the id at hand
-        coder = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
             for doc_id, role, text, key, class_id, n_links in zip(*[batch.column(c).to_pylist() for c in dealt_columns], strict=True):
                 if role == -1:
                     facts = {k: v for k, v in facts.items() if k[0] == doc_id} | {(doc_id, key): (class_id, n_links)}
                     continue
-                text = coder.decompress(text).decode()
+                (text,) = unpacked([text])
                 shingles = shingle_set(text)
                 sig = _minhash(size).signature(shingles)
                 if held is not None:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_groups, hot_join, small_batches, text_of, written
+from .common import arrow_groups, hot_join, packed, small_batches, text_of, unpacked, written
 from .components import components
 from .shingles import MinHash, shingle_set
 
@@ -175,7 +175,7 @@ def candidates(classes: DataFrame, threshold: float, tolerance: float, banding:
 
 
 def verified(members: DataFrame, threshold: float, tolerance: float, banding: Banding) -> DataFrame:
-    """(a, b, links) for ``members`` (comp, n, key, copies, text): in each block pair, the documents that a class is linked
+    """(a, b, links) for ``members`` (comp, n, key, copies, text, packed): in each block pair, the documents that a class is linked
     with, and the least class that exact links connect it with."""
     plan = least_agreeing(threshold, tolerance, banding.size, banding.step)
     hashes = banding.hashes()
@@ -214,7 +214,7 @@ def _sets(batches):
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
-            sets = [shingle_set(x) for x in part.column("text").to_pylist()]
+            sets = [shingle_set(x) for x in unpacked(part.column("text").to_pylist())]
             fits = pa.array([digest(s) == k for s, k in zip(sets, part.column("key").to_pylist(), strict=True)])
             part = part.select([c for c in part.schema.names if c != "text"])
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array([s.tobytes() for s in sets], pa.binary())], names=[*part.schema.names, "set"]).filter(fits)
@@ -237,6 +237,7 @@ def linked(docs: DataFrame, threshold: float = SIMILAR, tolerance: float = TOLER
     members = hot_join(groups.withColumnRenamed("node", "key"), sizes, "comp", "n")
     members = written(members.join(classes.select("key", F.col("head.doc_id").alias("copy_id"), "copies"), "key"), "members")
     texts = known_only(docs.filter("doc_id is not null").select(F.col("doc_id").alias("copy_id"), text_of(docs).alias("text")), members, "copy_id")
+    texts = texts.select("copy_id", packed(F.col("text")).alias("text"))
     exact = written(verified(texts.join(members, "copy_id"), threshold, tolerance, banding), "verified")
     links = exact.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "key")
     named = written(components(exact.select("a", "b")).withColumnRenamed("node", "key").join(classes.select("key", "head"), "key"), "named")
