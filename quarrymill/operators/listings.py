@@ -94,6 +94,24 @@ def query(events: DataFrame, now: str, limit: int | None = None, **params) -> Da
     return rows.limit(limit) if limit else rows
 
 
+def scenarios(events: DataFrame, now: str, of: dict[str, dict], unwanted: list[str]) -> DataFrame:
+    """(scenario, uid, place) of the listings that each scenario wants: a window's, in person, at a known place and without
+    unwanted words, the first ``limit`` in the order of results. ``of`` holds query parameters, window and limit by name."""
+    from .windows import windows
+
+    edges = {r["name"]: r for r in windows(events.sparkSession, now).collect()}  # ten rows
+    parts = []
+    for name, params in of.items():
+        params = dict(params)
+        window, limit = edges[params.pop("window")], params.pop("limit")
+        rows = query(events, now, limit, exclude_online=True, require_venue=True, exclude_keywords=unwanted, start_after=window["start"], start_before=window["end"], **params)
+        parts.append(rows.select(F.lit(name).alias("scenario"), "uid", F.row_number().over(Window.orderBy(*order())).cast("long").alias("place")))  # ``limit`` rows
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 # ---- upsert
 
 
@@ -315,11 +333,11 @@ def source_health(events: DataFrame) -> DataFrame:
 
 
 def other_sessions(events: DataFrame, most: int = 6) -> DataFrame:
-    """(uid, other, nth): other upcoming listings with the same title and organiser (null equals null), the first ``most``.
+    """(uid, other, nth): other upcoming listings with the same title and organiser (null equals empty), the first ``most``.
 
     A series is cut to its first ``most`` + 1 upcoming rows before it is joined with itself: no row needs more.
     """
-    rows = events.select("uid", N.title_key(F.col("title")).alias("t"), F.coalesce(F.concat(F.lit("o"), F.col("organizer")), F.lit("-")).alias("o"), F.coalesce("starts_at", F.lit(LATE)).alias("at"), "status")
+    rows = events.select("uid", N.title_key(F.col("title")).alias("t"), F.coalesce("organizer", F.lit("")).alias("o"), F.coalesce("starts_at", F.lit(LATE)).alias("at"), "status")
     w = Window.partitionBy("t", "o").orderBy("at", "uid")
     few = rows.filter("status = 'upcoming'").withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= most + 1).select("t", "o", F.col("uid").alias("other"), "pos")
     pairs = rows.select("uid", "t", "o").join(few, ["t", "o"]).filter("uid <> other")

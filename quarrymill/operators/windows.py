@@ -50,50 +50,80 @@ def in_windows(events: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def pick_score() -> Column:
-    """How well a listing suits a newcomer: language, price, a known place."""
-    has = lambda t: F.array_contains("tags", t).cast("int")
-    return has("lang:en") * 2 + F.coalesce(F.col("is_free").cast("int"), F.lit(0)) + F.when(F.col("venue").isNotNull(), 0.5).otherwise(0)
+    """How well a listing suits a newcomer: language, in person, a known price and place, a description."""
+    has = lambda t: F.coalesce(F.array_contains("tags", t), F.lit(False)).cast("int")
+    said = lambda *cs: F.coalesce(*[F.nullif(c, F.lit("")) for c in cs]).isNotNull().cast("int")
+    known = (F.col("is_free").isNotNull() | (said("price_text") == 1)).cast("int")
+    return has("lang:en") * 2 + (1 - has("online")) + known * 0.5 + said("venue", "address") * 0.5 + said("description") * 0.25
 
 
 def picks(events: DataFrame, now: str, order: list[Column], limit: int = 6, least: int = 3, discount: float = 0.002) -> DataFrame:
-    """(uid, score, place): the best of this weekend, or of the next 30 days if fewer than ``least`` are upcoming then.
+    """(uid, score): the best of this weekend, or of the next seven days if fewer than ``least`` are upcoming then.
 
-    A listing loses ``discount`` for each place that it comes later in the base order; days and title heads don't repeat.
+    Listings that the reader has refused, and those online, are no picks (the latter count as upcoming). A listing loses
+    ``discount`` for each place that it comes later in the base order.
     """
     spark = events.sparkSession
-    here = in_windows(events.filter("status = 'upcoming'"), windows(spark, now).filter("name in ('weekend', 'next30')"))
-    chosen = here.agg(F.when(F.count_if(F.col("name") == "weekend") >= least, F.lit("weekend")).otherwise(F.lit("next30")).alias("chosen"))
-    rows = here.join(F.broadcast(chosen), F.col("name") == F.col("chosen"))
+    some = events.filter("status = 'upcoming' and coalesce(feedback, '') <> 'not_my_thing'")
+    here = in_windows(some, windows(spark, now).filter("name in ('weekend', 'next7')"))
+    chosen = here.agg(F.when(F.count_if(F.col("name") == "weekend") >= least, F.lit("weekend")).otherwise(F.lit("next7")).alias("chosen"))
+    rows = here.join(F.broadcast(chosen), F.col("name") == F.col("chosen")).filter(~F.coalesce(F.array_contains("tags", "online"), F.lit(False)))
     # The base order goes by start as text, so a place is that within the day plus the rows of earlier days, of which there are few.
     rows = rows.withColumn("base", pick_score()).withColumn("_day", F.substring("starts_at", 1, 10))
     days = rows.groupBy("_day").agg(F.count("*").alias("n"))
     days = days.withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     rows = rows.join(F.broadcast(days), "_day").withColumn("pos", F.col("_before") + F.row_number().over(Window.partitionBy("_day").orderBy(*order)) - 1)
     rows = rows.withColumn("score", F.round(F.col("base") - discount * F.col("pos"), 6))
-    same = Window.partitionBy(F.substring("starts_at", 1, 10), F.substring("title", 1, 12)).orderBy(F.desc("score"), "pos")
-    rows = rows.withColumn("nth", F.row_number().over(same)).filter("nth = 1")
     return rows.orderBy(F.desc("score"), "pos").limit(limit).select("uid", "score")
 
 
-def similar(events: DataFrame, limit: int = 4, discount: float = 0.01, most: int = 160) -> DataFrame:
-    """(uid, other, score): listings of the same type and another title, best first.
+def live_statistics(events: DataFrame, now: str) -> DataFrame:
+    """One row: english_week, exchange_month, free_week (upcoming listings of the next 7 or 30 days that the reader hasn't
+    refused) and sources (platforms with any listing that isn't over)."""
+    edge = {r["name"]: r for r in windows(events.sparkSession, now).filter("name in ('next7', 'next30')").collect()}  # two rows
+    start = N.instant(F.col("starts_at"))
+    live = lambda name: F.coalesce((F.col("status") == "upcoming") & (F.coalesce("feedback", F.lit("")) != "not_my_thing") & start.between(N.instant(F.lit(edge[name]["start"])), N.instant(F.lit(edge[name]["end"]))), F.lit(False))
+    return events.agg(
+        F.count_if(live("next7") & F.array_contains("tags", "lang:en")).alias("english_week"), F.count_if(live("next30") & (F.col("type") == "language_exchange")).alias("exchange_month"),
+        F.count_if(live("next7") & F.col("is_free")).alias("free_week"), F.count_distinct(F.when(F.col("status") != "expired", F.col("source_platform"))).alias("sources"),
+    )
 
-    The score is 1 for the same district, 0.5 for the same organiser, less 0.01 for each place in the type's order of upcoming
-    rows. It is at most 1.5, so nothing after some 154 rows of other titles can be among the best: the candidates of a type
-    are the rows whose place, less the largest count that any title has before them, is at most ``most``, and of each title
-    the first ``most`` + 1. The result is exact, and the join grows with the listings and not with their square.
+
+def similar(events: DataFrame, limit: int = 4, discount: float = 0.01, most: int = 170) -> DataFrame:
+    """(uid, other, score, nth): listings of the same type and another title, best first.
+
+    The score is 1 for the same district, 0.5 for one in English, less 0.01 for each place in the type's order of upcoming
+    rows that the reader hasn't refused. It is at most 1.5, so nothing after some 160 rows of other titles can be among the best
+    eight: the candidates of a type are the rows whose place, less the largest count that any title has before them, is at most
+    ``most``, and of each title the first ``most`` + 1. The result is exact. There are no more than 2 * ``most`` + 2 candidates
+    of a type, of which there are eleven, so they are broadcast; listings alike in type, title and district share their best.
     """
-    rows = events.select("uid", "type", N.title_key(F.col("title")).alias("t"), F.coalesce("starts_at", F.lit("9999")).alias("at"), "district", "organizer", "status")
+    key = ["type", "t", "district"]
+    rows = events.select("uid", "type", N.title_key(F.col("title")).alias("t"), F.coalesce("starts_at", F.lit("9999")).alias("at"), F.coalesce(F.nullif("district", F.lit("")), F.lit("")).alias("district"),
+                         F.coalesce(F.array_contains("tags", "lang:en"), F.lit(False)).alias("english"), "status", "feedback", F.col("title").alias("head"))
     w = Window.partitionBy("type").orderBy("at", "uid")
-    cand = rows.filter("status = 'upcoming' and type is not null")
+    cand = rows.filter("status = 'upcoming' and type is not null and coalesce(feedback, '') <> 'not_my_thing'")
     cand = cand.withColumn("pos", F.row_number().over(w) - 1).withColumn("nth", F.row_number().over(Window.partitionBy("type", "t").orderBy("at", "uid")))
     cand = cand.withColumn("same", F.max("nth").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    cand = cand.filter((F.col("pos") - F.coalesce("same", F.lit(0)) <= most) & (F.col("nth") <= most + 1)).drop("nth", "same")
-    c = cand.select("type", F.col("uid").alias("other"), F.col("t").alias("ot"), F.col("district").alias("od"), F.col("organizer").alias("oo"), F.col("at").alias("oat"), "pos")
-    pairs = rows.join(c, "type").filter((F.col("t") != F.col("ot")) & (F.col("uid") != F.col("other")))
-    kth = F.row_number().over(Window.partitionBy("uid").orderBy("pos"))
-    same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False)).cast("double")
-    score = F.round(same("district", "od") + 0.5 * same("organizer", "oo") - discount * (kth - 1), 6)
-    pairs = pairs.withColumn("score", score)
-    best = F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("score"), "pos"))
-    return pairs.withColumn("nth", best).filter(F.col("nth") <= limit).select("uid", "other", "score", "nth")
+    cand = cand.filter((F.col("pos") - F.coalesce("same", F.lit(0)) <= most) & (F.col("nth") <= most + 1))
+    c = cand.select("type", F.col("uid").alias("other"), F.col("t").alias("ot"), F.col("district").alias("od"), "english", "pos")
+    pairs = rows.select(*key).distinct().join(F.broadcast(c), "type").filter(F.col("t") != F.col("ot"))
+    group = Window.partitionBy(*key)
+    kth = F.row_number().over(group.orderBy("pos"))
+    near = ((F.col("district") == F.col("od")) & (F.col("od") != "")).cast("double")
+    pairs = pairs.withColumn("score", F.round(near + 0.5 * F.col("english").cast("double") - discount * (kth - 1), 6))
+    best = pairs.withColumn("nth", F.row_number().over(group.orderBy(F.desc("score"), "pos"))).filter(F.col("nth") <= limit)
+    best = best.groupBy(*key).agg(F.collect_list(F.struct("other", "score", "nth")).alias("best"))
+    return rows.select("uid", *key).join(best, key).select("uid", F.inline("best"))
+
+
+def similar_list(events: DataFrame, limit: int = 4, of: int = 8) -> DataFrame:
+    """(uid, other, place): what a reader is shown: of the ``of`` most similar listings, one of each day and title head (the
+    better), the first ``limit`` of these in order of their start."""
+    near = similar(events, of).join(events.select(F.col("uid").alias("other"), F.coalesce("starts_at", F.lit("")).alias("at"), F.coalesce("title", F.lit("")).alias("title")), "other")
+    mine = F.struct("nth", "other", "at", F.substring("at", 1, 10).alias("day"), F.substring("title", 1, 12).alias("head"))
+    shown = near.groupBy("uid").agg(F.sort_array(F.collect_list(mine)).alias("all"))  # ``of`` rows at most
+    same = lambda x, y: (x["day"] == y["day"]) & (x["head"] == y["head"])
+    once = F.filter("all", lambda x, i: ~F.exists(F.slice("all", 1, i), lambda y: same(x, y)))
+    ordered = F.sort_array(F.transform(F.slice(once, 1, limit), lambda x: F.struct(x["at"].alias("at"), x["nth"].alias("nth"), x["other"].alias("other"))))
+    return shown.select("uid", F.posexplode(ordered).alias("place", "x")).select("uid", "x.other", "place")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from ..functions import rules
 from ..operators import listings as L
+from ..operators import windows as W
 from .adapters import LISTINGS_CTE, NOW, REFRESHED_CTE, listings, read
 from .registry import Registry
 
@@ -91,25 +92,33 @@ def o3(spark, sf):
     return rows.orderBy(*L.order()).limit(25).select("uid").join(F.broadcast(total))
 
 
+#: The words that no scenario wants.
+UNWANTED = ["報稅", "稅務", "居留證", "簽證", "移民署", "健保申辦", "線上課程", "線上活動", "免費體驗", "體驗課程", "免費講座", "說明會", "招商", "徵才", "直播", "成交", "加盟", "被動收入", "潛意識"]
+#: The scenarios.
 SCENARIOS = {
-    "challenge": {"types": ["outdoor_challenge", "sports"], "signup_open": True, "exclude_online": True},
-    "language": {"types": ["language_exchange"], "tags": ["lang:en"]},
-    "chill": {"types": ["market", "music", "exhibition", "food"], "require_venue": True, "exclude_keywords": ["票價"]},
+    "challenge": {"types": ["outdoor_challenge"], "window": "month", "limit": 5},
+    "language": {"types": ["language_exchange"], "tags": ["lang:en"], "window": "month", "signup_open": True, "limit": 3},
+    "chill": {"types": ["music", "market", "exhibition", "food"], "window": "weekend", "limit": 6},
 }
 
 
-@R.add("c1_scenarios", f"""WITH {REFRESHED_CTE}, m AS (SELECT * FROM fresh WHERE status IN ('upcoming', 'ongoing') AND coalesce(feedback, '') <> 'not_my_thing'),
-a AS (SELECT 'challenge' AS scenario, * FROM m WHERE type IN ('outdoor_challenge', 'sports') AND NOT list_contains(tags, 'online') AND coalesce(signup_deadline::TIMESTAMPTZ, s, TIMESTAMPTZ '{NOW}') >= TIMESTAMPTZ '{NOW}'
-  UNION ALL SELECT 'language', * FROM m WHERE type = 'language_exchange' AND list_contains(tags, 'lang:en')
-  UNION ALL SELECT 'chill', * FROM m WHERE type IN ('market', 'music', 'exhibition', 'food') AND (coalesce(venue, '') <> '' OR coalesce(address, '') <> '') AND NOT lower(title || ' ' || coalesce(description, '')) LIKE '%票價%'),
-r AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY {ORDER}) AS place FROM a)
-SELECT scenario, uid, place::BIGINT AS place FROM r WHERE place <= 30""")
-def c1(spark, sf):
-    rows = fresh(spark, sf)
-    from pyspark.sql import Window
+def _scenario_sql() -> str:
+    out = []
+    unwanted = " AND ".join(f"NOT contains(lower(title || ' ' || coalesce(description, '')), '{w}')" for w in UNWANTED)
+    for name, p in SCENARIOS.items():
+        test = " AND ".join([f"type IN ({', '.join(repr(t) for t in p['types'])})", *[f"list_contains(tags, '{t}')" for t in p.get("tags", [])]])
+        until = {"month": "1999-06-30", "weekend": "1999-06-20"}[p["window"]]
+        since = {"month": "1999-06-16", "weekend": "1999-06-19"}[p["window"]]
+        if p.get("signup_open"):
+            test += f" AND coalesce(signup_deadline::TIMESTAMPTZ, s, TIMESTAMPTZ '{NOW}') >= TIMESTAMPTZ '{NOW}'"
+        test += f" AND s BETWEEN TIMESTAMPTZ '{since}T00:00:00+08:00' AND TIMESTAMPTZ '{until}T23:59:59+08:00'"
+        out.append(f"(SELECT '{name}' AS scenario, uid, row_number() OVER (ORDER BY {ORDER})::BIGINT AS place FROM m WHERE {test} QUALIFY place <= {p['limit']})")
+    return f"WITH {REFRESHED_CTE}, m AS (SELECT * FROM fresh WHERE status IN ('upcoming', 'ongoing') AND coalesce(feedback, '') <> 'not_my_thing' AND NOT list_contains(tags, 'online') AND (coalesce(venue, '') <> '' OR coalesce(address, '') <> '') AND {unwanted}) " + " UNION ALL ".join(out)
+
 
-    parts = [L.query(rows, NOW, limit=30, **p).select(F.lit(name).alias("scenario"), "uid", F.row_number().over(Window.orderBy(*L.order())).cast("long").alias("place")) for name, p in SCENARIOS.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+@R.add("c1_scenarios", _scenario_sql())
+def c1(spark, sf):
+    return L.scenarios(fresh(spark, sf), NOW, SCENARIOS, UNWANTED)
 
 
 # ---- validation, hashes, upsert
@@ -341,10 +350,14 @@ def a4(spark, sf):
     return rows.select(F.explode(L.topic_ids()).alias("topic")).groupBy("topic").agg(F.count("*").alias("n"))
 
 
-@R.add("a5_live_statistics", f"WITH {REFRESHED_CTE} SELECT count(*)::BIGINT AS n, count(DISTINCT source_platform)::BIGINT AS sources, count(*) FILTER (is_free)::BIGINT AS free, count(*) FILTER (list_contains(tags, 'lang:en'))::BIGINT AS english FROM fresh WHERE status IN ('upcoming', 'ongoing')")
+_LIVE = "status = 'upcoming' AND coalesce(feedback, '') <> 'not_my_thing' AND s BETWEEN TIMESTAMPTZ '1999-06-16T00:00:00+08:00' AND TIMESTAMPTZ"
+
+
+@R.add("a5_live_statistics", f"""WITH {REFRESHED_CTE} SELECT count(*) FILTER ({_LIVE} '1999-06-22T23:59:59+08:00' AND list_contains(tags, 'lang:en'))::BIGINT AS english_week,
+  count(*) FILTER ({_LIVE} '1999-07-15T23:59:59+08:00' AND type = 'language_exchange')::BIGINT AS exchange_month, count(*) FILTER ({_LIVE} '1999-06-22T23:59:59+08:00' AND is_free)::BIGINT AS free_week,
+  count(DISTINCT source_platform) FILTER (status <> 'expired')::BIGINT AS sources FROM fresh""")
 def a5(spark, sf):
-    rows = fresh(spark, sf).filter("status in ('upcoming', 'ongoing')")
-    return rows.agg(F.count("*").alias("n"), F.count_distinct("source_platform").alias("sources"), F.count_if("is_free").alias("free"), F.count_if(F.array_contains("tags", "lang:en")).alias("english"))
+    return W.live_statistics(fresh(spark, sf), NOW)
 
 
 @R.add("a11_weighted_coverage", f"WITH {LISTINGS_CTE}, g AS (SELECT venue, address, district, count(*) AS n FROM listings GROUP BY ALL) SELECT ((sum(n) FILTER (district IS NOT NULL)) * 100 // sum(n))::BIGINT AS percent FROM g")
@@ -362,7 +375,7 @@ def a12(spark, sf):
     return L.null_alarms(rows.filter("k % 2 = 0"), later, ["district", "description"])
 
 
-SERIES = f"se AS (SELECT uid, {TITLE_KEY} AS t, coalesce('o' || organizer, '-') AS o, coalesce(starts_at, '9999') AS at, status FROM fresh)"
+SERIES = f"se AS (SELECT uid, {TITLE_KEY} AS t, coalesce(organizer, '') AS o, coalesce(starts_at, '9999') AS at, status FROM fresh)"
 
 
 @R.add("j11_other_sessions", f"WITH {REFRESHED_CTE}, {SERIES}, pr AS (SELECT a.uid, b.uid AS other, row_number() OVER (PARTITION BY a.uid ORDER BY b.at, b.uid) AS nth FROM se a JOIN se b ON a.t = b.t AND a.o = b.o AND a.uid <> b.uid AND b.status = 'upcoming') SELECT uid, other, nth::INT AS nth FROM pr WHERE nth <= 6")

@@ -162,25 +162,37 @@ def f5b(spark, sf):
     return W.in_windows(fresh(spark, sf), frames).groupBy(F.col("name").cast("int").alias("month")).agg(F.count("*").alias("n"))
 
 
-_PICK = "(CASE WHEN list_contains(tags, 'lang:en') THEN 2 ELSE 0 END + CASE WHEN is_free THEN 1 ELSE 0 END + CASE WHEN venue IS NOT NULL THEN 0.5 ELSE 0 END)"
+_PICK = """(CASE WHEN list_contains(tags, 'lang:en') THEN 2 ELSE 0 END + CASE WHEN list_contains(tags, 'online') THEN 0 ELSE 1 END + CASE WHEN is_free IS NOT NULL OR coalesce(price_text, '') <> '' THEN 0.5 ELSE 0 END
+  + CASE WHEN coalesce(venue, '') <> '' OR coalesce(address, '') <> '' THEN 0.5 ELSE 0 END + CASE WHEN coalesce(description, '') <> '' THEN 0.25 ELSE 0 END)"""
+_WANTED = "status = 'upcoming' AND coalesce(feedback, '') <> 'not_my_thing'"
 
 
-@R.add("w6_w7_w10_weekend_picks", f"""WITH {REFRESHED_CTE}, {_WIN}, h AS (SELECT f.*, w.name FROM fresh f JOIN w ON s BETWEEN w.start::TIMESTAMPTZ AND w."end"::TIMESTAMPTZ WHERE status = 'upcoming' AND w.name IN ('weekend', 'next30')),
-c AS (SELECT CASE WHEN count(*) FILTER (name = 'weekend') >= 3 THEN 'weekend' ELSE 'next30' END AS chosen FROM h), p AS (SELECT h.*, row_number() OVER (ORDER BY {ORDER}) - 1 AS pos FROM h JOIN c ON name = chosen),
-q AS (SELECT *, round({_PICK}::DOUBLE - 0.002::DOUBLE * pos, 6) AS score FROM p), n AS (SELECT *, row_number() OVER (PARTITION BY substr(starts_at, 1, 10), substr(title, 1, 12) ORDER BY score DESC, pos) AS nth FROM q)
-SELECT uid, score FROM n WHERE nth = 1 ORDER BY score DESC, pos LIMIT 6""")
+@R.add("w6_w7_weekend_picks", f"""WITH {REFRESHED_CTE}, {_WIN}, h AS (SELECT f.*, w.name FROM fresh f JOIN w ON s BETWEEN w.start::TIMESTAMPTZ AND w."end"::TIMESTAMPTZ WHERE {_WANTED} AND w.name IN ('weekend', 'next7')),
+c AS (SELECT CASE WHEN count(*) FILTER (name = 'weekend') >= 3 THEN 'weekend' ELSE 'next7' END AS chosen FROM h),
+p AS (SELECT h.*, row_number() OVER (ORDER BY {ORDER}) - 1 AS pos FROM h JOIN c ON name = chosen WHERE NOT list_contains(tags, 'online'))
+SELECT uid, round({_PICK}::DOUBLE - 0.002::DOUBLE * pos, 6) AS score FROM p ORDER BY score DESC, pos LIMIT 6""")
 def w6(spark, sf):
     return W.picks(fresh(spark, sf), NOW, L.order())
 
 
-@R.add("j12_similar", f"""WITH {REFRESHED_CTE}, b AS (SELECT uid, type, {TITLE_KEY} AS t, coalesce(starts_at, '9999') AS at_, district, organizer, status FROM fresh),
-p AS (SELECT a.uid, b.uid AS other, row_number() OVER (PARTITION BY a.uid ORDER BY b.at_, b.uid) - 1 AS pos, CASE WHEN a.district = b.district THEN 1 ELSE 0 END + CASE WHEN a.organizer = b.organizer THEN 0.5 ELSE 0 END AS x
-  FROM b a JOIN b ON a.type = b.type AND a.t <> b.t AND a.uid <> b.uid AND b.status = 'upcoming' WHERE length(a.uid) > 0), q AS (SELECT *, round(x::DOUBLE - 0.01::DOUBLE * pos, 6) AS score FROM p),
-n AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, pos) AS nth FROM q) SELECT uid, other, score, nth::INT AS nth FROM n WHERE nth <= 4""")
+_SIMILAR = f"""b AS (SELECT uid, type, {TITLE_KEY} AS t, title, starts_at, coalesce(starts_at, '9999') AS at_, coalesce(district, '') AS district, list_contains(tags, 'lang:en') AS english, status, feedback FROM fresh),
+k AS (SELECT DISTINCT type, t, district FROM b), o AS (SELECT * FROM b WHERE {_WANTED}),
+p AS (SELECT k.*, o.uid AS other, row_number() OVER (PARTITION BY k.type, k.t, k.district ORDER BY o.at_, o.uid) - 1 AS pos, CASE WHEN k.district = o.district AND o.district <> '' THEN 1 ELSE 0 END + CASE WHEN english THEN 0.5 ELSE 0 END AS x
+  FROM k JOIN o ON k.type = o.type AND k.t <> o.t), q AS (SELECT *, round(x::DOUBLE - 0.01::DOUBLE * pos, 6) AS score FROM p),
+n AS (SELECT *, row_number() OVER (PARTITION BY type, t, district ORDER BY score DESC, pos) AS nth FROM q), z AS (SELECT b.uid, other, score, nth::INT AS nth FROM b JOIN n USING (type, t, district) WHERE nth <= 8)"""
+
+
+@R.add("j12_similar", f"WITH {REFRESHED_CTE}, {_SIMILAR} SELECT * FROM z WHERE nth <= 4")
 def j12(spark, sf):
     return W.similar(fresh(spark, sf))
 
 
+@R.add("w10_similar_list", f"""WITH {REFRESHED_CTE}, {_SIMILAR}, d AS (SELECT z.*, coalesce(b.starts_at, '') AS at_, row_number() OVER (PARTITION BY z.uid, substr(coalesce(b.starts_at, ''), 1, 10), substr(coalesce(b.title, ''), 1, 12) ORDER BY nth) AS again FROM z JOIN b ON b.uid = z.other),
+e AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY nth) AS kept FROM d WHERE again = 1) SELECT uid, other, (row_number() OVER (PARTITION BY uid ORDER BY at_, nth) - 1)::INT AS place FROM e WHERE kept <= 4""")
+def w10(spark, sf):
+    return W.similar_list(fresh(spark, sf))
+
+
 # ---- search
 
 PHRASES = ["free jazz this weekend in taipei", "english hiking tomorrow", "tonight", "語言交換 今晚", "in-person workshop new taipei", "coffee tasting next week", "what events can I do for free?", "yoga today", "market", "conversation english-friendly"]

@@ -138,7 +138,57 @@ def test_similar_looks_past_a_long_run_of_one_title(spark):
 
 
 def test_picks_count_every_row_before(spark):
-    rows = [{"uid": f"a{i:04}", "title": "same", "starts_at": f"2024-06-15T13:{i // 60:02}:{i % 60:02}+08:00"} for i in range(1000)]
-    rows += [{"uid": f"z{k}", "title": f"late {k}", "starts_at": "2024-06-16T12:00:00+08:00", "is_free": True} for k in range(3)]
+    rows = [{"uid": f"a{i:04}", "title": "same", "starts_at": f"2024-06-15T13:{i // 60:02}:{i % 60:02}+08:00", "feedback": "not_my_thing" if i == 7 else None, "tags": ["online"] if i % 10 == 3 else []} for i in range(1000)]
+    rows += [{"uid": f"z{k}", "title": f"late {k}", "starts_at": "2024-06-16T12:00:00+08:00", "is_free": False, "venue": "v", "description": "d", "tags": ["lang:en"]} for k in range(3)]
+    left = [r for r in rows if "online" not in r["tags"] and r.get("feedback") != "not_my_thing"]
+    base = lambda r: 1 + 2 * ("lang:en" in r["tags"]) + 0.5 * ("is_free" in r) + 0.5 * ("venue" in r) + 0.25 * ("description" in r)
+    want = sorted(((-round(base(r) - 0.002 * i, 6), i, r["uid"]) for i, r in enumerate(left)))[:6]
     got = [(r["uid"], r["score"]) for r in W.picks(listing(spark, *rows), NOW, L.order()).collect()]
-    assert got == [("a0000", 0.0), ("z0", -1.0), ("z1", -1.002), ("z2", -1.004)]
+    assert got == [(u, -s) for s, _, u in want] and got[0][0] == "z0"
+    few = [{"uid": "w", "starts_at": "2024-06-15T20:00:00+08:00"}, {"uid": "v", "starts_at": "2024-06-20T20:00:00+08:00"}, {"uid": "far", "starts_at": "2024-06-25T20:00:00+08:00"}]
+    assert [r["uid"] for r in W.picks(listing(spark, *few), NOW, L.order()).collect()] == ["w", "v"]  # the next seven days
+
+
+def test_similar_is_that_of_a_plain_search(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows = [
+        {"uid": f"u{i:03}", "title": rnd.choice(["A one", "a-ONE", "Two", "three", "four 4", None]), "type": rnd.choice(["talk", "food"]), "district": rnd.choice(["x", "y", "", None]), "tags": rnd.choice([[], ["lang:en"]]),
+         "status": rnd.choice(["upcoming", "upcoming", "ongoing"]), "feedback": rnd.choice([None, None, "not_my_thing", "went"]), "starts_at": rnd.choice([f"2024-07-{d:02}T10:00:00+08:00" for d in range(1, 9)] + [None])}
+        for i in range(150)
+    ]
+    norm = lambda x: "".join(c for c in (x or "").lower() if c.isalnum())
+    ranked = sorted(rows, key=lambda r: (r["starts_at"] or "9999", r["uid"]))
+    best, shown = {}, {}
+    for r in rows:
+        some = [o for o in ranked if o["type"] == r["type"] and o["status"] == "upcoming" and o["feedback"] != "not_my_thing" and norm(o["title"]) != norm(r["title"])]
+        scored = sorted(((-round((bool(o["district"]) and o["district"] == r["district"]) + 0.5 * ("lang:en" in o["tags"]) - 0.01 * i, 6), i, o) for i, o in enumerate(some)), key=lambda x: x[:2])
+        best |= {(r["uid"], k + 1): (o["uid"], -s) for k, (s, _, o) in enumerate(scored[:4])}
+        seen, kept = set(), []
+        for k, (_, _, o) in enumerate(scored[:8]):
+            key = ((o["starts_at"] or "")[:10], (o["title"] or "")[:12])
+            if key not in seen:
+                seen.add(key)
+                kept.append((o["starts_at"] or "", k, o["uid"]))
+        shown |= {(r["uid"], k): u for k, (_, _, u) in enumerate(sorted(kept[:4]))}
+    df = listing(spark, *rows)
+    assert {(r["uid"], r["nth"]): (r["other"], r["score"]) for r in W.similar(df).collect()} == best
+    assert {(r["uid"], r["place"]): r["other"] for r in W.similar_list(df).collect()} == shown
+
+
+def test_scenarios_and_live_statistics(spark):
+    rows = [
+        {"uid": "climb", "type": "outdoor_challenge", "starts_at": "2024-06-20T10:00:00+08:00", "venue": "wall"}, {"uid": "next month", "type": "outdoor_challenge", "starts_at": "2024-07-20T10:00:00+08:00", "venue": "wall"},
+        {"uid": "online", "type": "outdoor_challenge", "starts_at": "2024-06-20T10:00:00+08:00", "venue": "wall", "tags": ["online"]}, {"uid": "nowhere", "type": "outdoor_challenge", "starts_at": "2024-06-20T10:00:00+08:00"},
+        {"uid": "advert", "type": "outdoor_challenge", "starts_at": "2024-06-20T10:00:00+08:00", "venue": "wall", "title": "市集招商"},
+        {"uid": "talk", "type": "language_exchange", "starts_at": "2024-06-20T10:00:00+08:00", "venue": "bar", "tags": ["lang:en"], "is_free": True}, {"uid": "shut", "type": "language_exchange", "starts_at": "2024-06-20T10:00:00+08:00", "venue": "bar", "tags": ["lang:en"], "signup_deadline": "2024-06-01T10:00:00+08:00"},
+        {"uid": "jazz", "type": "music", "starts_at": "2024-06-16T10:00:00+08:00", "address": "road 1", "source_platform": "p"}, {"uid": "late jazz", "type": "music", "starts_at": "2024-06-18T10:00:00+08:00", "address": "road 1"},
+        {"uid": "off", "status": "cancelled", "source_platform": "q"}, {"uid": "over", "status": "expired", "source_platform": "r"},
+    ]
+    from quarrymill.plans.listing_queries import SCENARIOS, UNWANTED
+
+    df = listing(spark, *rows)
+    got = {(r["scenario"], r["uid"]) for r in L.scenarios(df, NOW, SCENARIOS, UNWANTED).collect()}
+    assert got == {("challenge", "climb"), ("language", "talk"), ("chill", "jazz")}
+    assert W.live_statistics(df, NOW).first().asDict() == {"english_week": 2, "exchange_month": 2, "free_week": 1, "sources": 2}
