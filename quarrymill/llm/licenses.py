@@ -1,19 +1,20 @@
 """License scans: an exact set-similarity join of text blocks with license templates, in DataFrame operations only.
 
-A block (a line) holds a template if it has at least THRESHOLD of the template's distinct words. Words are ordered by their
-frequency over the whole corpus, rarest first. A template that a block holds shares one of the template's first
-``n - need + 1`` words with it (prefix filter), the block has at least ``need`` words (length filter), and after a first
-common word at place i of the prefix enough words must be left (position filter: n - i >= need). Only blocks that pass are
-compared as sets. Templates are a fixed list, so the prefix index has a proven bound and is broadcast; blocks are made, probed
-and verified where their document lies, and only matches are shuffled.
+A block is any run of so many consecutive words as the template has and a quarter more, wherever lines break. It holds the
+template if it has at least THRESHOLD of the template's distinct words. Words are ordered by their frequency over the whole
+corpus, rarest first. A block that holds a template has one of the template's first ``n - need + 1`` words (prefix filter), so
+only the surroundings of such words are looked at. They must have ``need`` words of the template in all (length filter), and
+of the block that starts at a word of the template, the words of the text that are left must be as many (position filter). Only
+blocks that pass are compared as sets. Templates are a fixed list, so the prefix index reaches the driver; blocks are made and
+verified where their document lies, and nothing is shuffled but the words' counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, text_of, written
+from .common import LOWER, UPPER, let, text_of, written
 
 #: A word, after lower-casing A-Z; and the same before it.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -48,30 +49,36 @@ def word_counts(docs: DataFrame, words: list[str]) -> DataFrame:
     return docs.select(F.explode(F.filter(all_words, lambda w: w.isin(words))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def prefix_index(spark: SparkSession, counts: DataFrame, templates: dict[str, str], threshold: float = THRESHOLD) -> DataFrame:
-    """(word, label, words, need): a row for each prefix word of each template, in the global order of words."""
-    rows = [(i, label, sorted(set(text.split())), _need(len(set(text.split())), threshold)) for i, (text, label) in enumerate(templates.items())]
-    t = spark.createDataFrame(rows, "id int, label string, words array<string>, need int").withColumn("word", F.explode("words"))
-    rare = t.join(counts, "word", "left").groupBy("id", "label", "words", "need").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("order"))
-    probe = F.slice("order", F.lit(1), F.size("order") - F.col("need") + 1)
-    # the place of a prefix word is below n - need + 1, so the position filter leaves need words or more after it
-    return rare.select("label", "words", "need", F.posexplode(probe).alias("place", "at")).select("label", "words", "need", "place", F.col("at.word").alias("word"))
-
-
-def matches(docs: DataFrame, index: DataFrame) -> DataFrame:
-    """(doc_id, label, like): each label with a block of the document that holds one of its templates, and the largest
-    containment. ``docs`` has doc_id and text; repeated ids count together, null ids too."""
-    block = docs.select("doc_id", F.explode(F.split(text_of(docs), "\n")).alias("line"))
-    terms = F.array_distinct(F.regexp_extract_all(F.translate("line", UPPER, LOWER), F.lit(WORD), 0))
-    probes = [r["word"] for r in index.select("word").distinct().collect()]  # no more than the templates have
-    least = index.agg(F.min("need").alias("n")).first()["n"]
-    block = block.withColumn("terms", terms).filter(F.size("terms") >= least)
-    hits = block.withColumn("word", F.explode(F.array_intersect("terms", F.array(*[F.lit(w) for w in probes])))).select("doc_id", "terms", "word")
-    found = hits.join(F.broadcast(index), "word").filter(F.size("terms") >= F.col("need"))
-    found = found.filter(F.size("words") - F.col("place") >= F.col("need"))
-    like = F.size(F.array_intersect("terms", "words")) / F.size("words")
-    found = found.withColumn("like", like).filter(F.size(F.array_intersect("terms", "words")) >= F.col("need"))
-    return found.groupBy("doc_id", "label").agg(F.max("like").alias("like"))
+def prefix_index(counts: DataFrame, templates: dict[str, str], threshold: float = THRESHOLD) -> list[tuple[str, list[str], list[str], int, int]]:
+    """(label, words, prefix, need, length) of each template: its distinct words, the rarest of which are its prefix, and the
+    words of a block. ``counts`` (word, n) has no more rows than the templates have words."""
+    n = {r["word"]: r["n"] for r in counts.collect()}
+    out = []
+    for text, label in templates.items():
+        words = sorted(set(text.split()), key=lambda w: (n.get(w, 0), w))
+        need, length = _need(len(words), threshold), len(text.split())
+        out.append((label, words, words[: len(words) - need + 1], need, length + length // 4))
+    return out
+
+
+def _most(words: Column, at: Column, template: tuple) -> Column:
+    """The largest number of the template's words in a block around one of its prefix words, if it is enough; else null.
+    ``at`` (i, w) has the places of all templates' prefix words."""
+    _, terms, prefix, need, length = template
+    wanted = F.array(*[F.lit(w) for w in terms])
+
+    def around(a: Column) -> Column:
+        since = F.greatest(a["i"] - (length - 1), F.lit(0))
+        near = F.slice(words, since + 1, a["i"] - since + length)
+
+        def blocks(x: Column) -> Column:
+            size = lambda j: F.when(F.get(x, j).isin(terms) & (F.size(x) - j >= need), F.size(F.array_intersect(F.slice(x, j + 1, length), wanted)))
+            return F.when(F.size(F.array_intersect(x, wanted)) >= need, F.array_max(F.transform(F.sequence(F.lit(0), F.size(x) - 1), size)))
+
+        return let(near, blocks)
+
+    most = F.array_max(F.transform(F.filter(at, lambda a: a["w"].isin(prefix)), around))
+    return F.when(most >= need, most)
 
 
 def _places(words: Column, phrase: str) -> Column:
@@ -81,36 +88,35 @@ def _places(words: Column, phrase: str) -> Column:
     return F.filter(F.array_compact(place), lambda i: F.slice(words, i + 2, len(rest)) == F.array(*[F.lit(x) for x in rest]))
 
 
-def phrase_places(docs: DataFrame, phrases: dict[str, str] = PHRASES) -> DataFrame:
-    """(doc_id, n_words, n_base, first_word, last_word, base_labels array) of every row; a null text has no words."""
-    plain = F.translate(text_of(docs), UPPER, LOWER)
-    gap = ANY_CASE.replace("[^", "[")
-    seen = "|".join(gap.join(p.split()) for p in phrases)
-    low = F.when(text_of(docs).rlike(f"(?i:{seen})"), F.regexp_extract_all(plain, F.lit(WORD), 0))
-    rows = docs.select("doc_id", F.regexp_count(text_of(docs), F.lit(ANY_CASE)).cast("long").alias("n_words"), low.alias("_w"))
-    rows = rows.select("doc_id", "n_words", *[F.coalesce(_places(F.col("_w"), p), F.array().cast("array<int>")).alias(f"_p{i}") for i, p in enumerate(phrases)])
-    starts = F.concat(*[F.col(f"_p{i}") for i in range(len(phrases))])
-    labels = F.array_compact(F.array(*[F.when(F.size(f"_p{i}") > 0, F.lit(x)) for i, x in enumerate(phrases.values())]))
-    rows = rows.withColumn("_s", starts)
-    return rows.select("doc_id", "n_words", F.size("_s").cast("long").alias("n_base"), F.array_min("_s").cast("long").alias("first_word"), F.array_max("_s").cast("long").alias("last_word"), F.array_distinct(labels).alias("base_labels"))
-
-
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, phrases: dict[str, str] = PHRASES) -> DataFrame:
     """One row a document of ``docs`` (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    labels has those of the phrases and of the templates; score is the largest containment, 1 for a phrase, 0 without a
-    label. Null and empty texts have no words; rows with one doc_id share the templates' labels. Other columns are left out.
+    The base columns are those of the phrases (n_base counts their places, which first_word and last_word bound). labels has
+    those of the phrases and of the templates; score is the largest containment, 1 for a phrase, 0 without a label. Null and
+    empty texts have no words. Every row is judged alone, whatever its doc_id; other columns are left out.
     """
-    spark = docs.sparkSession
     words = sorted({w for t in templates for w in t.split()})
-    counts = written(word_counts(docs, words), "license-words")
-    index = written(prefix_index(spark, counts, templates, threshold), "license-index")
-    found = matches(docs, index).withColumn("key", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    found = found.groupBy("key").agg(F.collect_set("label").alias("more"), F.max("like").alias("like"))
-    base = phrase_places(docs).withColumn("key", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    rows = base.join(found, "key", "left")
-    none = F.array().cast("array<string>")
-    labels = F.array_union("base_labels", F.coalesce("more", none))
+    index = prefix_index(written(word_counts(docs, words), "license-words"), templates, threshold)
+    probes = sorted({w for t in index for w in t[2]})
+    plain = F.translate(text_of(docs), UPPER, LOWER)
+    gap, edge = ANY_CASE.replace("[^", "["), r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+    seen = f"(?i:{'|'.join(gap.join(p.split()) for p in phrases)}|(?<!{edge})(?:{'|'.join(probes)})(?!{edge}))"
+    # only texts with a phrase or a prefix word are taken apart
+    low = F.when(text_of(docs).rlike(seen), F.regexp_extract_all(plain, F.lit(WORD), 0))
+    rows = docs.select("doc_id", F.regexp_count(text_of(docs), F.lit(ANY_CASE)).cast("long").alias("n_words"), F.coalesce(low, F.array().cast("array<string>")).alias("_w"))
+    at = F.array_compact(F.transform("_w", lambda w, i: F.when(w.isin(probes), F.struct(i.alias("i"), w.alias("w")))))
+    rows = rows.select("doc_id", "n_words", "_w", at.alias("_at"), *[_places(F.col("_w"), p).alias(f"_p{i}") for i, p in enumerate(phrases)])
+    # where no prefix word stands there is nothing to look at
+    like = [F.when(F.size("_at") > 0, _most(F.col("_w"), F.col("_at"), t) / len(t[1])) for t in index]
+    starts = F.concat(*[F.col(f"_p{i}") for i in range(len(phrases))])
+    base = F.array_compact(F.array(*[F.when(F.size(f"_p{i}") > 0, F.lit(x)) for i, x in enumerate(phrases.values())]))
+    rows = rows.select("doc_id", "n_words", starts.alias("_s"), F.array_distinct(base).alias("_base"), F.array(*[F.struct(F.lit(t[0]).alias("label"), x.alias("like")) for t, x in zip(index, like, strict=True)]).alias("_t"))
+    found = F.filter("_t", lambda x: x["like"].isNotNull())
+    rows = rows.select("doc_id", "n_words", "_s", "_base", found.alias("_t"))
     joined = lambda a: F.array_join(F.sort_array(a), ",")
-    score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("like", F.lit(0.0)))
-    return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined(F.col("base_labels")).alias("base_labels"), joined(labels).alias("labels"), score.alias("score"))
+    labels = F.array_union("_base", F.transform("_t", lambda x: x["label"]))
+    score = F.when(F.size("_s") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("_t", lambda x: x["like"])), F.lit(0.0)))
+    return rows.select(
+        "doc_id", "n_words", F.size("_s").cast("long").alias("n_base"), F.array_min("_s").cast("long").alias("first_word"), F.array_max("_s").cast("long").alias("last_word"),
+        joined(F.col("_base")).alias("base_labels"), joined(labels).alias("labels"), score.alias("score"),
+    )

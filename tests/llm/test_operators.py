@@ -404,9 +404,38 @@ def test_license_scan(spark):
         1: (1, 2, 2, "cc-by", "cc-by"), 2: (2, 0, 3, "reserved", "reserved"), 3: (0, None, None, "", "mit"), 4: (0, None, None, "", ""), 5: (0, None, None, "", ""), 6: (2, 0, 2, "cc-by", "cc-by"), 7: (0, None, None, "", ""),
         8: (0, None, None, "", "apache-2.0"),
     }
+    wrapped = "Permission is hereby granted,\n free of charge, to any\n person obtaining a copy\n of this software"
+    bsd = "Redistribution and use in source and binary forms, with or without\n * modification, are permitted"
+    far = " ".join(f"{w} {'x ' * 30}" for w in "this work is in the public domain".split())
+    rows = [(1, wrapped), (1, "the text of another row"), (None, bsd), (3, far), (4, "filler " * 5000 + wrapped + " filler" * 20_000)]
+    assert listed(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "labels") == sorted([(1, "mit"), (1, ""), (None, "bsd"), (3, ""), (4, "mit")], key=str)
     assert licenses.scan(docs(spark)).count() == docs(spark).count() and licenses.scan(empty(spark)).count() == 0
 
 
+def test_license_recall_is_that_of_all_blocks(spark):
+    import random
+
+    rnd = random.Random(7)
+    rows = []
+    for i in range(200):
+        t = rnd.choice(list(licenses.TEMPLATES)).split()
+        for _ in range(rnd.randint(0, 5)):
+            rnd.choice([lambda: t.pop(rnd.randrange(len(t))), lambda: t.insert(rnd.randrange(len(t)), "other"), lambda: rnd.shuffle(t)])() if len(t) > 1 else None
+        rows.append((i, " ".join(["the", "of", "and"] * rnd.randint(0, 9) + t) + rnd.choice([" the end", "", "\nlicense"])))
+    want = {}
+    for i, x in rows:
+        w, found = x.lower().split(), {}
+        for text, label in licenses.TEMPLATES.items():
+            terms, length = set(text.split()), len(text.split()) + len(text.split()) // 4
+            most = max(len(terms & set(w[j : j + length])) for j in range(len(w)))
+            if most >= 0.8 * len(terms) - 1e-9:
+                found[label] = max(found.get(label, 0), most / len(terms))
+        base = {y for p, y in licenses.PHRASES.items() if f" {p} " in f" {' '.join(w)} "}
+        want[i] = (",".join(sorted(base | set(found))), 1.0 if base else max(found.values(), default=0.0))
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len({x for x, _ in want.values()}) > 5
+
+
 # ---- 8: quality
 
 
