@@ -59,12 +59,13 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
 SALTS = 16
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """``big`` joined with ``small``, which has one row for each value of ``on``: that row is repeated for each of ``salts``
+def salted_join(big: DataFrame, small: DataFrame, on: str | tuple[str, ...], how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """``big`` joined with ``small``, which has one row (or a few) for each value of ``on``: that row is repeated for each of ``salts``
     salts, and the rows of ``big`` are dealt out over them, so that a value that a third of all rows share is ``salts`` keys."""
     dealt = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
     spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(spread, [on, "_salt"], how).drop("_salt")
+    keys = [on] if isinstance(on, str) else list(on)
+    return dealt.join(spread, [*keys, "_salt"], how).drop("_salt")
 
 
 #: Parts of all rows: a value that has more than one of them is hot, so there are no more hot values than this.

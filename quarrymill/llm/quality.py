@@ -31,6 +31,8 @@ CONSISTENT, NEAR, NEAR_CONSISTENT, CUTOFF = 1.91, 12.83, 1.05, 25.74
 #: and x4 are small enough that a quarter of repeated lines, or of repeated words, can reach the cutoff alone.
 FLOORS = {"x0": 0.5, "x1": 0.12, "x2": 0.06, "x3": 0.1, "x4": 0.1}
 STEPS_A_UNIT = 256
+#: Up to so many groups (some 2 KB each) their estimates are broadcast.
+FEW_GROUPS = 10_000
 
 
 def _repeated(words: Column, n: Column) -> Column:
@@ -99,31 +101,24 @@ def _quantile(rows: DataFrame, keys: list[str], step: str, part: float, name: st
 def _fit(subset: DataFrame, names: list[str], keys: tuple[str, ...] = ("gkey",), factor: float = CONSISTENT) -> DataFrame:
     """(keys..., m0.., a00.., det): means and the inverse of the Cholesky factor of the covariance of each group, and the log of
     its determinant."""
-    d = len(names)
-    aggs = [F.avg(x).alias(f"m{i}") for i, x in enumerate(names)]
-    aggs += [F.avg(F.col(names[i]) * F.col(names[j])).alias(f"p{i}{j}") for i in range(d) for j in range(i + 1)]
-    est = subset.groupBy(*keys).agg(*aggs)
-    floor = lambda i: F.lit(FLOORS[names[i]] ** 2) if names[i] in FLOORS else F.lit(1e-6)
-    cov = [((F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * factor + (floor(i) if i == j else 0)).alias(f"s{i}{j}") for i in range(d) for j in range(i + 1)]
-    est = est.select(*keys, *[f"m{i}" for i in range(d)], *cov)
-    for i in range(d):
-        for j in range(i + 1):
-            rest = F.col(f"s{i}{j}")
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            est = est.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
-    for j in range(d):
-        for i in range(j, d):
-            if i == j:
-                x = 1 / F.col(f"l{i}{i}")
-            else:
-                x = F.lit(0.0)
-                for k in range(j, i):
-                    x = x - F.col(f"l{i}{k}") * F.col(f"a{k}{j}")
-                x = x / F.col(f"l{i}{i}")
-            est = est.withColumn(f"a{i}{j}", x)
-    det = sum((F.log(f"l{i}{i}") for i in range(d)), F.lit(0.0))
-    return est.select(*keys, *_parameters(d), det.alias("det"))
+    d = range(len(names))
+    below = [(i, j) for i in d for j in range(i + 1)]
+    total = lambda parts: " + ".join(["0D", *parts])
+    means = [f"avg({x}) AS m{i}" for i, x in enumerate(names)]
+    products = [f"avg({names[i]} * {names[j]}) AS p{i}{j}" for i, j in below]
+    floor = lambda i, j: (FLOORS[names[i]] ** 2 if names[i] in FLOORS else 1e-6) if i == j else 0
+    cov = [f"(p{i}{j} - m{i} * m{j}) * {factor}D + {floor(i, j)!r}D AS s{i}{j}" for i, j in below]
+    factors, inverse = [], []  # each is made of those before it
+    for j in d:
+        for i in d[j:]:
+            rest = f"s{i}{j} - ({total(f'l{i}{k} * l{j}{k}' for k in range(j))})"
+            factors.append(f"sqrt(greatest({rest}, 1e-9D)) AS l{j}{j}" if i == j else f"({rest}) / l{j}{j} AS l{i}{j}")
+            row = f"1D / l{i}{i}" if i == j else f"-({total(f'l{i}{k} * a{k}{j}' for k in range(j, i))}) / l{i}{i}"
+            inverse.append(f"{row} AS a{i}{j}")
+    det = f"{total(f'ln(l{i}{i})' for i in d)} AS det"
+    est = subset.groupBy(*keys).agg(*map(F.expr, [*means, *products]))
+    est = est.selectExpr(*keys, *[f"m{i}" for i in d], *cov).selectExpr("*", *factors)
+    return est.selectExpr("*", *inverse, det).select(*keys, *_parameters(len(names)), "det")
 
 
 def _parameters(d: int) -> list[str]:
@@ -131,13 +126,8 @@ def _parameters(d: int) -> list[str]:
 
 
 def _distance(names: list[str]) -> Column:
-    out = F.lit(0.0)
-    for i in range(len(names)):
-        y = F.lit(0.0)
-        for j in range(i + 1):
-            y = y + F.col(f"a{i}{j}") * (F.col(names[j]) - F.col(f"m{j}"))
-        out = out + y * y
-    return out
+    parts = [" + ".join(f"a{i}{j} * ({names[j]} - m{j})" for j in range(i + 1)) for i in range(len(names))]
+    return F.expr(" + ".join(f"({y}) * ({y})" for y in parts))
 
 
 def _log_step(x: Column) -> Column:
@@ -150,13 +140,15 @@ def outliers(rows: DataFrame, names: list[str]) -> DataFrame:
 
     ``rows`` should be a written table: every step reads it once or twice.
     """
-    groups = rows.groupBy("gkey").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_GROUP).select("gkey")
-    rows = salted_join(rows, groups, "gkey", "left_semi")
+    groups = rows.groupBy("gkey").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_GROUP)
+    sizes = written(groups, "sizes")
+    few = sizes.count() <= FEW_GROUPS
+    rows = _with_group(rows, sizes.select("gkey"), few)
     long = rows.select("gkey", F.explode(F.array(*[F.struct(F.lit(x).alias("name"), F.col(x).alias("x")) for x in names])).alias("v")).select("gkey", "v.*")
     step = F.round(F.col("x") * STEPS_A_UNIT).cast("long")
     middles = written(_quantile(long.withColumn("step", step), ["gkey", "name"], "step", 0.5, "middle"), "middles")
     wide = middles.groupBy("gkey").agg(F.map_from_entries(F.collect_list(F.struct("name", "middle"))).alias("middles"))
-    spread = salted_join(long, wide, "gkey").withColumn("middle", F.element_at("middles", F.col("name"))).drop("middles")
+    spread = _with_group(long, wide, few).withColumn("middle", F.element_at("middles", F.col("name"))).drop("middles")
     spread = spread.withColumn("step", F.abs(step - F.col("middle")))
     spreads = _quantile(spread, ["gkey", "name"], "step", 0.5, "spread")
     d = len(names)
@@ -165,43 +157,41 @@ def outliers(rows: DataFrame, names: list[str]) -> DataFrame:
     scale = lambda i: F.greatest(at(names[i], "spread") * 1.4826, F.lit(FLOORS.get(names[i], 1e-3)))
     start = start.agg(*[at(x, "middle").alias(f"m{i}") for i, x in enumerate(names)], *[(1 / scale(i)).alias(f"d{i}") for i in range(d)])
     part = lambda s, i, j: F.col(f"d{i}") if i == j and s in (0, i + 1) else F.lit(0.0)
-    one = lambda s: F.struct(F.lit(s).alias("s"), *[F.col(f"m{i}") for i in range(d)], *[part(s, i, j).alias(f"a{i}{j}") for i in range(d) for j in range(i + 1)], F.lit(0.0).alias("det"))
+    one = lambda s: F.struct(F.lit(s).alias("s"), *[F.col(f"m{i}") for i in range(d)], *[part(s, i, j).alias(f"a{i}{j}") for i in range(d) for j in range(i + 1)], F.lit(0.0).alias("det"), F.lit(None).cast("int").alias("bound"))
     fits = start.select("gkey", F.inline(F.array(*[one(s) for s in range(d + 1)])))
     slim = written(rows.select("gkey", *names, F.xxhash64(*rows.columns).alias("h")), "vectors")
-    sizes = slim.groupBy("gkey").agg(F.count("*").alias("n"))
-    drawn = salted_join(slim, sizes, "gkey").withColumn("s", F.explode(F.sequence(F.lit(d + 1), F.lit(d + SAMPLES))))
+    drawn = _with_group(slim, sizes, few).withColumn("s", F.explode(F.sequence(F.lit(d + 1), F.lit(d + SAMPLES))))
     drawn = drawn.filter(F.pmod(F.xxhash64("h", "s"), F.ceil(F.col("n") / SAMPLE)) == 0)
-    fits = written(fits.unionByName(_fit(drawn, names, ("gkey", "s"))), "scatter")
+    fits = written(fits.unionByName(_fit(drawn, names, ("gkey", "s")), allowMissingColumns=True), "scatter")
     slim = slim.select("gkey", *names)
     for _ in range(FIRST_STEPS):
-        fits = _concentrated(slim, fits, names)[0]
+        fits = _concentrated(slim, fits, names, few)
     best = F.row_number().over(Window.partitionBy("gkey").orderBy("det", "s"))
     fits = written(fits.withColumn("_nth", best).filter(F.col("_nth") <= GO_ON).drop("_nth"), "scatter")
-    was = None
     for _ in range(MOST_STEPS):
-        fits, bounds = _concentrated(slim, fits, names)
-        if was is not None and bounds.join(was.withColumnRenamed("bound", "was"), ["gkey", "s"]).filter("abs(bound - was) > 1").isEmpty():
+        fits = _concentrated(slim, fits, names, few)
+        if fits.filter("abs(bound - was) > 1").isEmpty():
             break
-        was = bounds
     kept = [*_parameters(d), "det"]
     fits = fits.groupBy("gkey").agg(F.min_by(F.struct(*kept), F.struct("det", "s")).alias("f")).select("gkey", "f.*")
-    near = salted_join(slim, written(fits, "scatter"), "gkey").filter(_distance(names) <= NEAR)
+    near = _with_group(slim, written(fits, "scatter"), few).filter(_distance(names) <= NEAR)
     fits = written(_fit(near, names, factor=NEAR_CONSISTENT), "scatter")
-    return salted_join(rows, fits, "gkey").select(*rows.columns, _distance(names).alias("distance"))
+    return _with_group(rows, fits, few).select(*rows.columns, _distance(names).alias("distance"))
 
 
-def _concentrated(rows: DataFrame, fits: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The fits (gkey, s, ...) after a concentration step of each start, and (gkey, s, bound), the bounds of their subsets.
-    ``rows`` are dealt by group once for all starts, which follow row by row."""
-    params = _parameters(len(names))
+def _with_group(rows: DataFrame, small: DataFrame, few: bool, on: tuple[str, ...] = ("gkey",)) -> DataFrame:
+    """``rows`` joined with ``small``, a row or a few for each group: broadcast if the groups are few, else by salted keys."""
+    return rows.join(F.broadcast(small), list(on)) if few else salted_join(rows, small, on)
 
-    def measured(fits: DataFrame, *more: str) -> DataFrame:
-        every = fits.groupBy("gkey").agg(F.collect_list(F.struct("s", *params, *more)).alias("_f"))
-        return salted_join(rows, every, "gkey").select("gkey", *names, F.inline("_f")).withColumn("step", _log_step(_distance(names)))
 
-    bounds = written(_quantile(measured(fits).select("gkey", "s", "step"), ["gkey", "s"], "step", SUBSET, "bound"), "bounds")
-    subset = measured(fits.join(bounds, ["gkey", "s"]), "bound").filter("step <= bound")
-    return written(_fit(subset, names, ("gkey", "s")), "scatter"), bounds
+def _concentrated(rows: DataFrame, fits: DataFrame, names: list[str], few: bool) -> DataFrame:
+    """The fits (gkey, s, parameters, det, bound, was) after a concentration step of each start: ``bound`` is that of the subset
+    they rest on, ``was`` the one before. One job, which reads ``rows`` twice and shuffles histograms and sums only."""
+    start = fits.select("gkey", "s", *_parameters(len(names)), F.col("bound").alias("was"))
+    measured = _with_group(rows, start, few).select("gkey", "s", "was", *names, _log_step(_distance(names)).alias("step"))
+    bounds = _quantile(measured.select("gkey", "s", "step"), ["gkey", "s"], "step", SUBSET, "bound")
+    subset = _with_group(measured, bounds, few, ("gkey", "s")).filter("step <= bound")
+    return written(_fit(subset, names, ("gkey", "s", "bound", "was")), "scatter")
 
 
 def with_groups(rows: DataFrame, least: int = LEAST_GROUP) -> DataFrame:
