@@ -28,6 +28,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def read_listings(spark: SparkSession, path: str) -> DataFrame:
     """The table of JSON lines: unknown fields dropped, unreadable lines skipped, the last row of each uid kept."""
     schema = T.StructType([*LISTING.fields, T.StructField("_bad", T.StringType())])

@@ -1,4 +1,7 @@
-"""Jobs over arriving rows: upserts batch by batch, sessions of crawl stamps."""
+"""Jobs over arriving rows: upserts batch by batch, sessions of crawl stamps.
+
+Both keep their state in a folder; given the same folder again, they go on where they stopped.
+"""
 
 from __future__ import annotations
 
@@ -8,40 +11,59 @@ from pyspark.sql import functions as F
 from ..operators import listings as L
 from ..sources import tables
 
+#: Parts of the table by hash of uid; a batch rewrites only those that it has rows of.
+PARTS = 64
+
 
-def upsert_stream(stream: DataFrame, stored: DataFrame, stamp: str) -> DataFrame:
+def upsert_stream(stream: DataFrame, stored: DataFrame, stamp: str, folder: str | None = None) -> DataFrame:
     """The listings table after all available rows of ``stream`` are upserted, batch by batch.
 
-    Each batch writes a new version of the table in the shared folder; a batch that runs again after a failure reads the
-    version before it and gives the same one, as the version's name is the batch's number.
+    A batch writes new versions of the parts that it has rows of and, when they are whole, a note of them. One that runs again
+    after a failure reads the versions before it and writes the same, as a version is the batch's number. ``stored`` is
+    the table to start from; it is not read when ``folder`` holds an earlier run.
     """
     spark = stored.sparkSession
-    base = tables.scratch(spark, "upserts")
-    stored.write.parquet(f"{base}/v0")
+    base = folder or tables.scratch(spark, "upserts")
+    part = F.pmod(F.xxhash64("uid"), F.lit(PARTS)).cast("int")
+    notes = f"{base}/notes"
+
+    def keep(rows: DataFrame, version: int) -> None:
+        path = f"{base}/rows/v{version}"
+        rows.withColumn("_part", part).write.mode("overwrite").partitionBy("_part").parquet(path)
+        done = spark.read.schema(rows.withColumn("_part", part).schema).parquet(path)
+        done.select("_part").distinct().withColumn("version", F.lit(version)).coalesce(1).write.mode("append").parquet(notes)
+
+    def table(version: int, parts: list[int] | None = None) -> DataFrame:
+        now = spark.read.schema("_part int, version int").parquet(notes).filter(F.col("version") <= version)
+        now = now.groupBy("_part").agg(F.max("version").alias("version"))
+        at = [f"{base}/rows/v{r['version']}/_part={r['_part']}" for r in now.collect() if parts is None or r["_part"] in parts]  # PARTS at most
+        return spark.read.schema(stored.schema).parquet(*at) if at else spark.createDataFrame([], stored.schema)
 
     def one(batch: DataFrame, number: int) -> None:
-        before = spark.read.schema(stored.schema).parquet(f"{base}/v{number}")
-        L.upsert(before, batch, stamp).drop("outcome").write.mode("overwrite").parquet(f"{base}/v{number + 1}")
-        last[0] = number + 1
+        parts = [r["p"] for r in batch.select(part.alias("p")).distinct().collect()]  # PARTS at most
+        if parts:
+            keep(L.upsert(table(number, parts), batch, stamp).drop("outcome"), number + 1)
 
-    last = [0]
+    if not tables.exists(spark, f"{notes}/_SUCCESS"):
+        keep(stored, 0)
     query = stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stored.schema).parquet(f"{base}/v{last[0]}")
+    return table(1 << 30)
 
 
-def session_stream(stream: DataFrame, key: str, at: str, gap: str = "12 hours", late: str = "1 hour") -> DataFrame:
-    """(key, started, ended, n): sessions of stamps that are ``gap`` or less apart, when all available rows are in."""
+def session_stream(stream: DataFrame, key: str, at: str, gap: str = "12 hours", late: str = "1 hour", folder: str | None = None) -> DataFrame:
+    """(key, started, ended, n): sessions of stamps that are ``gap`` or less apart and that have ended: the latest stamp of
+    all keys is more than ``late`` past their end. Sessions still open stay in the state, which holds no others, and come when
+    later rows do. Rows later than that are passed over; without any rows the result is empty."""
     spark = stream.sparkSession
-    base = tables.scratch(spark, "sessions")
+    base = folder or tables.scratch(spark, "sessions")
     n = stream.withWatermark(at, late).groupBy(key, F.session_window(at, gap)).agg(F.count("*").alias("n"))
     rows = n.select(key, F.col("session_window.start").alias("started"), F.col("session_window.end").alias("ended"), "n")
 
     def one(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out/v{number}")
-        last[0] = number
+        batch.write.mode("overwrite").parquet(f"{base}/out/_batch={number}")
 
-    last = [0]
-    query = rows.writeStream.outputMode("complete").foreachBatch(one).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(f"{base}/out/_batch=-1")
+    query = rows.writeStream.outputMode("append").foreachBatch(one).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{base}/out/v{last[0]}")
+    return spark.read.schema(rows.schema).parquet(f"{base}/out").select(rows.columns)
