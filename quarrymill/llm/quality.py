@@ -38,9 +38,6 @@ FEW_GROUPS = 10_000
 def _repeated(words: Column, n: Column) -> Column:
     """Words covered by windows of WINDOW words that occur twice or more."""
 
-    def joined(grams: Column, by: int) -> Column:
-        return F.zip_with(grams, F.slice(grams, by + 1, n), lambda a, b: F.xxhash64(a, b))
-
     def covered(grams: Column) -> Column:
         placed = F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
 
@@ -55,7 +52,8 @@ def _repeated(words: Column, n: Column) -> Column:
         return F.when(F.size(F.array_distinct(grams)) < F.size(grams), covered(grams)).otherwise(0)
 
     one = F.transform(words, lambda w: F.xxhash64(w))
-    eight = let(let(let(one, lambda g: joined(g, 1)), lambda g: joined(g, 2)), lambda g: joined(g, 4))
+    two = let(one, lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1))))
+    eight = let(two, lambda h: F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(2, WINDOW, 2)])))
     return F.when(n > WINDOW, let(F.slice(eight, 1, n - (WINDOW - 1)), of)).otherwise(0)
 
 
@@ -65,7 +63,7 @@ def text_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang",
     n_lines counts the lines with a word. Other columns are left out.
     """
     text = text_of(docs)
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
     stats = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeated(w, F.size(w)).cast("long").alias("n_repeat_words")))
     line = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
