@@ -22,6 +22,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share: under spark.checkpoint.dir, or where that is unset (tests) a new one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append(f"file://{tempfile.mkdtemp(prefix='spark-')}")
         at = _own[0]
