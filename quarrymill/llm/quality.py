@@ -65,13 +65,12 @@ def text_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang",
     text = text_of(docs)
     words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
-    stats = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeated(w, F.size(w)).cast("long").alias("n_repeat_words")))
+    chars = lambda w: F.length(F.array_join(w, "")).cast("long")
+    stats = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), chars(w).alias("word_chars"), _repeated(w, F.size(w)).cast("long").alias("n_repeat_words")))
     line = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    rows = docs.select(
-        *keep, stats.alias("_w"), line.alias("_l"), F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-    )
-    return rows.select(*keep, "_w.n_words", "word_chars", "n_symbols", "_l.n_lines", "_l.n_dup_lines", "_w.n_repeat_words")
+    symbols = F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long")
+    rows = docs.select(*keep, stats.alias("_w"), line.alias("_l"), symbols.alias("n_symbols"))
+    return rows.select(*keep, "_w.n_words", "_w.word_chars", "n_symbols", "_l.n_lines", "_l.n_dup_lines", "_w.n_repeat_words")
 
 
 def base_failed() -> Column:
