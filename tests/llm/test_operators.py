@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrymill.llm import bpe, fingerprints, langid, licenses, linededup, lmscore, mixing, ngramjoin, quality, registry, warc
+from quarrymill.llm.common import written
 from quarrymill.llm.components import components
 
 from ..compare import same
@@ -491,7 +492,7 @@ def test_repeats_alone_can_reject(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).withColumn("source", F.lit("s"))
     rows = quality.text_statistics(df).withColumn("base_failed", F.lit(False))
     rows = quality.with_groups(rows).select("*", *[c.alias(x) for x, c in quality.vector().items()])
-    rows = rows.withColumn("x4", F.when(F.col("doc_id") == 500, F.lit(0.0)).otherwise(F.col("x4"))).localCheckpoint()
+    rows = written(rows.withColumn("x4", F.when(F.col("doc_id") == 500, F.lit(0.0)).otherwise(F.col("x4"))), "rows")
     far = {r["doc_id"]: r["distance"] for r in quality.outliers(rows, list(quality.FLOORS)).collect()}
     assert far[500] > quality.CUTOFF and sum(x > quality.CUTOFF for x in far.values()) <= 4
 
