@@ -146,3 +146,10 @@ def j8(spark, sf):
     rows = nations.selectExpr("cast(CASE WHEN n_nationkey % 3 > 0 THEN 1998 + n_nationkey % 3 END as int) AS year", "n_name AS key", "concat('f', n_nationkey) AS fact")
     facts = read(spark, sf, "customer").selectExpr("concat('f', c_custkey) AS id", "c_name AS value")
     return T.resolve_params(rows, facts, 1999)[0]
+
+
+@R.add("j8_dangling_params", "SELECT CASE WHEN c_custkey % 3 > 0 THEN (1998 + c_custkey % 3)::INT END AS year, c_name AS key, 'f' || c_custkey AS fact FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+def j8_dangling(spark, sf):
+    rows = read(spark, sf, "customer").selectExpr("cast(CASE WHEN c_custkey % 3 > 0 THEN 1998 + c_custkey % 3 END as int) AS year", "c_name AS key", "concat('f', c_custkey) AS fact")
+    facts = read(spark, sf, "supplier").selectExpr("concat('f', s_suppkey) AS id", "s_name AS value")
+    return T.resolve_params(rows, facts, 1999)[1]
