@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, licenses, linededup, lmscore, mixing, ngramjoin, quality, warc
+from . import bpe, fingerprints, langid, licenses, linededup, lmscore, mixing, ngramjoin, packing, quality, runs, warc, whitening
 from .common import table
 
 DOCS = "(SELECT doc_id, coalesce(text, '') AS text, lang, source FROM documents)"
@@ -129,10 +129,24 @@ SELECT doc_id, size, source_size, target, size * coalesce(passes, 0)::BIGINT AS
 FROM q LEFT JOIN n USING (skey, nth)"""
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.mark_runs(table(spark, sf_dir, "documents"), words=runs.with_tandem))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pieces(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {
         "op1_lm_score": op1_lm_score, "op2_byte_pairs": op2_byte_pairs, "op3_ngram_join": op3_ngram_join, "op4_fingerprints": op4_fingerprints, "op5_line_dedup": op5_line_dedup, "op6_warc": op6_warc, "op7_licenses": op7_licenses,
-        "op8_quality": op8_quality, "op9_language": op9_language, "op10_fair_mix": op10_fair_mix,
+        "op8_quality": op8_quality, "op9_language": op9_language, "op10_fair_mix": op10_fair_mix, "op11_periodic_runs": op11_periodic_runs, "op12_packing": op12_packing, "op13_whitening": op13_whitening,
     }
 
 
