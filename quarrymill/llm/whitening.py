@@ -66,7 +66,7 @@ def leading(v: np.ndarray, k: int = COMPONENTS) -> tuple[np.ndarray, np.ndarray]
     values: list[float] = []
     vectors = np.zeros((d, 0))
     rng = np.random.default_rng(0)
-    for j in range(1, min(k, d) + 1):
+    for j in range(1, min(k, d) + 1 if norm else 1):
         found = None
         while found is None:
             low = max(s for s, c in counts.items() if c >= j)
