@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
+from .joins import beside, first_of_each, skewed_join, written
 
 
 def today(now: str) -> Column:
@@ -57,23 +60,25 @@ def pick_score() -> Column:
     return has("lang:en") * 2 + (1 - has("online")) + known * 0.5 + said("venue", "address") * 0.5 + said("description") * 0.25
 
 
+#: The most that ``pick_score`` gives.
+BEST_PICK = 4.25
+
+
 def picks(events: DataFrame, now: str, order: list[Column], limit: int = 6, least: int = 3, discount: float = 0.002) -> DataFrame:
     """(uid, score): the best of this weekend, or of the next seven days if fewer than ``least`` are upcoming then.
 
     Listings that the reader has refused, and those online, are no picks (the latter count as upcoming). A listing loses
-    ``discount`` for each place that it comes later in the base order.
+    ``discount`` for each place that it comes later in the base order, so one after the first BEST_PICK / ``discount`` + ``limit`` can't
+    be among the best: these are taken as a top-k, and only they get a place.
     """
     spark = events.sparkSession
     some = events.filter("status = 'upcoming' and coalesce(feedback, '') <> 'not_my_thing'")
     here = in_windows(some, windows(spark, now).filter("name in ('weekend', 'next7')"))
     chosen = here.agg(F.when(F.count_if(F.col("name") == "weekend") >= least, F.lit("weekend")).otherwise(F.lit("next7")).alias("chosen"))
     rows = here.join(F.broadcast(chosen), F.col("name") == F.col("chosen")).filter(~F.coalesce(F.array_contains("tags", "online"), F.lit(False)))
-    # The base order goes by start as text, so a place is that within the day plus the rows of earlier days, of which there are few.
-    rows = rows.withColumn("base", pick_score()).withColumn("_day", F.substring("starts_at", 1, 10))
-    days = rows.groupBy("_day").agg(F.count("*").alias("n"))
-    days = days.withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    rows = rows.join(F.broadcast(days), "_day").withColumn("pos", F.col("_before") + F.row_number().over(Window.partitionBy("_day").orderBy(*order)) - 1)
-    rows = rows.withColumn("score", F.round(F.col("base") - discount * F.col("pos"), 6))
+    rows = rows.orderBy(*order).limit(math.ceil(BEST_PICK / discount) + limit)
+    rows = rows.withColumn("pos", F.row_number().over(Window.orderBy(*order)) - 1)
+    rows = rows.withColumn("score", F.round(pick_score() - discount * F.col("pos"), 6))
     return rows.orderBy(F.desc("score"), "pos").limit(limit).select("uid", "score")
 
 
@@ -89,32 +94,30 @@ def live_statistics(events: DataFrame, now: str) -> DataFrame:
     )
 
 
-def similar(events: DataFrame, limit: int = 4, discount: float = 0.01, most: int = 170) -> DataFrame:
+def similar(events: DataFrame, limit: int = 4, discount: float = 0.01) -> DataFrame:
     """(uid, other, score, nth): listings of the same type and another title, best first.
 
-    The score is 1 for the same district, 0.5 for one in English, less 0.01 for each place in the type's order of upcoming
-    rows that the reader hasn't refused. It is at most 1.5, so nothing after some 160 rows of other titles can be among the best
-    eight: the candidates of a type are the rows whose place, less the largest count that any title has before them, is at most
-    ``most``, and of each title the first ``most`` + 1. The result is exact. There are no more than 2 * ``most`` + 2 candidates
-    of a type, of which there are eleven, so they are broadcast; listings alike in type, title and district share their best.
+    The score is 1 for the same district, 0.5 for one in English, less ``discount`` for each place in the type's order of upcoming
+    rows of other titles that the reader hasn't refused. It is 1.5 at most, so a row with more than m = 1.5 / ``discount`` + ``limit`` rows of
+    other titles before it can't be among the best. A title's rows after its m-th have so many for every reader; without them a title has m
+    rows, and what is wanted is among the first 2 m of its type. These are found as top-k by parts, so a type or title that most
+    rows share is many tasks. The result is exact. Listings alike in type, title and district share their best.
     """
+    most = math.ceil(1.5 / discount) + limit + 1
     key = ["type", "t", "district"]
     rows = events.select("uid", "type", N.title_key(F.col("title")).alias("t"), F.coalesce("starts_at", F.lit("9999")).alias("at"), F.coalesce(F.nullif("district", F.lit("")), F.lit("")).alias("district"),
-                         F.coalesce(F.array_contains("tags", "lang:en"), F.lit(False)).alias("english"), "status", "feedback", F.col("title").alias("head"))
-    w = Window.partitionBy("type").orderBy("at", "uid")
-    cand = rows.filter("status = 'upcoming' and type is not null and coalesce(feedback, '') <> 'not_my_thing'")
-    cand = cand.withColumn("pos", F.row_number().over(w) - 1).withColumn("nth", F.row_number().over(Window.partitionBy("type", "t").orderBy("at", "uid")))
-    cand = cand.withColumn("same", F.max("nth").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    cand = cand.filter((F.col("pos") - F.coalesce("same", F.lit(0)) <= most) & (F.col("nth") <= most + 1))
-    c = cand.select("type", F.col("uid").alias("other"), F.col("t").alias("ot"), F.col("district").alias("od"), "english", "pos")
-    pairs = rows.select(*key).distinct().join(F.broadcast(c), "type").filter(F.col("t") != F.col("ot"))
+                         F.coalesce(F.array_contains("tags", "lang:en"), F.lit(False)).alias("english"), "status", "feedback")
+    cand = rows.filter("status = 'upcoming' and type is not null and coalesce(feedback, '') <> 'not_my_thing'").drop("status", "feedback")
+    cand = first_of_each(first_of_each(cand, ["type", "t"], [F.col("at"), F.col("uid")], most), ["type"], [F.col("at"), F.col("uid")], 2 * most)
+    c = written(cand.select("type", F.col("uid").alias("other"), F.col("t").alias("ot"), F.col("district").alias("od"), "english", "at"), "candidates")
+    pairs = beside(rows.select(*key).distinct(), c, "type").filter(F.col("t") != F.col("ot"))
     group = Window.partitionBy(*key)
-    kth = F.row_number().over(group.orderBy("pos"))
+    kth = F.row_number().over(group.orderBy("at", "other"))
     near = ((F.col("district") == F.col("od")) & (F.col("od") != "")).cast("double")
-    pairs = pairs.withColumn("score", F.round(near + 0.5 * F.col("english").cast("double") - discount * (kth - 1), 6))
-    best = pairs.withColumn("nth", F.row_number().over(group.orderBy(F.desc("score"), "pos"))).filter(F.col("nth") <= limit)
+    pairs = pairs.withColumn("kth", kth).withColumn("score", F.round(near + 0.5 * F.col("english").cast("double") - discount * (F.col("kth") - 1), 6))
+    best = pairs.withColumn("nth", F.row_number().over(group.orderBy(F.desc("score"), "kth"))).filter(F.col("nth") <= limit)
     best = best.groupBy(*key).agg(F.collect_list(F.struct("other", "score", "nth")).alias("best"))
-    return rows.select("uid", *key).join(best, key).select("uid", F.inline("best"))
+    return skewed_join(rows.select("uid", *key), best, key).select("uid", F.inline("best"))
 
 
 def similar_list(events: DataFrame, limit: int = 4, of: int = 8) -> DataFrame:
