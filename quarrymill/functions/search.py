@@ -34,29 +34,109 @@ SYNONYMS = {
 }
 FREE, ENGLISH, IN_PERSON = r"\bfree\b|免費", r"\benglish(-| )?(friendly|speaking)?\b|英文|英語", r"\bin[- ]person\b|\boffline\b|實體"
 NEW_TAIPEI, TAIPEI = r"\bnew taipei( city)?\b|新北市?", r"\btaipei( city)?\b|臺北市|台北市|台北|臺北"
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+TAX_WORDS = [
+    "tax", "taxes", "183", "resident", "residency", "refund", "withholding", "withheld", "gold card", "rsu", "esop", "stock", "deduction", "deductions",
+    "exemption", "bracket", "brackets", "filing", "file", "return", "amt", "overseas income", "salary", "income", "nhi", "departure", "leaving", "稅", "報稅",
+    "退稅", "扣繳", "居留", "金卡", "所得", "申報", "免稅", "扣除",
+]
+#: Words that name a topic or sub-topic, in the order in which they are tried.
+TOPIC_WORDS = [
+    (["hiking", "hike", "trail", "登山", "健行", "爬山"], "outdoors", "hiking"), (["climbing", "bouldering", "攀岩", "抱石"], "outdoors", "climbing"),
+    (["diving", "kayak", "潛水", "溯溪", "獨木舟"], "outdoors", "water"), (["outdoor", "outdoors", "戶外"], "outdoors", None),
+    (["running", "yoga", "fitness", "sport", "sports", "運動", "路跑", "瑜伽"], "outdoors", "fitness"),
+    (["language exchange", "language", "exchange", "語言交換", "語言交流"], "social", "exchange"),
+    (["networking", "social", "meetup", "meet people", "friends", "交朋友", "社交"], "social", None), (["jazz", "爵士"], "music", "jazz"),
+    (["concert", "classical", "音樂會"], "music", "classical"), (["music", "live", "gig", "band", "音樂", "演唱"], "music", None),
+    (["exhibition", "exhibitions", "museum", "gallery", "art", "展覽", "美術館"], "arts", "exhibitions"), (["festival", "festivals", "節慶"], "arts", "festivals"),
+    (["market", "markets", "flea", "市集"], "markets", "markets"), (["coffee", "tea", "咖啡", "手沖"], "markets", "coffee"),
+    (["food", "dinner", "wine", "tasting", "brunch", "美食", "品酒"], "markets", "food"), (["workshop", "workshops", "工作坊"], "talks", "workshops"),
+    (["talk", "talks", "lecture", "seminar", "講座"], "talks", "talks"),
+]
+#: Between a letter, digit or line of ASCII and anything else: phrases mix scripts without spaces.
+EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+PUNCTUATION = "[?!.,，。？！]"
+
+
+def edged(pattern: str) -> str:
+    return pattern.replace(r"\b", EDGE)
+
+
+def word(w: str) -> str:
+    """The pattern that finds a word: as a whole word if it is of ASCII, else anywhere."""
+    return f"{EDGE}{w}{EDGE}" if w.isascii() else w
+
+
+def month_pattern() -> str:
+    """A month's name; that of May, which is a verb as well, only after "in" or beside a day."""
+    names = "|".join(m for m in MONTHS if m != "may")
+    return edged(rf"\b(in )?({names})\b|\bin may\b|\bmay \d{{1,2}}\b|\b\d{{1,2}} may\b")
+
+
+def taken(q: Column, pattern: str) -> Column:
+    """The first match of the pattern in ``q``, else the empty string."""
+    return F.regexp_extract(q, f"({pattern})", 1)
 
 
 def once(q: Column, pattern: str) -> Column:
     """``q`` with the first match of the pattern blanked."""
     at = F.regexp_instr(q, F.lit(pattern))
-    hit = F.regexp_extract(q, f"({pattern})", 1)
+    hit = taken(q, pattern)
     return F.when(at > 0, F.concat(F.substring(q, F.lit(1), at - 1), F.lit(" "), F.substring(q, at + F.length(hit), F.lit(1 << 20)))).otherwise(q)
 
 
-def parse_queries(queries: DataFrame, raw: str = "raw") -> DataFrame:
-    """``queries`` with when_key, free, english, in_person, city and tokens: the conditions that each phrase holds, each taken
-    out of it, and the words that are left."""
-    q = F.concat(F.lit(" "), F.lower(F.trim(raw)), F.lit(" "))
-    rows = queries.withColumn("_q", q)
-    key = first_of([(F.col("_q").rlike(p), F.lit(k)) for p, k in WHEN])
-    rows = rows.withColumn("when_key", key)
-    rows = rows.withColumn("_q", first_of([(F.col("when_key") == k, once(F.col("_q"), p)) for p, k in WHEN], F.col("_q")))
-    for name, pattern in (("free", FREE), ("english", ENGLISH), ("in_person", IN_PERSON)):
-        rows = rows.withColumn(name, F.col("_q").rlike(pattern)).withColumn("_q", once(F.col("_q"), pattern))
-    rows = rows.withColumn("city", F.when(F.col("_q").rlike(NEW_TAIPEI), F.lit("新北市")))
-    rows = rows.withColumn("_q", F.when(F.col("city").isNotNull(), once(F.col("_q"), NEW_TAIPEI)).otherwise(F.regexp_replace("_q", TAIPEI, " ")))
-    words = F.split(F.trim(F.regexp_replace(F.regexp_replace("_q", "[?!.,，。？！]", " "), r"\s+", " ")), " ")
-    return rows.withColumn("tokens", F.filter(words, lambda w: (w != "") & ~w.isin(STOP))).drop("_q")
+def kept_words(q: Column) -> Column:
+    words = F.split(F.trim(F.regexp_replace(F.regexp_replace(q, PUNCTUATION, " "), r"\s+", " ")), " ")
+    return F.filter(words, lambda w: (w != "") & ~w.isin(STOP))
+
+
+def parse_queries(queries: DataFrame, raw: str = "raw", topics: bool = True) -> DataFrame:
+    """``queries`` with what each phrase asks for: when_key (a window's name or month:<name>), free, english, in_person, city, tax, topic, sub,
+    tokens (the words that are left), guide_tokens (all words that mean something) and chips (key and the letters taken).
+
+    A phrase is scanned for one kind of condition after the other, and what is found is taken out of it. A phrase about taxes has
+    no topic; without ``topics`` none has, and topic words stay tokens.
+    """
+    rows = queries.withColumn("_q", F.concat(F.lit(" "), F.lower(F.trim(F.coalesce(raw, F.lit("")))), F.lit(" ")))
+    chips: list[tuple[str, str]] = []
+
+    def take(rows: DataFrame, key: str, pattern: Column | str) -> DataFrame:
+        chips.append((key, f"_raw_{key}"))
+        cases = pattern if isinstance(pattern, list) else [(F.col("_q").rlike(pattern), pattern)]
+        found = first_of([(when, taken(F.col("_q"), p)) for when, p in cases])
+        rows = rows.withColumn(f"_raw_{key}", found)
+        return rows.withColumn("_q", first_of([(when, once(F.col("_q"), p)) for when, p in cases], F.col("_q")))
+
+    month = month_pattern()
+    keys = [(F.col("_q").rlike(edged(p)), F.lit(k)) for p, k in WHEN]
+    names = first_of([(taken(F.col("_q"), month).contains(m), F.lit(f"month:{m}")) for m in MONTHS])
+    rows = rows.withColumn("when_key", first_of([*keys, (F.col("_q").rlike(month), names)]))
+    rows = take(rows, "when", [*[(F.col("when_key") == k, edged(p)) for p, k in WHEN], (F.col("when_key").startswith("month:"), month)])
+    for name, key, pattern in (("free", "free", FREE), ("english", "english", ENGLISH), ("in_person", "inPerson", IN_PERSON)):
+        rows = take(rows.withColumn(name, F.col("_q").rlike(edged(pattern))), key, edged(pattern))
+    rows = rows.withColumn("city", F.when(F.col("_q").rlike(edged(NEW_TAIPEI)), F.lit("新北市")))
+    rows = take(rows, "city", edged(NEW_TAIPEI))
+    rows = rows.withColumn("_q", F.when(F.col("city").isNull(), F.regexp_replace("_q", edged(TAIPEI), " ")).otherwise(F.col("_q")))
+    rows = rows.withColumn("tax", F.col("_q").rlike("|".join(word(w) for w in TAX_WORDS)))
+    hit = first_of([(F.col("_q").rlike(word(w)), F.struct(F.lit(t).alias("topic"), F.lit(s).cast("string").alias("sub"), F.lit(w).alias("word"))) for ws, t, s in TOPIC_WORDS for w in ws])
+    rows = rows.withColumn("_topic", F.when(~F.col("tax") & F.lit(topics), hit))
+    at = F.expr("locate(_topic.word, _q)")
+    left = F.concat(F.substring(F.col("_q"), F.lit(1), at - 1), F.lit(" "), F.substring(F.col("_q"), at + F.length("_topic.word"), F.lit(1 << 20)))
+    rows = rows.withColumn("_q", F.when(F.col("_topic").isNotNull(), left).otherwise(F.col("_q")))
+    made = [F.when(F.col(c).isNotNull(), F.struct(F.lit(k).alias("key"), F.trim(c).alias("raw"))) for k, c in chips]
+    made.append(F.when(F.col("_topic").isNotNull(), F.struct(F.lit("topic").alias("key"), F.col("_topic.word").alias("raw"))))
+    rows = rows.withColumn("chips", F.array_compact(F.array(*made))).withColumn("topic", F.col("_topic.topic")).withColumn("sub", F.col("_topic.sub"))
+    rows = rows.withColumn("tokens", kept_words(F.col("_q"))).withColumn("guide_tokens", kept_words(F.lower(F.coalesce(raw, F.lit("")))))
+    return rows.drop("_q", "_topic", *[c for _, c in chips])
+
+
+def without_chip(raw: Column, chips: Column, key: str) -> Column:
+    """The phrase without the letters that a condition was found in; as it is, if there is none of that key."""
+    phrase = F.trim(raw)
+    chip = F.get(F.filter(chips, lambda c: (c["key"] == key) & (c["raw"] != "")), F.lit(0))["raw"]
+    at = F.position(F.lower(chip), F.lower(phrase))
+    rest = F.concat(F.substring(phrase, F.lit(1), at - 1), F.lit(" "), F.substring(phrase, at + F.length(chip), F.lit(1 << 20)))
+    return F.when(chip.isNull(), phrase).otherwise(F.trim(F.regexp_replace(F.when(at > 0, rest).otherwise(phrase), r"\s+", " ")))
 
 
 def expand(tokens: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import documents as D
+from ..operators import guides as G
 from .adapters import pick, read
 from .registry import Registry
 
@@ -224,16 +225,15 @@ def fact_table(spark, sf):
     return read(spark, sf, "nation").filter("n_nationkey < 4").selectExpr("concat('f', cast(n_nationkey as string)) AS id", "n_name AS display")
 
 
-def plain(rows, facts, text: str = "body"):
-    """``rows`` with inline references resolved and marks dropped: facts to their display, guides to their label. The fact
-    table's ids are joined as a map of one row, which has as many entries as there are facts."""
-    names = facts.agg(F.map_from_entries(F.collect_list(F.struct("id", "display"))).alias("_names"))
-    parts = F.split(F.col(text), r"(?=\{\{fact:)")
-    swap = lambda p: F.when(p.startswith("{{fact:"), F.concat(F.coalesce(F.get(F.transform(F.array(F.regexp_extract(p, r"^\{\{fact:([a-z0-9_]+)\}\}", 1)), lambda k: F.element_at("_names", k)), F.lit(0)), F.lit("—")), F.regexp_replace(p, r"^\{\{fact:[a-z0-9_]+\}\}", ""))).otherwise(p)
+def plain(rows, facts):
+    """``rows`` (slug, section, body) with ``plain``, the body without its marks, one kind of them after the other. The facts that a
+    section refers to come to it by a join."""
+    parts = F.split(F.col("body"), r"(?=\{\{fact:)")
+    swap = lambda p: F.when(p.startswith("{{fact:"), F.concat(F.coalesce(F.get(F.transform(F.array(F.regexp_extract(p, r"^\{\{fact:([a-z0-9_]+)\}\}", 1)), lambda k: F.try_element_at("names", k)), F.lit(0)), F.lit("—")), F.regexp_replace(p, r"^\{\{fact:[a-z0-9_]+\}\}", ""))).otherwise(p)
     out = F.array_join(F.transform(parts, swap), "")
     for pattern, to in ((r"\[\[guide:[a-z0-9-]+\|([^\]]*)\]\]", "$1"), (r"\[\[guide:([a-z0-9-]+)\]\]", "$1"), (r"\*\*([^*]+)\*\*", "$1"), (r"\[([^\]]+)\]\([^)\s]+\)", "$1"), (r"`([^`]+)`", "$1"), (r"(?U)\s+", " ")):
         out = F.regexp_replace(out, pattern, to)
-    return rows.join(F.broadcast(names)).withColumn("plain", F.trim(out)).drop("_names")
+    return G.with_names(rows, facts, ["slug", "section"], F.array("body")).withColumn("plain", F.trim(out)).drop("names")
 
 
 PLAIN_SQL = f"""g AS (SELECT 'g' || (doc_id % 7) AS slug, doc_id AS section, {GUIDE.replace('cast(doc_id % 5 as string)', '(doc_id % 5)::VARCHAR').replace('cast(doc_id % 4 as string)', '(doc_id % 4)::VARCHAR')} AS body, 'f' || (doc_id % 5) AS fact, text FROM documents),

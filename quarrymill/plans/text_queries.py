@@ -218,7 +218,7 @@ def phrases(spark, sf):
 
 @R.add("f9_parse_phrases", f"WITH {PARSED_CTE} SELECT c_custkey AS k, when_key, free, english, in_person, pq.city, tokens FROM customer JOIN pq ON q = c_custkey % {len(PHRASES)}")
 def f9(spark, sf):
-    return S.parse_queries(phrases(spark, sf)).select("k", "when_key", "free", "english", "in_person", "city", F.array_join("tokens", " ").alias("tokens"))
+    return S.parse_queries(phrases(spark, sf), topics=False).select("k", "when_key", "free", "english", "in_person", "city", F.array_join("tokens", " ").alias("tokens"))
 
 
 @R.add("f10_token_search", f"""WITH {REFRESHED_CTE}, {PARSED_CTE}, {_WIN}, m AS (SELECT q, uid, CASE WHEN tokens = '' THEN 1 WHEN len(list_filter(string_split(tokens, ' '), lambda t: contains(lower(title || ' ' || coalesce(title_en, '')), t))) > 0 THEN 2 ELSE 1 END AS hit, status, starts_at
@@ -226,7 +226,7 @@ def f9(spark, sf):
   AND (NOT in_person OR NOT list_contains(tags, 'online')) AND (pq.city IS NULL OR pq.city = fresh.city) AND (tokens = '' OR len(list_filter(string_split(tokens, ' '), lambda t: NOT contains(lower(concat_ws(' ', title, nullif(title_en, ''), description, venue, address, organizer, array_to_string(tags, ' '))), t))) = 0)),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY hit DESC, {ORDER}) AS place FROM m) SELECT q::INT AS q, uid, hit::INT AS hit, place::INT AS place FROM r WHERE place <= 20""")
 def f10(spark, sf):
-    asked = S.parse_queries(spark.createDataFrame(list(enumerate(PHRASES)), "q int, raw string"))
+    asked = S.parse_queries(spark.createDataFrame(list(enumerate(PHRASES)), "q int, raw string"), topics=False)
     frames = W.windows(spark, NOW).select(F.col("name").alias("when_key"), N.instant(F.col("start")).alias("lo"), N.instant(F.col("end")).alias("hi"))
     asked = asked.join(frames, "when_key", "left").withColumnRenamed("city", "in_city").withColumnRenamed("free", "only_free")
     rows = fresh(spark, sf).filter(L.matches(NOW)).withColumn("s", N.instant(F.col("starts_at")))
