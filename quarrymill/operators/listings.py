@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..functions import rules
+from .joins import skewed_join, written
 
 LATE = "9999"
 
@@ -221,34 +222,42 @@ def drop_reason(gone: DataFrame, events: DataFrame) -> DataFrame:
     return marked.withColumn("drop_reason", reason).drop("_gone")
 
 
-LOCATION = ["venue", "address", "city", "district"]
+LOCATION = ["venue", "address", "city", "district", "lat", "lon"]
 FILLED = ["title_en", "description", "organizer", "price_text", "is_free", "ends_at", "signup_deadline"]
 COMPLETE = ["address", "venue", "district", "price_text", "description", "signup_deadline", "organizer"]
 
 
-def completeness() -> Column:
+def completeness(columns: list[str]) -> Column:
+    """How many of the fields that matter are filled in, a latitude if there is such a column."""
     full = [F.when(F.coalesce(F.col(c) != "", F.lit(False)), 1).otherwise(0) for c in COMPLETE]
-    return sum(full, F.lit(0)) + F.when(F.col("is_free").isNotNull(), 1).otherwise(0)
+    lat = [F.when(F.coalesce(F.col("lat") != 0, F.lit(False)), 1).otherwise(0)] if "lat" in columns else []
+    return sum(full + lat, F.lit(0)) + F.when(F.col("is_free").isNotNull(), 1).otherwise(0)
+
+
+def _rank(columns: list[str]) -> Column:
+    return F.struct((-completeness(columns)).alias("c"), F.coalesce("first_seen", F.lit(LATE)).alias("f"), F.col("uid").alias("u"))
 
 
 def merge_duplicates(events: DataFrame) -> DataFrame:
-    """``events`` (with is_new) and ``rep_uid``, ``venue_conflict``: each row's representative (itself if it stands alone).
+    """``events`` (with is_new), ``rep_uid`` and ``venue_conflict``: each row's representative (itself if it stands alone).
 
     Rows with one title and start minute are grouped greedily: the most complete row first, each row to the first group in
-    which no place conflicts with its own, or the organiser is the same. Only the distinct (city, district, organiser) of
-    buckets with two rows or more go to the helper that groups them, in order of their most complete row; equal ones always
-    share a group, so a common title with thousands of rows is a few distinct places.
+    which no place conflicts with its own, or the organiser is the same. Buckets with one city and one district at the most
+    are one group each, which takes sums alone. Of the others only the distinct (city, district, organiser) go to the helper
+    that groups them, in order of their most complete row; equal ones always share a group, so a common title with thousands of
+    rows is a few distinct places.
     """
     import pandas as pd
 
-    rows = events.withColumn("_t", N.title_key(F.col("title"))).withColumn("_m", F.substring("starts_at", 1, 16)).withColumn("_c", completeness())
-    rank = F.struct((-F.col("_c")).alias("c"), F.coalesce("first_seen", F.lit(LATE)).alias("f"), F.col("uid").alias("u"))
+    rows = events.withColumn("_t", N.title_key(F.col("title"))).withColumn("_m", F.substring("starts_at", 1, 16))
     place = [F.coalesce(F.col(c), F.lit("")).alias(f"_{c}") for c in ("city", "district", "organizer")]
-    rows = rows.select("*", rank.alias("_rank"), *place)
-    keyed = rows.filter("_t <> '' and coalesce(starts_at, '') <> ''")
-    places = keyed.groupBy("_t", "_m", "_city", "_district", "_organizer").agg(F.min("_rank").alias("_rank"), F.count("*").alias("n"))
-    several = places.groupBy("_t", "_m").agg(F.sum("n").alias("all")).filter("all > 1").select("_t", "_m")
-    places = places.join(several, ["_t", "_m"], "left_semi").select("_t", "_m", "_city", "_district", "_organizer", F.col("_rank.c").alias("c"), F.col("_rank.f").alias("f"), F.col("_rank.u").alias("u"))
+    keyed = rows.filter("_t <> '' and coalesce(starts_at, '') <> ''").select("uid", "_t", "_m", _rank(events.columns).alias("_rank"), *place)
+    bucket, key = ["_t", "_m"], ["_t", "_m", "_city", "_district", "_organizer"]
+    places = written(keyed.groupBy(*key).agg(F.min("_rank").alias("_rank"), F.count("*").alias("n")), "places")
+    ends = lambda c: (F.min(F.nullif(c, F.lit(""))) < F.max(F.nullif(c, F.lit(""))))
+    sums = places.groupBy(*bucket).agg(F.sum("n").alias("n"), F.min("_rank")["u"].alias("rep_uid"), F.coalesce(ends("_city") | ends("_district"), ends("_city"), ends("_district"), F.lit(False)).alias("unlike")).filter("n > 1")
+    easy = sums.filter("not unlike").select(*bucket, "rep_uid", F.lit(False).alias("venue_conflict"))
+    hard = places.join(sums.filter("unlike").select(*bucket), bucket, "left_semi")
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["c", "f", "u"], kind="stable")
@@ -261,33 +270,63 @@ def merge_duplicates(events: DataFrame) -> DataFrame:
                 groups.append([])
             groups[g].append(p)
             ids.append(g)
-        return pdf[["_t", "_m", "_city", "_district", "_organizer"]].assign(_g=ids)
+        return pdf[key].assign(_g=ids)
 
-    grouped = places.groupBy("_t", "_m").applyInPandas(group, "_t string, _m string, _city string, _district string, _organizer string, _g int")
-    members = keyed.join(grouped, ["_t", "_m", "_city", "_district", "_organizer"])
-    conflict = (F.size(F.collect_set(F.nullif("_city", F.lit("")))) > 1) | (F.size(F.collect_set(F.nullif("_district", F.lit("")))) > 1)
-    reps = members.groupBy("_t", "_m", "_g").agg(F.min("_rank")["u"].alias("rep_uid"), conflict.alias("venue_conflict"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    alias = members.join(reps, ["_t", "_m", "_g"]).select("uid", "rep_uid", "venue_conflict")
+    helped = hard.select(*key, F.col("_rank.c").alias("c"), F.col("_rank.f").alias("f"), F.col("_rank.u").alias("u"))
+    grouped = written(helped.groupBy(*bucket).applyInPandas(group, "_t string, _m string, _city string, _district string, _organizer string, _g int").join(hard, key), "groups")
+    reps = grouped.groupBy(*bucket, "_g").agg(F.min("_rank")["u"].alias("rep_uid"), F.coalesce(ends("_city") | ends("_district"), ends("_city"), ends("_district"), F.lit(False)).alias("venue_conflict"), F.sum("n").alias("n")).filter("n > 1")
+    reps = grouped.select(*key, "_g").join(reps, [*bucket, "_g"]).select(*key, "rep_uid", "venue_conflict")
+    alias = skewed_join(keyed, easy, bucket).select("uid", "rep_uid", "venue_conflict").unionByName(skewed_join(keyed, reps, key).select("uid", "rep_uid", "venue_conflict"))
     return events.join(alias, "uid", "left").withColumn("rep_uid", F.coalesce("rep_uid", "uid")).withColumn("venue_conflict", F.coalesce("venue_conflict", F.lit(False)))
 
 
 def fold_duplicates(grouped: DataFrame) -> DataFrame:
-    """The representatives of ``merge_duplicates`` with empty fields filled from the others in order of completeness; places
-    in conflict are emptied, unless all share the city. also_listed has the uids of the others, in that order."""
-    rows = grouped.withColumn("_r", F.struct((-completeness()).alias("c"), F.coalesce("first_seen", F.lit(LATE)).alias("f"), F.col("uid").alias("u")))
-    first = lambda c: F.get(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("_r", F.col(c).alias("v"))))), lambda x: x["v"]), F.lit(0))
-    filled = [first(c).alias(c) for c in (*FILLED, *LOCATION)]
+    """The representatives of ``merge_duplicates``, what they lack filled in from the others in order of completeness.
+
+    Where places are in conflict they are emptied, but for a city that all share, and ``conflict_venues`` has the different venues (or
+    addresses) in that order. A listing is new if all are, and was first seen when the first was. also_listed has the uids of the
+    others, listed_at these with platform and address. Listings that stand alone are passed on as they are. The columns of ``grouped``
+    without rep_uid are kept, lat and lon where there are any.
+    """
+    cols = [c for c in grouped.columns if c != "rep_uid"]
+    others = written(grouped.filter("uid <> rep_uid").select("rep_uid").distinct(), "folded")
+    mine = F.col("rep_uid")
+    rows = grouped.join(others, "rep_uid", "left_semi").withColumn("_r", _rank(cols))
+    first = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_r"))).alias(c)
+    filled = [c for c in (*FILLED, *LOCATION) if c in cols]
+    at = [c for c in ("source_platform", "source_url") if c in cols]
     many = rows.groupBy("rep_uid").agg(
-        *filled, F.max("venue_conflict").alias("venue_conflict"), F.bool_and("is_new").alias("is_new"), F.min("first_seen").alias("first_seen"),
-        (F.size(F.collect_set(F.coalesce("city", F.lit("")))) == 1).alias("_one_city"),
-        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_r", "tags"))), lambda x: x["tags"]))).alias("tags"),
-        F.slice(F.transform(F.array_sort(F.collect_list("_r")), lambda x: x["u"]), 2, 1 << 30).alias("also_listed"),
+        *[first(c) for c in filled], F.max("venue_conflict").alias("venue_conflict"), F.bool_and("is_new").alias("is_new"), F.coalesce(F.min(F.nullif("first_seen", F.lit(""))), F.min_by("first_seen", "_r")).alias("first_seen"),
+        (F.min(F.coalesce("city", F.lit(""))) == F.max(F.coalesce("city", F.lit("")))).alias("_one_city"),
+        F.array_sort(F.collect_list(F.struct("_r", "tags", F.coalesce(F.nullif("venue", F.lit("")), F.nullif("address", F.lit(""))).alias("where"), *at))).alias("_all"),
     )
-    for c in LOCATION:
-        keep = ~F.col("venue_conflict") | (F.col("_one_city") if c == "city" else F.lit(False))
-        many = many.withColumn(c, F.when(keep, F.col(c)))
-    rest = grouped.filter("uid = rep_uid").select(*[c for c in grouped.columns if c not in many.columns])
-    return rest.withColumn("rep_uid", F.col("uid")).join(many.drop("_one_city"), "rep_uid").drop("rep_uid")
+    of = lambda c: F.transform("_all", lambda x: x[c])
+    seen = F.slice("_all", F.lit(2), F.size("_all"))
+    many = many.withColumn("tags", F.array_distinct(F.flatten(of("tags")))).withColumn("conflict_venues", F.when(F.col("venue_conflict"), F.array_distinct(F.array_compact(of("where")))))
+    many = many.withColumn("also_listed", F.transform(seen, lambda x: x["_r"]["u"])).withColumn("listed_at", F.transform(seen, lambda x: F.struct(x["_r"]["u"].alias("uid"), *[x[c].alias(c) for c in at])))
+    for c in (c for c in LOCATION if c in cols):
+        many = many.withColumn(c, F.when(~F.col("venue_conflict") | (F.col("_one_city") if c == "city" else F.lit(False)), F.col(c)))
+    rest = rows.filter(F.col("uid") == mine).select("rep_uid", *[c for c in cols if c not in many.columns])
+    out = [*cols, "conflict_venues", "also_listed", "listed_at"]
+    folded = rest.join(many.drop("_one_city", "_all"), "rep_uid").select(*out)
+    none = F.array().cast(folded.schema["listed_at"].dataType)
+    alone = grouped.join(others.select(F.col("rep_uid").alias("uid")), "uid", "left_anti").filter(F.col("uid") == mine)
+    return alone.select(*cols, F.lit(None).cast("array<string>").alias("conflict_venues"), F.array().cast("array<string>").alias("also_listed"), none.alias("listed_at")).unionByName(folded)
+
+
+def curated(events: DataFrame, platforms: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(listings, aliases): what is shown of refreshed ``events``, and uid and rep_uid of what was merged into others.
+
+    Delisted, far and standing listings go (``drop_reason``), venues and tags are tidied, the latest run's listings are marked new, and
+    duplicates are folded. ``platforms`` list everything they have each time.
+    """
+    runs = written(runs_of(events), "runs")
+    shown = drop_reason(delisted(events, runs, platforms), events).filter("drop_reason is null").drop("drop_reason")
+    new = new_in_latest_run(events, runs).withColumn("is_new", F.lit(True))
+    shown = shown.join(new, "uid", "left").withColumn("is_new", F.coalesce("is_new", F.lit(False)))
+    shown = shown.withColumn("tags", N.site_tags(F.col("tags"), F.col("title"), F.col("title_en"))).withColumn("venue", N.clean_venue(F.col("venue")))
+    merged = written(merge_duplicates(shown), "merged")
+    return fold_duplicates(merged), merged.filter("uid <> rep_uid").select("uid", "rep_uid")
 
 
 def find(wanted: DataFrame, events: DataFrame, aliases: DataFrame) -> DataFrame:

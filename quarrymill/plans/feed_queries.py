@@ -183,9 +183,66 @@ def t2(spark, sf):
     return got.select("user_id", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "n")
 
 
+FETCHES = """SELECT doc_id, unnest(['2024-01-01', '2024-01-08', '2024-01-15']) AS at_, unnest([CASE WHEN doc_id % 5 = 0 THEN 'error' ELSE 'ok' END, CASE WHEN doc_id % 11 = 0 THEN 'blocked' ELSE 'ok' END, 'ok']) AS status,
+  unnest([CASE WHEN doc_id % 3 = 0 THEN 'old ' ELSE '' END || coalesce(text, ''), coalesce(text, ''), coalesce(text, '') || CASE WHEN doc_id % 4 = 0 THEN '.' ELSE '' END]) AS body, unnest(['first', 'second', 'third']) AS title FROM documents"""
+VERSIONS = f"""f AS (SELECT *, substr(sha1(body), 1, 16) AS h FROM ({FETCHES})), g AS (SELECT *, lag(h) OVER (PARTITION BY doc_id ORDER BY at_) AS was FROM f WHERE status = 'ok' AND body <> ''),
+v AS (SELECT doc_id::VARCHAR AS id, at_ AS valid_from, CASE WHEN was IS NULL THEN 'new' ELSE 'changed' END AS outcome, h AS content_hash, title AS page_title, lead(at_) OVER (PARTITION BY doc_id ORDER BY at_) AS valid_to FROM g WHERE was IS NULL OR was <> h)"""
+
+
+def fetches(spark, sf):
+    """Three fetches of every document: some fail, some bring another text."""
+    d, k, text = read(spark, sf, "documents"), F.col("doc_id"), F.coalesce("text", F.lit(""))
+    one = lambda at, ok, body, title: F.struct(F.lit(at).alias("at"), ok.alias("status"), F.when(ok == "ok", 200).when(ok == "blocked", 403).otherwise(500).alias("http_status"), F.when(ok == "ok", body).alias("text"), F.lit(title).alias("page_title"), F.lit(None).cast("string").alias("page_updated"), F.when(ok != "ok", F.concat(F.lit("HTTP "), ok)).alias("error"))
+    three = F.array(
+        one("2024-01-01", F.when(k % 5 == 0, "error").otherwise("ok"), F.when(k % 3 == 0, F.concat(F.lit("old "), text)).otherwise(text), "first"), one("2024-01-08", F.when(k % 11 == 0, "blocked").otherwise("ok"), text, "second"),
+        one("2024-01-15", F.lit("ok"), F.when(k % 4 == 0, F.concat(text, F.lit("."))).otherwise(text), "third"),
+    )
+    path = tables.scratch(spark, "fetches")
+    d.select(k.cast("string").alias("id"), F.inline(three)).write.parquet(path)
+    return jobs.snapshot_stream(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path))
+
+
+@R.add("t3_snapshot_versions", f"WITH {VERSIONS} SELECT * FROM v")
+def t3_versions(spark, sf):
+    return fetches(spark, sf)[1].select("id", "valid_from", "outcome", "content_hash", "page_title", "valid_to")
+
+
+@R.add("t3_snapshot_index", f"""WITH {VERSIONS} SELECT doc_id::VARCHAR AS id, (SELECT min(valid_from) FROM v WHERE v.id = f.doc_id::VARCHAR) AS first_seen, max_by(h, at_) FILTER (status = 'ok' AND body <> '') AS content_hash, max_by(title, at_) FILTER (status = 'ok' AND body <> '') AS page_title,
+  (SELECT max(valid_from) FROM v WHERE v.id = f.doc_id::VARCHAR) AS changed_at, max(at_) FILTER (status = 'ok' AND body <> '') AS last_ok, '2024-01-15' AS last_checked, 'ok' AS status, 200 AS http_status FROM f GROUP BY doc_id""")
+def t3_index(spark, sf):
+    return fetches(spark, sf)[0].select("id", "first_seen", "content_hash", "page_title", "changed_at", "last_ok", "last_checked", "status", "http_status")
+
+
 @R.add("p28_article_payloads", "SELECT doc_id, 'thin' AS status FROM documents WHERE length(text) < 0 UNION ALL SELECT doc_id, 'en title' FROM documents WHERE text <> ''")
 def p28(spark, sf):
     d = read(spark, sf, "documents").filter("text <> ''")
     payload = F.to_json(F.struct(F.struct(F.lit("en title").alias("en")).alias("title"), F.struct(F.concat(F.lit("<p>"), "text", F.lit("</p>")).alias("en")).alias("contents"), F.lit("2024-02-03T00:00:00").alias("updated_time")))
     got = feeds.article_texts(d.select("doc_id", payload.alias("payload")))
     return got.select("doc_id", F.col("page_title").alias("status"))
+
+
+@R.add("p28_article_texts", r"""WITH d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[<>&]', ' ', 'g'), '[^A-Za-z]+', ' ', 'g')) AS t FROM documents),
+e AS (SELECT doc_id, CASE WHEN doc_id % 4 < 2 AND t <> '' THEN '## English：T' || doc_id || chr(10) || chr(10) || t END AS en, CASE WHEN doc_id % 4 IN (1, 2) AND t <> '' THEN '## 中文：題' || chr(10) || chr(10) || t END AS zh FROM d)
+SELECT doc_id, md5(concat_ws(chr(10) || chr(10), en, zh)) AS text_md5, CASE WHEN doc_id % 4 < 2 THEN 'T' || doc_id ELSE '題' END AS page_title, CASE WHEN doc_id % 3 > 0 THEN '2024-0' || (doc_id % 9 + 1) || '-03' END AS page_updated, CASE WHEN length(concat_ws(chr(10) || chr(10), en, zh)) < 200 THEN 'thin' ELSE 'ok' END AS status FROM e""")
+def p28_texts(spark, sf):
+    """Bilingual articles of the letters of every document: in English, Chinese, both or neither, with and without a date."""
+    k = F.col("doc_id")
+    body = F.concat(F.lit("<p>"), F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[<>&]", " "), "[^A-Za-z]+", " ")), F.lit("</p>"))
+    title = F.struct(F.when(k % 4 < 2, F.concat(F.lit("T"), k.cast("string"))).otherwise("").alias("en"), F.lit("題").alias("zh"))
+    contents = F.struct(F.when(k % 4 < 2, body).otherwise("").alias("en"), F.when((k % 4).isin(1, 2), body).otherwise("").alias("zh"))
+    payload = F.to_json(F.struct(title.alias("title"), contents.alias("contents"), F.when(k % 3 > 0, F.concat(F.lit("2024-0"), (k % 9 + 1).cast("string"), F.lit("-03T00:00:00"))).otherwise("").alias("updated_time")))
+    return feeds.article_texts(read(spark, sf, "documents").select("doc_id", payload.alias("payload"))).select("doc_id", F.md5("text").alias("text_md5"), "page_title", "page_updated", "status")
+
+
+@R.add("p28_faq_texts", r"""WITH d AS (SELECT doc_id, source, trim(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g')) AS t FROM documents), g AS (SELECT doc_id // 5 AS id, string_agg('## Q: q' || doc_id || chr(10) || chr(10) || t || chr(10) || chr(10) || '### 問：問' || chr(10) || chr(10) || '答', chr(10) || chr(10) ORDER BY doc_id DESC) AS text FROM d GROUP BY 1)
+SELECT id, CASE WHEN id % 3 = 2 THEN md5('') ELSE md5(text) END AS text_md5, CASE WHEN id % 3 = 2 THEN 'error' WHEN length(text) < 200 THEN 'thin' ELSE 'ok' END AS status FROM g""")
+def p28_faq(spark, sf):
+    """Categories of five questions each, in descending order, under another category first; a third have no category that fits."""
+    d = read(spark, sf, "documents").withColumn("t", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " ")))
+    both = lambda en, zh: F.struct(en.alias("en"), F.lit(zh).alias("zh"))
+    item = F.struct(F.col("doc_id").alias("id"), (-F.col("doc_id")).alias("sequence_no"), both(F.concat(F.lit("q"), F.col("doc_id").cast("string")), "問").alias("title"), both(F.concat(F.lit("<p>"), "t", F.lit("</p>")), "答").alias("contents"))
+    g = d.groupBy(F.expr("doc_id div 5").alias("id")).agg(F.collect_list(item).alias("items"))  # five at most
+    name = F.when(F.col("id") % 3 == 0, F.lit("All about TAX here")).when(F.col("id") % 3 == 1, F.lit("Money")).otherwise("Visa")
+    cat = lambda title, slug, items: F.struct(F.lit(1).alias("id"), both(title, "類").alias("title"), slug.alias("slug"), items.alias("contents"))
+    cats = F.array(cat(F.lit("Other"), F.lit("other"), F.slice("items", 1, 1)), cat(name, F.when(F.col("id") % 3 == 1, "tax").otherwise("x"), F.col("items")))
+    return feeds.faq_texts(g.select("id", F.to_json(cats).alias("data")), "Tax").select("id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "status")

@@ -297,13 +297,7 @@ def j2(spark, sf):
 
 @R.add("c2_curated_export")
 def c2(spark, sf):
-    rows = fresh(spark, sf)
-    runs = L.runs_of(rows)
-    shown = L.drop_reason(L.delisted(rows, runs, ["anncr"]), rows).filter("drop_reason is null").drop("drop_reason")
-    new = L.new_in_latest_run(rows, runs).withColumn("is_new", F.lit(True))
-    shown = shown.join(new, "uid", "left").withColumn("is_new", F.coalesce("is_new", F.lit(False)))
-    shown = shown.withColumn("tags", N.site_tags(F.col("tags"), F.col("title"), F.col("title_en"))).withColumn("venue", N.clean_venue(F.col("venue")))
-    folded = L.fold_duplicates(L.merge_duplicates(shown))
+    folded, _ = L.curated(fresh(spark, sf), ["anncr"])
     return folded.orderBy(F.coalesce("starts_at", F.lit(L.LATE)), "uid").select("uid", "status", "starts_at", "venue", "city", "is_new", "venue_conflict", F.size("also_listed").alias("n_also"))
 
 

@@ -35,6 +35,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def read_listings(spark: SparkSession, path: str) -> DataFrame:
     """The table of JSON lines: unknown fields dropped, unreadable lines skipped, the last row of each uid kept."""
     schema = T.StructType([*LISTING.fields, T.StructField("_bad", T.StringType())])
