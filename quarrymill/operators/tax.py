@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import first_of
+from .joins import skewed_join, written
 
 BRACKETS = "array<struct<up_to:double,rate:double,base:double>>"
 
@@ -148,6 +149,18 @@ def lines(est: DataFrame) -> DataFrame:
     return est.select("person", "year", F.posexplode(F.array_compact(F.array(*items))).alias("nth", "l")).select("person", "year", "nth", "l.*")
 
 
+def line_figures(items: DataFrame, resolved: DataFrame, facts: DataFrame) -> DataFrame:
+    """``items`` (of ``lines``) with the fact behind each: fact (its id), figure, status and source, null where an item has none.
+
+    An item names a parameter, which stands for the fact that ``resolved`` (year, key, fact) has for the year; a name that is no
+    parameter of the year is a fact's id itself. ``facts`` has id, display, status and sources (in order), of which the first is shown.
+    """
+    own = resolved.select("year", F.col("key").alias("_name"), F.col("fact").alias("_fact"))
+    rows = skewed_join(written(items, "items").withColumnRenamed("fact", "_name"), own, ["year", "_name"], "left").withColumn("_id", F.coalesce("_fact", "_name"))
+    known = facts.select(F.col("id").alias("_id"), F.col("id").alias("fact"), F.col("display").alias("figure"), "status", F.get("sources", F.lit(0)).alias("source"))
+    return skewed_join(rows, known, "_id", "left").drop("_name", "_fact", "_id")
+
+
 def outlook(rows: DataFrame, today: str) -> DataFrame:
     """``rows`` (year, days, residency_days, ahead) with kind and by: whether the days for residency can still be had."""
     t = F.to_date(F.lit(today))

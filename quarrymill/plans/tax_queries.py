@@ -113,8 +113,7 @@ def x4(spark, sf):
 @R.add("x6_c4_totals", f"WITH {EST_CTE} SELECT person, year, CASE WHEN resident THEN 'progressive' ELSE 'withholding' END AS regime, round(amt, 2) AS amt, round(total, 2) AS total, CASE WHEN resident THEN rate ELSE nr_rate END AS marginal_rate, round(CASE WHEN gross > 0 THEN total / gross ELSE 0 END, 9) AS effective_rate, resident OR (band = 'mid' AND foreign_pay > 0) AS must_file FROM m")
 def x6(spark, sf):
     rows = T.estimate(people(spark, sf), params(spark))
-    amt = F.when(F.col("resident"), F.col("amt")).otherwise(F.col("amt"))
-    return rows.select("person", "year", "regime", F.round(amt, 2).alias("amt"), F.round("total", 2).alias("total"), "marginal_rate", F.round("effective_rate", 9).alias("effective_rate"), "must_file")
+    return rows.select("person", "year", "regime", F.round("amt", 2).alias("amt"), F.round("total", 2).alias("total"), "marginal_rate", F.round("effective_rate", 9).alias("effective_rate"), "must_file")
 
 
 @R.add("x7_line_items", f"""WITH {EST_CTE}, li AS (SELECT person, 'salary' AS label, floor(salary + 0.5)::BIGINT AS amount, 'income' AS kind, NULL AS fact FROM m UNION ALL SELECT person, 'exemptions', floor(0 - ex + 0.5)::BIGINT, 'deduction', 'exemption' FROM m WHERE resident
@@ -126,6 +125,38 @@ def x7(spark, sf):
     return rows.filter(F.col("label").isin("salary", "exemptions", "income tax", "rent", "withheld", "minimum tax", "total")).select("person", "label", "amount", "kind", "fact")
 
 
+def _items_sql():
+    """Every line item in order, as DuckDB rows of (nth, label, amount, kind, fact)."""
+    items = [
+        ("true", "salary", "salary", "income", None), ("NOT resident", "withheld", "salary * nr_rate", "tax", "CASE WHEN nr_low THEN 'nr_salary_rate_low' ELSE 'nr_salary_rate' END"), ("foreign_pay > 0", "overseas employer", "foreign_pay", "income", None),
+        ("NOT resident AND foreign_pay > 0", "overseas employer's pay taxed", "nr_f", "tax", "CASE WHEN band = 'le90' THEN 'foreign_employer_90' ELSE 'foreign_employer_over_90_rate' END"), ("resident AND excluded > 0", "incentive", "0 - excluded", "deduction", "'special_talent_rule'"),
+        ("resident", "salary deduction", "0 - salary_ded", "deduction", "'salary_deduction'"), ("resident AND other_income > 0", "other income", "other_income", "income", None), ("resident", "exemptions", "0 - ex", "deduction", "'exemption'"),
+        ("resident", "general deduction", "0 - general", "deduction", "CASE WHEN itemized > standard THEN NULL WHEN married THEN 'standard_married' ELSE 'standard_single' END"), ("resident AND rent_ded > 0", "rent", "0 - rent_ded", "deduction", "'rent_cap'"),
+        ("resident AND bl_diff > 0", "basic living difference", "0 - bl_diff", "deduction", "'basic_living'"), ("resident", "net income", "net", "subtotal", None), ("resident", "income tax", "reg", "tax", "'brackets'"), ("resident AND oc > 0", "minimum tax", "amt", "tax", "'amt_rate'"), ("true", "total", "total", "total", None),
+    ]
+    quote = lambda x: x.replace("'", "''")
+    return " UNION ALL ".join(f"SELECT person, year, {i} AS i, '{quote(label)}' AS label, floor({x} + 0.5)::BIGINT AS amount, '{kind}' AS kind, {fact or 'NULL'} AS name FROM m WHERE {when}" for i, (when, label, x, kind, fact) in enumerate(items))
+
+
+#: Parameters that stand for facts of other names, by year; the last two names that items have are facts themselves.
+KEYS = ["exemption", "salary_deduction", "rent_cap", "brackets", "amt_rate", "nr_salary_rate", "standard_single", "basic_living"]
+
+
+@R.add("x7_line_figures", f"""WITH {EST_CTE}, li AS ({_items_sql()}), ky(n, name) AS (VALUES {', '.join(f"({i}, '{k}')" for i, k in enumerate(KEYS))}),
+lf AS (SELECT li.*, coalesce(CASE WHEN year = 2000 OR n % 2 = 0 THEN 'f' || n END, name) AS id FROM li LEFT JOIN ky USING (name))
+SELECT person, year, (row_number() OVER (PARTITION BY person ORDER BY lf.i) - 1)::INT AS nth, label, amount, kind, CASE WHEN n_name IS NOT NULL OR id = 'special_talent_rule' THEN id END AS fact, coalesce(n_name, CASE WHEN id = 'special_talent_rule' THEN 'half' END) AS figure,
+  CASE WHEN n_name IS NOT NULL THEN CASE WHEN n_nationkey % 3 = 0 THEN 'drifted' ELSE 'verified' END WHEN id = 'special_talent_rule' THEN 'unchecked' END AS status, CASE WHEN n_nationkey % 2 = 0 THEN 'https://s.example/' || n_nationkey END AS source FROM lf LEFT JOIN nation ON id = 'f' || n_nationkey AND n_nationkey < 7""")
+def x7_figures(spark, sf):
+    """Every line item with the fact behind it: a parameter of the year, or a fact named as such."""
+    nations = read(spark, sf, "nation")
+    known = nations.filter("n_nationkey < 7").selectExpr("concat('f', n_nationkey) AS id", "n_name AS display", "CASE WHEN n_nationkey % 3 = 0 THEN 'drifted' ELSE 'verified' END AS status", "CASE WHEN n_nationkey % 2 = 0 THEN array(concat('https://s.example/', n_nationkey), 'other') ELSE array() END AS sources")
+    known = known.unionByName(nations.filter("n_nationkey = 0").selectExpr("'special_talent_rule' AS id", "'half' AS display", "'unchecked' AS status", "cast(NULL as array<string>) AS sources"))
+    keys = F.posexplode(F.array(*[F.lit(k) for k in KEYS])).alias("i", "key")
+    of_year = spark.createDataFrame([(y,) for y in YEARS], "year int").select("year", keys).filter("year = 2000 or i % 2 = 0").selectExpr("year", "key", "concat('f', i) AS fact")
+    items = T.lines(T.estimate(people(spark, sf), params(spark)))
+    return T.line_figures(items, of_year, known).select("person", "year", "nth", "label", "amount", "kind", "fact", "figure", "status", "source")
+
+
 @R.add("x8_effects", f"""WITH {EST_CTE} SELECT person, 'rent' AS input, CASE WHEN NOT resident THEN 'residents only' WHEN lost = 'rate' THEN 'rate of 20% or more' ELSE 'basic income too high' END AS reason FROM m WHERE NOT resident OR lost IS NOT NULL
   UNION ALL SELECT person, 'overseas_income', CASE WHEN NOT resident THEN 'residents only' WHEN special_talent THEN 'left out in incentive years' WHEN oc <= 0 THEN 'under the threshold' ELSE 'less than the regular tax' END FROM m WHERE NOT resident OR (overseas > 0 AND (special_talent OR oc <= 0 OR amt <= 0))
   UNION ALL SELECT person, 'special_talent', CASE WHEN NOT resident THEN 'residents only' ELSE 'salary under the threshold' END FROM m WHERE NOT resident OR (special_talent AND gs <= {V['talent_threshold']})
