@@ -84,6 +84,14 @@ def hot_join(big: DataFrame, small: DataFrame, on: str, n: str, how: str = "inne
     return big.join(hot, on).unionByName(big.join(hot, on, "left_anti").join(small.filter(~is_hot), on, how), allowMissingColumns=True)
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with as many more underscores as it takes to be none of ``columns`` in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

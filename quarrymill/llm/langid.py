@@ -14,7 +14,7 @@ from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import free_name, small_batches
 
 #: Bytes of a window, size of a byte's vector, filter widths, filters of each width, windows in a matrix product.
 LENGTH, DEPTH, WIDTHS, FILTERS, BLOCK = 128, 6, (2, 3, 4), 16, 256
@@ -116,25 +116,28 @@ def cut(data: bytes) -> np.ndarray:
     return out.reshape(n, LENGTH)
 
 
-def _sample(batches):
-    for batch in batches:
-        out = []
-        for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-            data = text.encode()
-            windows = cut(data)
-            for k in range(0, len(windows), max(1, -(-len(windows) // SAMPLE_WINDOWS))):  # spread over the whole text
-                if bytes(windows[k]).strip(b"\0"):
-                    out.append((lang, bytes(windows[k])))
-        if out:
-            a, b = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.binary())], names=["lang", "window"])
-
-
-def fit(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> ByteCnn | None:
+def _sample(most: int):
+    def run(batches):
+        for batch in batches:
+            out = []
+            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+                data = text.encode()
+                windows = cut(data)
+                for k in range(0, len(windows), max(1, -(-len(windows) // most))):  # spread over the whole text
+                    if bytes(windows[k]).strip(b"\0"):
+                        out.append((lang, bytes(windows[k])))
+            if out:
+                a, b = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.binary())], names=["lang", "window"])
+
+    return run
+
+
+def fit(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_windows: int = SAMPLE_WINDOWS) -> ByteCnn | None:
     """A network from rows (doc_id, text, lang). Rows with a null text or lang are left out; without any row there is none.
 
-    At most about ``sample_texts`` texts of a language, the same ones each time, give at most SAMPLE_WINDOWS windows each;
-    only these reach the driver.
+    At most about ``sample_texts`` texts of a language, the same ones each time, give at most ``sample_windows`` windows each,
+    spread over the text; only these reach the driver.
     """
     small_batches(labelled.sparkSession)
     rows = labelled.filter("text is not null and lang is not null")
@@ -142,8 +145,9 @@ def fit(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> ByteCnn | None
     if not counts:
         return None
     rate = F.element_at(F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, sample_texts / n))]), F.col("lang"))
-    place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 20)) / F.lit(1 << 20)
-    got = rows.filter(place < rate).select("text", "lang").mapInArrow(_sample, "lang string, window binary").toPandas()
+    # by id and text, so that rows with one id or none are drawn like others
+    place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), F.lit(1 << 20)) / F.lit(1 << 20)
+    got = rows.filter(place < rate).select("text", "lang").mapInArrow(_sample(sample_windows), "lang string, window binary").toPandas()
     if not len(got):
         return None
     got = got.sort_values(["lang", "window"])
@@ -191,8 +195,9 @@ def predict(docs: DataFrame, net: ByteCnn | None, text: str = "text", pred: str
             flush()
         return pd.DataFrame(out, columns=[pred, score])
 
-    got = docs.withColumn("_lang", languages(F.col(text)))
-    return got.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (pred, score)], F.col(f"_lang.`{pred}`"), F.col(f"_lang.`{score}`"))
+    own = free_name("_lang", docs.columns)
+    got = docs.withColumn(own, languages(F.col(text)))
+    return got.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (pred, score)], F.col(f"{own}.`{pred}`"), F.col(f"{own}.`{score}`"))
 
 
 def held_out(doc_id: str = "doc_id"):

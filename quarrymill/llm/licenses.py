@@ -1,7 +1,7 @@
 """License scans: an exact set-similarity join of text blocks with license templates, in DataFrame operations only.
 
 A block is any run of so many consecutive words as the template has and a quarter more, wherever lines break. It holds the
-template if it has at least THRESHOLD of the template's distinct words. Words are ordered by their frequency over the whole
+template if it has at least THRESHOLD of the template's distinct words, the one that names the license among them. Words are ordered by their frequency over the whole
 corpus, rarest first. A block that holds a template has one of the template's first ``n - need + 1`` words (prefix filter), so
 only the surroundings of such words are looked at. They must have ``need`` words of the template in all (length filter), and
 of the block that starts at a word of the template, the words of the text that are left must be as many (position filter). Only
@@ -37,6 +37,14 @@ TEMPLATES = {
     "all rights reserved": "reserved",
     "this work is in the public domain": "public-domain",
 }
+#: The word of each notice that names the license or its act; without it a block is another text.
+NAMES = {
+    "licensed under cc by": "cc", "licensed under a creative commons attribution license": "commons", "licensed under the apache license version 2 0": "apache",
+    "licensed under the gnu general public license version 3": "gnu", "you can redistribute it and or modify it under the terms of the gnu general public license": "gnu",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license": "lesser", "released under the mit license": "mit",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software": "permission", "redistribution and use in source and binary forms with or without modification are permitted": "redistribution",
+    "subject to the terms of the mozilla public license version 2 0": "mozilla", "all rights reserved": "reserved", "this work is in the public domain": "domain",
+}
 
 
 def _need(n: int, threshold: float) -> int:
@@ -49,22 +57,22 @@ def word_counts(docs: DataFrame, words: list[str]) -> DataFrame:
     return docs.select(F.explode(F.filter(all_words, lambda w: w.isin(words))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def prefix_index(counts: DataFrame, templates: dict[str, str], threshold: float = THRESHOLD) -> list[tuple[str, list[str], list[str], int, int]]:
-    """(label, words, prefix, need, length) of each template: its distinct words, the rarest of which are its prefix, and the
-    words of a block. ``counts`` (word, n) has no more rows than the templates have words."""
+def prefix_index(counts: DataFrame, templates: dict[str, str], threshold: float = THRESHOLD, names: dict[str, str] = NAMES) -> list[tuple[str, list[str], list[str], int, int, str | None]]:
+    """(label, words, prefix, need, length, name) of each template: its distinct words, the rarest of which are its prefix, the words
+    of a block, and the word that must be among them. ``counts`` (word, n) has no more rows than the templates have words."""
     n = {r["word"]: r["n"] for r in counts.collect()}
     out = []
     for text, label in templates.items():
         words = sorted(set(text.split()), key=lambda w: (n.get(w, 0), w))
         need, length = _need(len(words), threshold), len(text.split())
-        out.append((label, words, words[: len(words) - need + 1], need, length + length // 4))
+        out.append((label, words, words[: len(words) - need + 1], need, length + length // 4, names.get(text)))
     return out
 
 
 def _most(words: Column, at: Column, template: tuple) -> Column:
     """The largest number of the template's words in a block around one of its prefix words, if it is enough; else null.
     ``at`` (i, w) has the places of all templates' prefix words."""
-    _, terms, prefix, need, length = template
+    _, terms, prefix, need, length, name = template
     wanted = F.array(*[F.lit(w) for w in terms])
 
     def around(a: Column) -> Column:
@@ -72,8 +80,9 @@ def _most(words: Column, at: Column, template: tuple) -> Column:
         near = F.slice(words, since + 1, a["i"] - since + length)
 
         def blocks(x: Column) -> Column:
-            size = lambda j: F.when(F.get(x, j).isin(terms) & (F.size(x) - j >= need), F.size(F.array_intersect(F.slice(x, j + 1, length), wanted)))
-            return F.when(F.size(F.array_intersect(x, wanted)) >= need, F.array_max(F.transform(F.sequence(F.lit(0), F.size(x) - 1), size)))
+            named = lambda j: F.array_contains(F.slice(x, j + 1, length), name) if name else F.lit(True)
+            size = lambda j: F.when(F.get(x, j).isin(terms) & (F.size(x) - j >= need) & named(j), F.size(F.array_intersect(F.slice(x, j + 1, length), wanted)))
+            return F.when((F.size(F.array_intersect(x, wanted)) >= need) & (F.array_contains(x, name) if name else F.lit(True)), F.array_max(F.transform(F.sequence(F.lit(0), F.size(x) - 1), size)))
 
         return let(near, blocks)
 
@@ -88,15 +97,15 @@ def _places(words: Column, phrase: str) -> Column:
     return F.filter(F.array_compact(place), lambda i: F.slice(words, i + 2, len(rest)) == F.array(*[F.lit(x) for x in rest]))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, phrases: dict[str, str] = PHRASES) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, phrases: dict[str, str] = PHRASES, names: dict[str, str] = NAMES) -> DataFrame:
     """One row a document of ``docs`` (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     The base columns are those of the phrases (n_base counts their places, which first_word and last_word bound). labels has
-    those of the phrases and of the templates; score is the largest containment, 1 for a phrase, 0 without a label. Null and
+    those of the phrases and of the templates, which need the word that ``names`` has for them, if any; score is the largest containment, 1 for a phrase, 0 without a label. Null and
     empty texts have no words. Every row is judged alone, whatever its doc_id; other columns are left out.
     """
     words = sorted({w for t in templates for w in t.split()})
-    index = prefix_index(written(word_counts(docs, words), "license-words"), templates, threshold)
+    index = prefix_index(written(word_counts(docs, words), "license-words"), templates, threshold, names)
     probes = sorted({w for t in index for w in t[2]})
     plain = F.translate(text_of(docs), UPPER, LOWER)
     gap, edge = ANY_CASE.replace("[^", "["), r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"

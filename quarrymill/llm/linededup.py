@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, salted_join, text_of, written
+from .common import SPACES, free_name, let, salted_join, text_of, written
 
 LEAST_WORDS = 50
 
@@ -78,7 +78,8 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     key = F.md5(F.coalesce(F.col("text"), F.lit("")))
     ids = docs.select("doc_id", "text", key.alias("row"))
     gone = repeated_lines(ids, least_words)
-    both = docs.select(*cols, key.alias("_text_key")).alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d._text_key") == F.col("g.row")), "left")
+    own = free_name("_text_key", docs.columns)
+    both = docs.select(*[F.col(f"`{c}`") for c in cols], key.alias(own)).alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col(f"d.{own}") == F.col("g.row")), "left")
     lines = F.split("d.text", "\n")
     gone_at = F.col("g.gone")
     starts = F.filter(gone_at, lambda x, i: ~F.coalesce(F.get(gone_at, i - 1) == x - 1, F.lit(False)))

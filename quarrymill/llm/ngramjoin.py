@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_groups, hot_join, packed, small_batches, text_of, unpacked, written
+from .common import arrow_groups, free_name, hot_join, packed, small_batches, text_of, unpacked, written
 from .components import components
 from .shingles import MinHash, shingle_set
 
@@ -287,9 +287,10 @@ def one_of_each(docs: DataFrame, threshold: float = SIMILAR, tolerance: float =
     stays. All columns are kept.
     """
     found = written(linked(docs.select("doc_id", "text"), threshold, tolerance), "linked")
-    gone = found.filter(~F.col("first")).select("doc_id", F.col("row").alias("_row")).distinct()
-    left = docs.withColumn("_row", row_of()).join(gone, ["doc_id", "_row"], "left_anti")
+    own = free_name("_row", docs.columns)
+    gone = found.filter(~F.col("first")).select("doc_id", F.col("row").alias(own)).distinct()
+    left = docs.withColumn(own, row_of()).join(gone, ["doc_id", own], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns], own)
     if found.filter("key is not null").groupBy("doc_id", "row").count().filter("count > 1").isEmpty():
-        return left.drop("_row")
+        return left.drop(own)
     alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return left.filter(~alone).dropDuplicates(["doc_id", "_row"]).unionByName(left.filter(alone)).drop("_row")
+    return left.filter(~alone).dropDuplicates(["doc_id", own]).unionByName(left.filter(alone)).drop(own)

@@ -41,14 +41,14 @@ def _op7_sql() -> str:
         "list_filter(range(len(w)), lambda i: " + " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p.split())) + ")" for p in licenses.PHRASES
     )
     base = ", ".join(f"CASE WHEN len(list_filter(range(len(w)), lambda i: {' AND '.join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p.split()))})) > 0 THEN '{label}' END" for p, label in licenses.PHRASES.items())
-    sets = ", ".join(f"({i}, '{label}', {sorted(set(t.split()))}, {len(t.split()) + len(t.split()) // 4}, {licenses._need(len(set(t.split())), licenses.THRESHOLD)})" for i, (t, label) in enumerate(licenses.TEMPLATES.items()))
+    sets = ", ".join(f"({i}, '{label}', {sorted(set(t.split()))}, '{licenses.NAMES[t]}', {len(t.split()) + len(t.split()) // 4}, {licenses._need(len(set(t.split())), licenses.THRESHOLD)})" for i, (t, label) in enumerate(licenses.TEMPLATES.items()))
     return f"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(t, '{word}') AS w FROM d),
 b AS (SELECT doc_id, len(w)::BIGINT AS n_words, {places} AS s, list_filter([{base}], lambda x: x IS NOT NULL) AS base FROM w),
-o AS (SELECT doc_id, pos, word, v.* FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM w) JOIN (VALUES {sets}) v(id, label, words, length, need) ON list_contains(words, word)),
-k AS (SELECT doc_id, label, words, need, count(DISTINCT word) OVER (PARTITION BY doc_id, id ORDER BY pos RANGE BETWEEN CURRENT ROW AND length - 1 FOLLOWING) AS n FROM o),
-m AS (SELECT doc_id, label, n / len(words) AS c FROM k WHERE n >= need),
+o AS (SELECT doc_id, pos, word, v.* FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM w) JOIN (VALUES {sets}) v(id, label, words, name, length, need) ON list_contains(words, word)),
+k AS (SELECT doc_id, label, words, need, count(DISTINCT word) OVER w AS n, bool_or(word = name) OVER w AS named FROM o WINDOW w AS (PARTITION BY doc_id, id ORDER BY pos RANGE BETWEEN CURRENT ROW AND length - 1 FOLLOWING)),
+m AS (SELECT doc_id, label, n / len(words) AS c FROM k WHERE n >= need AND named),
 g AS (SELECT doc_id, list(DISTINCT label) AS more, max(c) AS c FROM m GROUP BY 1)
 SELECT doc_id, n_words, len(s)::BIGINT AS n_base, list_min(s)::BIGINT AS first_word, list_max(s)::BIGINT AS last_word,
   array_to_string(list_sort(base), ',') AS base_labels, coalesce(array_to_string(list_sort(list_distinct(base || coalesce(more, []))), ','), '') AS labels,

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from quarrymill.llm.common import written
 
 from ..conftest import SMALL
+from .odd import docs as odd_docs
+from .odd import empty
 from .test_operators import deduped, similar, tiktokens, words
 
 
@@ -34,6 +36,31 @@ def test_stages(spark):
         assert r["round_trip"] and r["ids"] == enc.encode_ordinary(kept[r["doc_id"]])
 
 
+def test_stages_on_odd_rows_and_on_none(spark):
+    import collections
+
+    rows = odd_docs(spark)
+    count = lambda df: collections.Counter(tuple(r) for r in df.select("doc_id", "text").collect())
+    have = count(rows)
+    for name, stage in P.STAGES:
+        nothing = stage(spark, empty(spark), SMALL)
+        assert nothing.count() == 0
+        got = stage(spark, rows, SMALL)
+        if name == P.STAGES[-1][0]:
+            assert got.count() == rows.count() and got.filter("not round_trip").count() == 0
+            continue
+        assert got.columns == nothing.columns == P.COLUMNS
+        left = count(got)
+        if name == "language ID":
+            assert not left - have and all(x and any(c.isalpha() for c in x) for _, x in left)
+        if name == "line dedup":
+            assert sum(left.values()) == sum(n for (_, x), n in have.items() if not words(x)) + sum(n for (_, x), n in left.items() if words(x))
+            assert left[None, None] == 1 and left[None, "a null id here"] == 1
+        if name == "n-gram Jaccard join":
+            assert not left - have and left[None, None] == 1 and left[0, None] == 1 and left[None, "a null id here"] == 1
+            assert sum(n for (_, x), n in left.items() if x and x.startswith("a b c d e")) == 1
+
+
 def test_run(spark):
     rows = P.run(spark, SMALL)
     assert rows.count() > 0 and rows.filter("not round_trip").count() == 0
