@@ -23,21 +23,25 @@ def _with_chars(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the classifier knows; those without letters, or with no clear verdict, go. It learns from
-    the documents that aren't held out."""
+    """Documents in a language that the classifier knows; those without letters (null and empty texts among them), or with no clear
+    verdict, go. It learns from the documents that aren't held out. Rows are judged one by one: repeated and null ids stay as they
+    are; columns other than those of documents are left out; an empty table, or one without a labelled text, gives an empty one."""
     net = langid.fit(docs.filter(~langid.held_out()))
     judged = langid.predict(docs, net, pred="_pred", score="_score")
     return judged.filter((F.col("_pred") != langid.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the runs of lines that an earlier document or place has; those of which no word is left go."""
+    """Documents without the runs of lines that an earlier document or place has; those of which no word is left go. Texts without
+    a repeat stay as they are, null and empty ones too; rows with one id are separate documents, and rows equal in id and text are
+    treated alike. Other columns are left out; an empty table gives an empty one."""
     kept = linededup.dedup_lines(docs.select(*COLUMNS))
     return _with_chars(kept.filter((F.col("n_deleted") == 0) | F.col("text").rlike(WORD)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones: that with the least id."""
+    """One document of each group of similar ones: that with the least id. Texts without words, null texts and null ids are like no
+    other and stay; of rows equal in id and text one stays. Other columns are left out; an empty table gives an empty one."""
     return ngramjoin.one_of_each(docs.select(*COLUMNS))
 
 
@@ -51,7 +55,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, ids of every document, and whether decoding gives its text again."""
+    """doc_id, lang, source, ids of every row, and whether decoding gives its text again. A null text is an empty one and has no
+    ids; repeated rows stay; other columns are left out; an empty table gives an empty one."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, check="round_trip")
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
