@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import curation_queries, document_queries, feed_queries, listing_queries, search_queries, tax_queries, text_queries
+from . import curation_queries, document_queries, feed_queries, listing_queries, lookup_queries, search_queries, tax_queries, text_queries
 
-FAMILIES = [listing_queries.R, text_queries.R, tax_queries.R, document_queries.R, feed_queries.R, search_queries.R, curation_queries.R]
+FAMILIES = [listing_queries.R, text_queries.R, tax_queries.R, document_queries.R, feed_queries.R, search_queries.R, curation_queries.R, lookup_queries.R]
 
 
 def queries() -> dict:
