@@ -3,7 +3,8 @@
 ``write_archives`` writes one response record a page. ``read_headers`` streams the records of a folder of archives and
 keeps headers only. ``dedup_archives`` shuffles these headers by payload digest (pre-aggregated, so a digest that a third
 of all records share is one row for each task), picks each digest's response, and writes new archives in which the other
-records are revisit records with fresh headers. ``resolve`` joins revisit records back to their responses.
+records are revisit records with fresh headers. ``resolve`` joins revisit records back to their responses. In both joins the
+digests and responses that many records share are broadcast, a bounded number of rows, and only the others go by shuffle.
 
 Archives are gzip files written by Spark's text writer, so they may lie in any store that Spark writes, and a lost
 executor's files are written again by the commit protocol.
@@ -11,14 +12,13 @@ executor's files are written again by the commit protocol.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import hot_join, new_path, small_batches, written
 
 #: Payloads below this many bytes are never replaced by a revisit record; records in one archive file at most.
 LEAST_BYTES, FILE_RECORDS = 1000, 2000
@@ -77,36 +77,34 @@ def _field(head: dict, name: str) -> str | None:
     return x.strip("<>") if x is not None else None
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict, bytes, bytes]]:
-    """(headers, HTTP headers, payload) of each record of a gzip archive, which is unpacked piece by piece."""
-    unpack, rest, buf = zlib.decompressobj(31), data, b""
-    at = 0
+def parse_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict, bytes, bytes]]:
+    """(headers, HTTP headers, payload) of each record of archives, given as what stands between the ENDs of their unpacked bytes.
+    No more than one record and one piece is held."""
+    end = END.encode()
+    buf = bytearray()
 
     def more() -> bool:
-        nonlocal rest, buf, at, unpack
-        if not rest and unpack.eof:
+        piece = next(pieces, None)
+        if piece is None:
             return False
-        got = unpack.decompress(rest, 1 << 20)
-        rest = unpack.unconsumed_tail or unpack.unused_data
-        if unpack.eof and rest:
-            unpack = zlib.decompressobj(31)
-        buf, at = buf[at:] + got, 0
-        return bool(got or rest)
+        buf.extend(piece)
+        buf.extend(end)
+        return True
 
     while True:
-        while (end := buf.find(b"\r\n\r\n", at)) < 0:
+        del buf[: len(buf) - len(buf.lstrip(b"\r\n"))]
+        cut = buf.find(end)
+        if cut < 0:
             if not more():
                 return
-        lines = buf[at:end].decode().split("\r\n")
-        head = dict(x.split(": ", 1) for x in lines[1:])
-        size = int(head["Content-Length"])
-        at = end + 4
-        while len(buf) - at < size + 4:
-            if not more():
-                break
-        block = buf[at : at + size]
-        at += size + 4
-        cut = block.find(b"\r\n\r\n") + 4
+            continue
+        head = dict(x.split(": ", 1) for x in buf[:cut].decode().split("\r\n")[1:])
+        at, size = cut + len(end), int(head["Content-Length"])
+        while len(buf) < at + size and more():
+            pass
+        block = bytes(buf[at : at + size])
+        del buf[: at + size]
+        cut = block.find(end) + len(end)
         yield head, block[:cut], block[cut:]
 
 
@@ -114,20 +112,19 @@ def _parse(with_payload: bool):
     names = [x.split()[0] for x in HEADERS.split(", ")]
 
     def parse(batches):
-        for batch in batches:
-            for content in batch.column("content"):
+        out, held = [], 0
+        pieces = (x.as_buffer().to_pybytes() for batch in batches for x in batch.column("value").cast(pa.binary()))
+        for head, http, payload in parse_records(pieces):
+            rid = _field(head, "WARC-Record-ID")
+            page = rid.split(":")[2]
+            size = int(next(x.split(b":")[1] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")))
+            out.append((rid, int(page) if page else None, head["WARC-Type"], head["WARC-Target-URI"], head["WARC-Date"], head["WARC-Payload-Digest"].partition(":")[2], size, _field(head, "WARC-Refers-To"), *([payload] if with_payload else [])))
+            held += len(payload) if with_payload else 200
+            if held > 4 << 20:
+                yield _batch(out, names, with_payload)
                 out, held = [], 0
-                for head, http, payload in parse_records(content.as_py()):
-                    rid = _field(head, "WARC-Record-ID")
-                    page = rid.split(":")[2]
-                    size = int(next(x.split(b":")[1] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")))
-                    out.append((rid, int(page) if page else None, head["WARC-Type"], head["WARC-Target-URI"], head["WARC-Date"], head["WARC-Payload-Digest"].partition(":")[2], size, _field(head, "WARC-Refers-To"), *([payload] if with_payload else [])))
-                    held += len(payload) if with_payload else 200
-                    if held > 4 << 20:
-                        yield _batch(out, names, with_payload)
-                        out, held = [], 0
-                if out:
-                    yield _batch(out, names, with_payload)
+        if out:
+            yield _batch(out, names, with_payload)
 
     return parse
 
@@ -139,23 +136,29 @@ def _batch(rows, names, with_payload):
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
-    """A row for each record of the archives in ``path``: the columns of HEADERS, and the payload (binary) if asked for."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(_parse(payload), HEADERS + ", payload binary" * payload)
+    """A row for each record of the archives in ``path``: the columns of HEADERS, and the payload (binary) if asked for.
+
+    Archives are unpacked by Spark's text reader, cut at each END, and put together again record by record, so a file may have any
+    size and any number of gzip members; bytes stay as they are.
+    """
+    small_batches(spark)
+    pieces = spark.read.option("pathGlobFilter", "*.gz").option("lineSep", END).text(path)
+    return pieces.mapInArrow(_parse(payload), HEADERS + ", payload binary" * payload)
 
 
 def revisits(headers: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """(record_id, refers_to) of the records that become revisits: of equal payloads of ``least_bytes`` or more, all but
-    that with the largest page_id (then the largest record id)."""
-    large = headers.filter(F.col("payload_bytes") >= least_bytes)
-    first = large.groupBy("digest", "payload_bytes").agg(F.max(F.struct("page_id", "record_id")).alias("top"), F.count("*").alias("n")).filter("n > 1")
-    both = large.select("digest", "payload_bytes", "record_id").join(first, ["digest", "payload_bytes"])
-    return both.filter(F.col("record_id") != F.col("top.record_id")).select("record_id", F.col("top.record_id").alias("to_id"))
+    """(record_id, to_id) of the records that become revisits: of equal payloads of ``least_bytes`` or more, all but
+    that with the largest page_id (then the largest record id). ``headers`` is read twice: hand over a written table."""
+    key = F.concat_ws("-", "digest", F.col("payload_bytes").cast("string")).alias("same")
+    large = headers.filter(F.col("payload_bytes") >= least_bytes).select(key, "page_id", "record_id")
+    first = large.groupBy("same").agg(F.max(F.struct("page_id", "record_id"))["record_id"].alias("to_id"), F.count("*").alias("n")).filter("n > 1")
+    both = hot_join(large.select("same", "record_id"), written(first, "warc-firsts"), "same", "n")
+    return both.filter(F.col("record_id") != F.col("to_id")).select("record_id", "to_id")
 
 
 def dedup_archives(spark: SparkSession, path: str, to: str | None = None, least_bytes: int = LEAST_BYTES) -> str:
     """Writes the archives of ``path`` anew, repeated payloads as revisit records; the new folder's path is returned."""
-    links = revisits(read_archives(spark, path), least_bytes)
+    links = revisits(written(read_archives(spark, path), "warc-headers"), least_bytes)
     both = read_archives(spark, path, payload=True).drop("refers_to").join(links, "record_id", "left")
     both = both.withColumn("type", F.when(F.col("to_id").isNotNull(), "revisit").otherwise(F.col("type")))
     both = both.withColumn("payload", F.when(F.col("to_id").isNull(), F.decode("payload", "UTF-8")))
@@ -163,7 +166,12 @@ def dedup_archives(spark: SparkSession, path: str, to: str | None = None, least_
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """HEADERS and refers_to_page: the page of the response to which a revisit record's own refers_to leads (else null)."""
-    responses = records.filter("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("refers_to_page"))
+    """HEADERS and refers_to_page: the page of the response to which a revisit record's own refers_to leads (else null). ``records`` has
+    headers only; it is written once."""
+    records = written(records, "warc-records")
     plain = records.filter("type = 'response'").withColumn("refers_to_page", F.lit(None).cast("long"))
-    return records.filter("type = 'revisit'").join(responses, "refers_to", "left").select(*plain.columns).unionByName(plain)
+    again = records.filter("type = 'revisit'")
+    asked = again.groupBy("refers_to").agg(F.count("*").alias("n"))
+    responses = records.filter("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("refers_to_page"))
+    found = written(asked.join(responses, "refers_to"), "warc-responses")
+    return hot_join(again, found, "refers_to", "n", "left").select(*plain.columns).unionByName(plain)

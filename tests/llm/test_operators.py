@@ -392,6 +392,43 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(spark, warc.write_archives(pages.filter("false"))).count() == 0
 
 
+@pytest.mark.parametrize("ends", ["", "\r\n", "\r\n\r", "\r\n\r\n", "\r\n\r\n\r\n"])
+def test_payloads_keep_their_line_ends(spark, ends):
+    html = [ends, "\r\n\r\n" * 40000 + ends, "x" * 65530 + "\r\n\r\r\n\r\n\n\r" + ends, "a\r\n\r\nWARC/1.1\r\n\r\n" + ends, "\r\n" + "y" * 3_000_000 + ends, ends]
+    raw = warc.write_archives(spark.createDataFrame(list(enumerate(html)), "page_id long, html string").withColumn("url", F.lit("u")).repartition(1))
+    for path in (raw, warc.dedup_archives(spark, raw)):
+        assert {r["page_id"]: r["payload"].decode() for r in warc.read_archives(spark, path, payload=True).collect()} == dict(enumerate(html))
+
+
+def test_archives_of_others(spark, tmp_path):
+    """A member for each record, payloads that are no UTF-8, and more than one file in a task."""
+    import gzip
+    import hashlib
+
+    payloads = [bytes(range(256)) * (1 + i * 37) for i in range(20)]
+    for part in range(4):
+        with open(tmp_path / f"{part}.warc.gz", "wb") as f:
+            for i in range(part * 5, part * 5 + 5):
+                http = f"HTTP/1.1 200 OK\r\nContent-Length: {len(payloads[i])}\r\n\r\n".encode()
+                head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:{i}:0>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Target-URI: u\r\nWARC-Payload-Digest: sha1:{hashlib.sha1(payloads[i]).hexdigest()}\r\nContent-Length: {len(http) + len(payloads[i])}\r\n\r\n"
+                f.write(gzip.compress(head.encode() + http + payloads[i] + b"\r\n\r\n"))
+    got = warc.read_archives(spark, f"file://{tmp_path}", payload=True).coalesce(1).collect()
+    assert {r["page_id"]: bytes(r["payload"]) for r in got} == dict(enumerate(payloads))
+
+
+def test_a_payload_that_most_pages_share(spark):
+    rows = [(i, "u", "hot" * 500 if i % 3 else f"{i % 1500:06d}" * 200) for i in range(6000)]
+    last = {h: i for i, _, h in rows}
+    raw = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4))
+    got = warc.resolve(warc.read_archives(spark, warc.dedup_archives(spark, raw)))
+    assert sorted((r["page_id"], r["type"], r["refers_to_page"]) for r in got.collect()) == [(i, "response", None) if last[h] == i else (i, "revisit", last[h]) for i, _, h in rows]
+
+
+def test_archives_without_records(spark):
+    raw = warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"))
+    assert warc.resolve(warc.read_archives(spark, warc.dedup_archives(spark, raw))).count() == 0
+
+
 # ---- 7: licenses
 
 
