@@ -7,6 +7,8 @@ share one, matches are extended both ways: the windows around it are compared wh
 windows, those from a line on reach to its end and those up to a line back to its start). Of equal windows the first in order
 of document and line stays; the lines of the later ones are deleted.
 
+Windows are compared by 128 bits of hashes of their lines: 64 would let some of 10^12 windows meet others by chance.
+
 A line goes if and only if it lies in a run of lines with LEAST_WORDS words or more that stands earlier too. Every deleted line
 so has an earlier equal, and the earliest of all stays.
 
@@ -19,15 +21,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, free_name, let, salted_join, text_of, written
+from .common import SPACES, WORD, free_name, let, salted_join, text_of, written
 
 LEAST_WORDS = 50
+#: What is hashed before a line for its second hash.
+SECOND = 1
 
 
 def line_table(rows: DataFrame) -> DataFrame:
-    """(doc_id, row, pos, h, n, start, end) of every line with a word: its place among all lines, its hash, its words, and the
-    words of the text before it and up to it."""
-    lines = F.transform(F.split(text_of(rows), "\n"), lambda x, i: F.struct(i.alias("pos"), F.xxhash64(F.btrim(x, F.lit(SPACES))).alias("h"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n")))
+    """(doc_id, row, pos, h, h2, n, start, end) of every line with a word: its place among all lines, two hashes of it, its words, and
+    the words of the text before it and up to it."""
+    bare = lambda x: F.btrim(x, F.lit(SPACES))
+    lines = F.transform(F.split(text_of(rows), "\n"), lambda x, i: F.struct(i.alias("pos"), F.xxhash64(bare(x)).alias("h"), F.xxhash64(F.lit(SECOND), bare(x)).alias("h2"), F.regexp_count(x, F.lit(WORD)).cast("long").alias("n")))
     flat = rows.select("doc_id", "row", F.inline(F.filter(lines, lambda x: x["n"] > 0)))
     flat = flat.repartition("doc_id", "row").dropDuplicates(["doc_id", "row", "pos"])  # rows with equal ids and texts are one
     run = Window.partitionBy("doc_id", "row").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -35,18 +40,19 @@ def line_table(rows: DataFrame) -> DataFrame:
 
 
 def windows(lines: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, row, first, last, key, print, at): windows of at least ``least_words`` words; the hash of all lines of each, its
-    least line hash and where that line stands. A window has at most ``least_words`` lines."""
+    """(doc_id, row, first, last, key, key2, print, at): windows of at least ``least_words`` words; 128 bits of hashes of all lines of
+    each, its least line hash and where that line stands. A window has at most ``least_words`` lines."""
     doc = Window.partitionBy("doc_id", "row")
     spans = {"on": doc.orderBy("start").rangeBetween(0, least_words - 1), "up": doc.orderBy("end").rangeBetween(1 - least_words, 0)}
     cols = [
-        F.struct(F.sum("n").over(w).alias("words"), F.min("pos").over(w).alias("first"), F.max("pos").over(w).alias("last"), F.collect_list(F.struct("h", "pos")).over(w).alias("hs")).alias(name)
+        F.struct(F.sum("n").over(w).alias("words"), F.min("pos").over(w).alias("first"), F.max("pos").over(w).alias("last"), F.collect_list(F.struct("h", "pos", "h2")).over(w).alias("hs")).alias(name)
         for name, w in spans.items()
     ]
     both = lines.select("doc_id", "row", *cols).select("doc_id", "row", F.inline(F.array("on", "up"))).filter(F.col("words") >= least_words)
     least = F.array_min("hs")
-    hashes = F.transform("hs", lambda x: x["h"])
-    return both.select("doc_id", "row", "first", "last", F.xxhash64(hashes, F.size("hs")).alias("key"), least["h"].alias("print"), least["pos"].alias("at"))
+    of = lambda h: F.transform("hs", lambda x: x[h])
+    whole = F.xxhash64(of("h"), F.size("hs")).alias("key"), F.xxhash64(F.lit(SECOND), of("h2"), F.size("hs")).alias("key2")
+    return both.select("doc_id", "row", "first", "last", *whole, least["h"].alias("print"), least["pos"].alias("at"))
 
 
 def repeated_lines(rows: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -58,8 +64,9 @@ def repeated_lines(rows: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     place = F.struct("doc_id", "row", "at")
     shared = found.groupBy("print").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high").select("print")
     near = salted_join(found, shared, "print", "left_semi", salts=4)
-    first = near.groupBy("key").agg(F.min(at).alias("kept"), F.max(at).alias("latest")).filter("kept <> latest").select("key", "kept")
-    later = salted_join(near, first, "key", salts=4).filter(at > F.col("kept"))
+    key = ("key", "key2")
+    first = near.groupBy(*key).agg(F.min(at).alias("kept"), F.max(at).alias("latest")).filter("kept <> latest").select(*key, "kept")
+    later = salted_join(near, first, key, salts=4).filter(at > F.col("kept"))
     spans = later.groupBy("doc_id", "row", "first").agg(F.max("last").alias("last"))
     marks = lines.select("doc_id", "row", "pos", F.lit(None).cast("int").alias("reach")).unionByName(spans.select("doc_id", "row", F.col("first").alias("pos"), F.col("last").alias("reach")))
     so_far = Window.partitionBy("doc_id", "row").orderBy("pos").rangeBetween(Window.unboundedPreceding, 0)
@@ -75,7 +82,7 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     texts' MD5, and rows equal in both are treated alike. Columns named n_lines or n_deleted are replaced.
     """
     cols = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
-    key = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    key = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
     ids = docs.select("doc_id", "text", key.alias("row"))
     gone = repeated_lines(ids, least_words)
     own = free_name("_text_key", docs.columns)
