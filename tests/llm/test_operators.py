@@ -559,6 +559,66 @@ def test_repeats_alone_can_reject(spark):
     assert far[500] > quality.CUTOFF and sum(x > quality.CUTOFF for x in far.values()) <= 4
 
 
+def plain_estimate(x, floors, starts=300):
+    """Centre and covariance of least determinant by plain concentration from many random starts, then from all rows near it."""
+    import numpy as np
+
+    rng, d = np.random.default_rng(5), x.shape[1]
+
+    def fit(rows, factor):
+        m = rows.mean(axis=0)
+        return m, ((rows - m).T @ (rows - m) / len(rows)) * factor + np.diag(floors) ** 2
+
+    far = lambda m, s: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
+    best = None
+    for k in range(starts):
+        m, s = fit(x[rng.choice(len(x), (d + 1, 12)[k % 2], replace=False)], 1.0)
+        before = None
+        while True:
+            near = np.sort(np.argsort(far(m, s), kind="stable")[: -(-len(x) // 2)])
+            if before is not None and np.array_equal(near, before):
+                break
+            m, s = fit(x[near], quality.CONSISTENT)
+            before = near
+        det = np.linalg.slogdet(s)[1]
+        if best is None or det < best[0]:
+            best = det, m, s
+    return far(*fit(x[far(*best[1:]) <= quality.NEAR], quality.NEAR_CONSISTENT))
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_kept_is_that_of_a_plain_estimate(spark, size):
+    """Every verdict equals that of many plain starts, on groups made here; the smallest table is one group."""
+    import numpy as np
+
+    names, rows_of = list(quality.FLOORS), spark.read.parquet(f"{SMALL.replace('sf0.001', size)}/documents.parquet")
+    got = {r["doc_id"]: r for r in quality.judge(rows_of).collect()}
+    judged = {i: r for i, r in got.items() if not r["base_failed"]}
+    where = {r["doc_id"]: (r["lang"], r["source"]) for r in rows_of.select("doc_id", "lang", "source").collect()}
+    sizes = collections.Counter(where[i] for i in judged)
+    first = {i: where[i] if sizes[where[i]] >= quality.LEAST_GROUP else (where[i][0], "*") for i in judged}
+    sizes = collections.Counter(first.values())
+    group = {i: k if sizes[k] >= quality.LEAST_GROUP else "*" for i, k in first.items()}
+    share = lambda a, b: (a / max(b, 1)) ** 0.5
+    texts_of = {r["doc_id"]: r["text"] for r in rows_of.collect()}
+    seen = 0
+    for key in set(group.values()):
+        ids = sorted(i for i in group if group[i] == key)
+        if len(ids) < quality.LEAST_GROUP:
+            assert all(got[i]["kept"] for i in ids)
+            continue
+        rows = []
+        for i in ids:
+            n, chars, symbols, dup, repeat = stats(texts_of[i])
+            lines = sum(1 for y in (texts_of[i] or "").split("\n") if words(y))
+            rows.append([np.log(max(n, 1)), np.log(max(chars, 1) / max(n, 1)), share(symbols, chars), share(dup, lines), share(repeat, n)])
+        far = plain_estimate(np.array(rows), [quality.FLOORS[x] for x in names])
+        for i, want in zip(ids, far, strict=True):
+            assert got[i]["kept"] == (want <= quality.CUTOFF) and got[i]["distance"] == pytest.approx(want, rel=1e-3, abs=1e-3), (key, i)
+            seen += want > quality.CUTOFF
+    assert seen > 5 and all(not got[i]["kept"] for i in set(got) - set(judged))
+
+
 # ---- 9: languages
 
 
