@@ -10,8 +10,9 @@ All pairs of texts whose sets of five-word shingles have a Jaccard similarity of
 4. In each component of these links, the pairs are pruned once more and what is left is verified exactly. Each class learns how
    many documents it is linked with, and its exact links again give a spanning forest, whose components are the result.
 
-Buckets and components of any size are dealt out as pairs of blocks of at most BLOCK classes, each its own group in the
-shuffle, so no task holds more than two blocks, and no pair of documents leaves a task.
+Buckets and components of any size are dealt out as pairs of blocks of about BLOCK classes, each its own group in the shuffle,
+so no task holds more than two blocks, and no pair of documents leaves a task. What is copied to block pairs are signatures and
+the differences of shingle sets within a component, never texts: each text of a candidate is shuffled once.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ from .shingles import MinHash, shingle_set
 #: Bands and rows of the signature (a pair of similarity 0.8 shares none in 3 of a million cases), values compared at a time,
 #: the posterior probability below which a pair is dropped, classes of a block.
 BANDS, ROWS, STEP, TOLERANCE, BLOCK, SIMILAR = 24, 4, 16, 1e-6, 256, 0.8
+#: Columns of the matrices whose product counts the shingles that sets share.
+WIDE = 4096
+#: Rows of a block pair that are tried as the one that the others are like.
+LEADS = 4
 #: Bits of the map that keeps texts which are no candidates from being shuffled.
 BITS = 1 << 26
 
@@ -149,6 +154,30 @@ def _pairs(sigs, rows, side, plan):
     return left[i], right[j]
 
 
+def connected(sigs: np.ndarray, rows: list[tuple], side: int, plan: list[tuple[int, int]]) -> np.ndarray:
+    """For each row of a block pair the least row that the pairs which no step drops connect it with.
+
+    The rows that one of them, the lead, isn't dropped with are connected by it, so pairs of two such rows are not compared: a
+    block of texts alike costs its size, not its square. All others are.
+    """
+    best = np.zeros(0, np.int64)
+    for lead in sorted({len(rows) * k // LEADS for k in range(LEADS)}):
+        _, like = surviving(sigs[lead : lead + 1], sigs, plan, False)
+        if len(like) > len(best):
+            best, first = like, lead
+        if len(best) == len(rows):
+            return np.zeros(len(rows), np.int64)
+    led = np.zeros(len(rows), bool)
+    led[best] = True
+    left, right = _halves(rows, side)
+    i, j = [np.full(len(best), first)], [best]
+    for a, b in ((left[~led[left]], right), (left, right[~led[right]]))[: 1 if left is right else 2]:
+        x, y = surviving(sigs[a], sigs[b], plan, False)
+        i.append(a[x])
+        j.append(b[y])
+    return forest(len(rows), np.concatenate(i), np.concatenate(j))
+
+
 def candidates(classes: DataFrame, threshold: float, tolerance: float, banding: Banding) -> DataFrame:
     """(a, b): keys of ``classes`` (key, sig) with the least key that pruning leaves them connected with in a block pair."""
     plan, width = least_agreeing(threshold, tolerance, banding.size, banding.step), banding.rows * 2
@@ -162,7 +191,7 @@ def candidates(classes: DataFrame, threshold: float, tolerance: float, banding:
         out = []
         for _, rows in arrow_groups(batches, ("bucket", "lo", "hi"), ("key", "sig", "side")):
             sigs = np.frombuffer(b"".join(r[1] for r in rows), "<u2").reshape(len(rows), -1)
-            low = forest(len(rows), *_pairs(sigs, rows, 2, plan))
+            low = connected(sigs, rows, 2, plan)
             out += [(rows[i][0], rows[k][0]) for i, k in enumerate(low) if k != i]
             if len(out) > 20000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["a", "b"])
@@ -174,39 +203,124 @@ def candidates(classes: DataFrame, threshold: float, tolerance: float, banding:
     return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each array of ``left`` shares with each of ``right``; no array has a value twice. Values are taken WIDE at
+    a time as the columns of two matrices of zeros and ones, whose product counts."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    if not len(left) or not len(right):
+        return out
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+
+    def placed(sets):
+        """(row, place in ``both``) of the values that are there, by place."""
+        values, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.searchsorted(both, values)
+        at[at == len(both)] = 0
+        there = both[at] == values if len(both) else np.zeros(len(values), bool)
+        at, row = at[there], row[there]
+        order = np.argsort(at, kind="stable")
+        return row[order], at[order]
+
+    (row_a, at_a), (row_b, at_b) = placed(left), placed(right)
+    for lo in range(0, len(both), WIDE):
+        x, y = np.zeros((len(left), WIDE), np.float32), np.zeros((len(right), WIDE), np.float32)
+        for m, row, at in ((x, row_a, at_a), (y, row_b, at_b)):
+            i, j = np.searchsorted(at, (lo, lo + WIDE))
+            m[row[i:j], at[i:j] - lo] = 1
+        out += (x @ y.T).astype(np.int64)
+    return out
+
+
+def _linked(keys: list[bytes], copies: list[int], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch | None:
+    """(a, b, links) of the classes of a block pair that the pairs (i, j) link."""
+    copies = np.array(copies, np.int64)
+    links = np.zeros(len(keys), np.int64)
+    np.add.at(links, i, copies[j])
+    np.add.at(links, j, copies[i])
+    low, some = forest(len(keys), i, j), np.flatnonzero(links)
+    if not len(some):
+        return None
+    return pa.RecordBatch.from_arrays([pa.array([keys[k] for k in some], pa.binary()), pa.array([keys[low[k]] for k in some], pa.binary()), pa.array(links[some], pa.int64())], names=["a", "b", "links"])
+
+
+#: What is known of a class of a large component: ``size`` of its shingle set, ``core`` of its component's, ``missing`` (shingles of the
+#: core that it lacks), ``delta`` (those and the shingles that the core lacks), its signature.
+_FACTS = "comp {}, n long, key binary, copies long, size long, core long, missing long, delta binary, sig binary"
+
+
 def verified(members: DataFrame, threshold: float, tolerance: float, banding: Banding) -> DataFrame:
-    """(a, b, links) for ``members`` (comp, n, key, copies, text, packed): in each block pair, the documents that a class is linked
-    with, and the least class that exact links connect it with."""
+    """(a, b, links) for ``members`` (comp, n, base, key, copies, text, packed): in each block pair, the documents that a class is
+    linked with, and the least class that exact links connect it with.
+
+    Each text is shuffled once. Components of one block are compared then and there. In larger ones, each class becomes the
+    difference of its shingle set from that of one class of the component (``base``, which goes to every block), and only
+    differences and signatures are copied to the block pairs: with D the difference and m the shingles of the base that are
+    missing, two sets share |base| - m - m' + |D and D'| shingles, exactly, whatever the base is.
+    """
     plan = least_agreeing(threshold, tolerance, banding.size, banding.step)
     hashes = banding.hashes()
+    kind = members.schema["comp"].dataType.simpleString()
+    facts = _FACTS.format(kind)
+    names = ["a", "b", "links", *[x.split()[0] for x in facts.split(", ")]]
 
-    def run(batches):
-        for _, rows in arrow_groups(_sets(batches), ("comp", "lo", "hi"), ("key", "copies", "side", "set")):
+    def settle(batches):
+        for (comp, _), rows in arrow_groups(_sets(batches), ("comp", "block"), ("key", "copies", "n", "base", "own", "set")):
             rows = [r for k, r in enumerate(rows) if not k or r[0] != rows[k - 1][0]]
-            sets = [np.frombuffer(r[3], np.uint64) for r in rows]
-            sigs = np.stack([hashes.signature(s).astype("<u2") for s in sets])
-            i, j = _pairs(sigs, rows, 2, plan)
-            good = np.zeros(len(i), bool)
-            for k, (p, q) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-                a, b = (sets[p], sets[q]) if len(sets[p]) < len(sets[q]) else (sets[q], sets[p])
-                if len(a) < threshold * len(b):
-                    continue
-                at = np.searchsorted(b, a)
-                at[at == len(b)] = 0
-                common = np.count_nonzero(b[at] == a)
-                good[k] = common >= threshold * (len(a) + len(b) - common) - 1e-9
-            i, j = i[good], j[good]
-            copies = np.array([r[1] for r in rows], np.int64)
-            links = np.zeros(len(rows), np.int64)
-            np.add.at(links, i, copies[j])
-            np.add.at(links, j, copies[i])
-            low = forest(len(rows), i, j)
-            some = np.flatnonzero(links)
-            if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array([rows[k][0] for k in some], pa.binary()), pa.array([rows[low[k]][0] for k in some], pa.binary()), pa.array(links[some], pa.int64())], names=["a", "b", "links"])
-
-    dealt = in_blocks(members, "comp", F.col("n")).select("comp", "lo", "hi", "key", "copies", "side", "text")
-    return dealt.mapInArrow(run, "a binary, b binary, links long")
+            sets = [np.frombuffer(r[5], np.uint64) for r in rows]
+            sigs = [hashes.signature(s).astype("<u2") for s in sets]
+            if rows[0][2] <= BLOCK:
+                got = _linked([r[0] for r in rows], [r[1] for r in rows], *_verified_pairs(sets, np.stack(sigs)))
+                if got is not None:
+                    yield pa.RecordBatch.from_arrays([*got.columns, *[pa.nulls(got.num_rows, k) for k in kinds]], names=names)
+                continue
+            base = sets[0] if rows[0][0] == rows[0][3] else np.zeros(0, np.uint64)
+            out = []
+            for (key, copies, n, _, own, _), s, sig in zip(rows, sets, sigs, strict=True):
+                if own:
+                    missing = len(base) - np.count_nonzero(np.isin(base, s, assume_unique=True))
+                    out.append((comp, n, key, copies, len(s), len(base), missing, np.setxor1d(base, s, assume_unique=True).tobytes(), sig.tobytes()))
+            if out:
+                cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(len(out), k) for k in (pa.binary(), pa.binary(), pa.int64())], *cols], names=names)
+
+    def _verified_pairs(sets, sigs):
+        i, j = surviving(sigs, sigs, plan, True)
+        good = np.zeros(len(i), bool)
+        for k, (p, q) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+            a, b = (sets[p], sets[q]) if len(sets[p]) < len(sets[q]) else (sets[q], sets[p])
+            if len(a) < threshold * len(b):
+                continue
+            at = np.searchsorted(b, a)
+            at[at == len(b)] = 0
+            common = np.count_nonzero(b[at] == a)
+            good[k] = common >= threshold * (len(a) + len(b) - common) - 1e-9
+        return i[good], j[good]
+
+    def compare(batches):
+        for _, rows in arrow_groups(batches, ("comp", "lo", "hi"), ("key", "copies", "side", "size", "core", "missing", "delta", "sig")):
+            i, j = _pairs(np.frombuffer(b"".join(r[7] for r in rows), "<u2").reshape(len(rows), -1), rows, 2, plan)
+            if not len(i):
+                continue
+            size, missing = (np.array([r[k] for r in rows], np.int64) for k in (3, 5))
+            (left, at_i), (right, at_j) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
+            delta = lambda which: [np.frombuffer(rows[k][6], np.uint64) for k in which]
+            common = rows[0][4] - missing[i] - missing[j] + common_counts(delta(left), delta(right))[at_i, at_j]
+            good = common >= threshold * (size[i] + size[j] - common) - 1e-9
+            got = _linked([r[0] for r in rows], [r[1] for r in rows], i[good], j[good])
+            if got is not None:
+                yield got
+
+    kinds = [members.select("comp").limit(0).toArrow().schema.field(0).type, pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.binary(), pa.binary()]
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("key"), blocks).cast("int")
+    leads = (F.col("key") == F.col("base")) & (F.col("n") > BLOCK)
+    dealt = members.withColumn("mine", mine).withColumn("block", F.explode(F.when(leads, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("mine"))))
+    dealt = dealt.select("comp", "block", "n", "base", "key", "copies", (F.col("mine") == F.col("block")).alias("own"), "text")
+    dealt = dealt.repartition("comp", "block").sortWithinPartitions("comp", "block", (F.col("key") != F.col("base")).cast("int"), "key")
+    settled = written(dealt.mapInArrow(settle, f"a binary, b binary, links long, {facts}"), "settled")
+    large = in_blocks(settled.filter("key is not null").drop("a", "b", "links"), "comp", F.col("n"))
+    large = large.select("comp", "lo", "hi", "key", "copies", "side", "size", "core", "missing", "delta", "sig").mapInArrow(compare, "a binary, b binary, links long")
+    return settled.filter("a is not null").select("a", "b", "links").unionByName(large)
 
 
 def _sets(batches):
@@ -233,7 +347,7 @@ def linked(docs: DataFrame, threshold: float = SIMILAR, tolerance: float = TOLER
     classes = sketch.filter(has_key).groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("head"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
     classes = written(classes, "classes")
     groups = written(components(candidates(classes.select("key", "sig"), threshold, tolerance, banding)), "groups")
-    sizes = written(groups.groupBy("comp").agg(F.count("*").alias("n")), "sizes")
+    sizes = written(groups.groupBy("comp").agg(F.count("*").alias("n"), F.min("node").alias("base")), "sizes")
     members = hot_join(groups.withColumnRenamed("node", "key"), sizes, "comp", "n")
     members = written(members.join(classes.select("key", F.col("head.doc_id").alias("copy_id"), "copies"), "key"), "members")
     texts = known_only(docs.filter("doc_id is not null").select(F.col("doc_id").alias("copy_id"), text_of(docs).alias("text")), members, "copy_id")

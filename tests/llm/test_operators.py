@@ -275,6 +275,49 @@ def test_pruning_keeps_what_reaches_the_threshold():
         assert sum(math.comb(k, j) * 0.8**j * 0.2 ** (k - j) for j in range(m)) < 1e-4
 
 
+def test_common_counts(monkeypatch):
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(ngramjoin, "WIDE", 7)
+    rnd = random.Random(5)
+    left, right = ([np.array(sorted(rnd.sample(range(60), rnd.choice([0, 1, 20, 60]))), np.uint64) for _ in range(n)] for n in (9, 4))
+    assert ngramjoin.common_counts(left, right).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in right] for a in left]
+    assert ngramjoin.common_counts([], right).shape == (0, 4) and ngramjoin.common_counts(left[:0], []).shape == (0, 0)
+
+
+def test_a_large_group_of_unlike_fillings_is_exact(spark, monkeypatch):
+    """More classes than a block in one component, of similarities on both sides of the threshold, against every pair; equal
+    texts, one id twice, and a second template among them."""
+    import random
+
+    monkeypatch.setattr(ngramjoin, "BLOCK", 32)
+    rnd = random.Random(8)
+    templates = [[f"{p}{k}" for k in range(150)] for p in "tu"]
+
+    def filled(i):
+        w = list(templates[i % 5 == 0])
+        for at in rnd.sample(range(0, 150, 10), rnd.choice([0, 1, 1, 2, 3, 4])):
+            w[at] = f"f{rnd.randrange(40)}"
+        return " ".join(w)
+
+    rows = [(i, filled(i)) for i in range(420)]
+    rows += [(7, rows[200][1]), (7, filled(1)), (1000, rows[9][1])]
+    want = sorted((i, c, n) for i, _, c, n in similar(rows))
+    links = [n for _, _, n in want]
+    assert min(links) < 150 < max(links)  # not all of a template are linked with each other
+    got = ngramjoin.similar_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in got.collect()) == want
+
+
+def test_three_thousand_texts_of_one_template(spark):
+    n = 3000
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.lit(f"t{k}") for k in range(60)], F.concat(F.lit("f"), "id"), *[F.lit(f"s{k}") for k in range(60)]).alias("text"))
+    got = ngramjoin.similar_classes(rows)
+    assert {(r["class_id"], r["n_links"], r["n"]) for r in got.groupBy("class_id", "n_links").agg(F.count("*").alias("n")).collect()} == {(0, n - 1, n)}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i != 20] + [(100, 5), (7, 7), (None, 1)], "a long, b long")
     got = {r["node"]: r["comp"] for r in components(edges).collect()}
