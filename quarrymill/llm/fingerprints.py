@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from .common import packed, shuffle_parts, small_batches, unpacked
 from .ngramjoin import Banding, digest, linked
@@ -68,11 +69,13 @@ def beside_next(docs: DataFrame, size: int = SIZE, near: DataFrame | None = None
 
     The edited text has the last floor(n/2) code points replaced by the first as many (or all) of the next document in
     descending order of doc_id; after the last comes the first. A null text is empty, a null doc_id comes last, rows with one
-    id are ordered by a hash of the text; ids are long integers. Documents are range-partitioned by id once; only the first
+    id are ordered by a hash of the text; ids are integers, others are a TypeError. Documents are range-partitioned by id once; only the first
     document of each range, which the range above needs as its last successor, goes to two tasks.
 
     With ``near``, the result of near_duplicates, class_id and n_links are those of it; else each document is its own class.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        raise TypeError(f"doc_id has to be an integer, not {docs.schema['doc_id'].dataType.simpleString()}")
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id"), F.lit(LOWEST)).alias("_at"), packed(F.coalesce(F.col("text"), F.lit(""))).alias("text"))

@@ -357,6 +357,13 @@ def test_fingerprint_estimates(spark):
     assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in whole} == want and len(whole) == len(rows)
 
 
+def test_fingerprints_want_integer_ids(spark):
+    rows = spark.createDataFrame([(2, "a b"), (1, "c d")], "doc_id int, text string")
+    assert {r["doc_id"] for r in fingerprints.beside_next(rows).collect()} == {1, 2}
+    with pytest.raises(TypeError, match="string"):
+        fingerprints.beside_next(rows.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
 def test_no_link_is_lost_beside_an_unlike_head(spark):
     """Documents that share buckets with one of least id that is like none of them, interleaved with another group."""
     import random
