@@ -66,13 +66,13 @@ def classify(title: Column, *texts: Column) -> Column:
     """The first type with a word in the title, else the first with a word in all texts, else ``other``."""
     blob = F.lower(F.concat_ws(" ", title, *texts))
     head = F.lower(F.coalesce(title, F.lit("")))
-    tries = [(b.rlike(any_word(words)), F.lit(kind)) for b in (head, blob) for kind, words in rules.TYPE_WORDS.items()]
-    return first_of(tries, F.lit("other"))
+    tries = lambda b: first_of([(b.rlike(any_word(words)), F.lit(kind)) for kind, words in rules.TYPE_WORDS.items()])
+    return F.coalesce(let(head, tries), let(blob, tries), F.lit("other"))
 
 
 def language_tags(*texts: Column) -> Column:
     blob = F.lower(F.concat_ws(" ", *texts))
-    return F.array_compact(F.array(*[F.when(blob.rlike(any_word(words)), F.lit(f"lang:{code}")) for code, words in rules.LANGUAGE_WORDS.items()]))
+    return let(blob, lambda b: F.array_compact(F.array(*[F.when(b.rlike(any_word(words)), F.lit(f"lang:{code}")) for code, words in rules.LANGUAGE_WORDS.items()])))
 
 
 def is_latin(title: Column) -> Column:
@@ -116,13 +116,17 @@ def parse_location(address: Column) -> Column:
     rest = F.regexp_replace(F.regexp_replace(address, "(?i)台灣|臺灣|Taiwan", ""), any_word(rules.ALL_CITIES), "")
     fits = lambda d: ~d.isin(rules.NO_DISTRICTS) & ~d.rlike(f"({any_word(rules.NO_DISTRICT_ENDS)})$")
     general = F.get(F.filter(F.regexp_extract_all(rest, F.lit("([一-鿿]{2,3}區)"), 1), fits), F.lit(0))
-    english = first_of([(address.rlike(_district_en(en)), F.lit(zh)) for zh, en in [*rules.TAIPEI.items(), *rules.NEW_TAIPEI.items(), *[(z, e) for e, z in rules.SECOND_NAMES.items()]]])
-    district = F.coalesce(known, general, english)
+    # each English pattern ends in "Dist", so other addresses need none of them
+    english = F.when(address.rlike("(?i)dist"), first_of([(address.rlike(_district_en(en)), F.lit(zh)) for zh, en in [*rules.TAIPEI.items(), *rules.NEW_TAIPEI.items(), *[(z, e) for e, z in rules.SECOND_NAMES.items()]]]))
     token = F.regexp_extract(address, f"({_home_token()})", 1)
     alone = F.when(token != "", F.when(token.rlike("(?i)^(新北|New)"), F.lit("新北市")).otherwise(F.lit("臺北市")))
-    found = F.coalesce(city, F.when(district.isNotNull(), city_of(district, address)).otherwise(alone))
     some = F.coalesce(address != "", F.lit(False))
-    return F.struct(F.when(some, found).alias("city"), F.when(some, district).alias("district"))
+
+    def both(district: Column) -> Column:
+        found = F.coalesce(city, F.when(district.isNotNull(), city_of(district, address)).otherwise(alone))
+        return F.struct(F.when(some, found).alias("city"), F.when(some, district).alias("district"))
+
+    return let(F.coalesce(known, general, english), both)
 
 
 def outside_area(city: Column, address: Column) -> Column:
@@ -140,12 +144,16 @@ def _plain(c: Column) -> Column:
 
 def place_lookup(venue: Column) -> Column:
     """struct(city, district) of a venue's name: a city elsewhere that it names, the first known place in it, its city."""
-    plain = _plain(venue)
     here = ["臺北市", "台北市", "新北市"]
-    cases = [(venue.contains(c), c.replace("台", "臺"), None) for c in rules.PLACE_CITIES if c not in here]
-    cases += [(plain.contains(re.sub(r"[\s.\-_,']+", "", name).lower()), city, district) for name, city, district in rules.PLACES]
-    cases += [(venue.contains(c), c.replace("台", "臺"), None) for c in here]
-    return F.struct(first_of([(c, F.lit(x)) for c, x, _ in cases]).alias("city"), first_of([(c, F.lit(d).cast("string")) for c, _, d in cases]).alias("district"))
+
+    def of(plain: Column) -> Column:
+        cases = [(venue.contains(c), c.replace("台", "臺"), None) for c in rules.PLACE_CITIES if c not in here]
+        cases += [(plain.contains(re.sub(r"[\s.\-_,']+", "", name).lower()), city, district) for name, city, district in rules.PLACES]
+        cases += [(venue.contains(c), c.replace("台", "臺"), None) for c in here]
+        place = lambda city, district: F.struct(F.lit(city).cast("string").alias("city"), F.lit(district).cast("string").alias("district"))
+        return first_of([(c, place(x, d)) for c, x, d in cases], place(None, None))
+
+    return let(_plain(venue), of)
 
 
 def clean_venue(venue: Column) -> Column:
@@ -163,7 +171,7 @@ def clean_venue(venue: Column) -> Column:
 def detect_free(*texts: Column) -> Column:
     """True if a text says free, false if it names a price, else null."""
     blob = F.lower(F.concat_ws(" ", *texts))
-    return F.when(blob.rlike(any_word(rules.FREE_WORDS)), F.lit(True)).when(blob.rlike(any_word(rules.PAID_WORDS)), F.lit(False))
+    return let(blob, lambda b: F.when(b.rlike(any_word(rules.FREE_WORDS)), F.lit(True)).when(b.rlike(any_word(rules.PAID_WORDS)), F.lit(False)))
 
 
 def strip_html(text: Column, limit: int = 500) -> Column:

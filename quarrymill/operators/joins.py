@@ -20,6 +20,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, each: int = 8) -> DataFrame:
+    """``df`` in so many partitions for each core: a small file is one task, however much work each of its rows makes."""
+    return df.repartition(each * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def skewed_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """``big`` joined (inner or left) with ``small``, of which each key has few rows. The hot keys of ``big`` are counted first;
     their rows of ``small`` are broadcast, so those of ``big`` stay where they are. The other keys go by shuffle. Rows with a null

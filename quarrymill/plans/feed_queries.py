@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
+from ..operators.joins import spread
 from ..sources import feeds, tables
 from ..streaming import jobs
 from .adapters import LISTINGS_CTE, listings, read
@@ -120,14 +121,14 @@ def from_markup(nodes):
 
 @R.add("s5_p12_p14_jsonld_graph", MARKUP_SQL)
 def s5(spark, sf):
-    rows = marked_up(listings(spark, sf), lambda n: F.array(F.struct(F.lit("WebPage").alias("@type"), F.array(n).alias("@graph")))).select("uid", "html")
+    rows = marked_up(spread(listings(spark, sf)), lambda n: F.array(F.struct(F.lit("WebPage").alias("@type"), F.array(n).alias("@graph")))).select("uid", "html")
     nodes = feeds.events_in(feeds.jsonld_blocks(rows)).withColumn("node", F.parse_json("node"))
     return from_markup(nodes)
 
 
 @R.add("p13_itemlist", MARKUP_SQL)
 def p13(spark, sf):
-    rows = marked_up(listings(spark, sf), lambda n: F.struct(F.lit("ItemList").alias("@type"), F.array(F.struct(F.lit("ListItem").alias("@type"), n.alias("item"))).alias("itemListElement"))).select("uid", "html")
+    rows = marked_up(spread(listings(spark, sf)), lambda n: F.struct(F.lit("ItemList").alias("@type"), F.array(F.struct(F.lit("ListItem").alias("@type"), n.alias("item"))).alias("itemListElement"))).select("uid", "html")
     return from_markup(feeds.listed_events(feeds.jsonld_blocks(rows)))
 
 

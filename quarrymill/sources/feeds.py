@@ -16,8 +16,8 @@ BLOCK = r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</scrip
 
 def jsonld_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
     """``pages`` with ``block`` (variant), a row for each JSON-LD block; blocks that aren't JSON are dropped."""
-    rows = pages.withColumn("_raw", F.explode(F.regexp_extract_all(html, F.lit(BLOCK), 1)))
-    return rows.withColumn("block", F.try_parse_json(F.trim("_raw"))).filter("block is not null").drop("_raw")
+    # parsed within the generator, which filters don't pass: else each filter on the block would parse it again
+    return pages.withColumn("block", F.explode_outer(F.transform(F.regexp_extract_all(html, F.lit(BLOCK), 1), lambda x: F.try_parse_json(F.trim(x))))).filter("block is not null")
 
 
 def _is_event(kind) -> bool:
@@ -46,9 +46,9 @@ def events_in(blocks: DataFrame) -> DataFrame:
 def listed_events(blocks: DataFrame) -> DataFrame:
     """``blocks`` with ``pos`` and ``node`` (variant): the Events of ItemLists, wrapped in a ListItem or bare."""
     lists = blocks.filter(F.try_variant_get("block", "$['@type']", "string") == "ItemList")
-    items = lists.select("*", F.posexplode(F.try_variant_get("block", "$.itemListElement", "array<variant>")).alias("pos", "item"))
-    node = F.coalesce(F.try_variant_get("item", "$.item", "variant"), F.col("item"))
-    return items.withColumn("node", node).filter(F.try_variant_get("node", "$['@type']", "string").endswith("Event")).drop("item")
+    node = lambda x: F.coalesce(F.try_variant_get(x, "$.item", "variant"), x)
+    items = lists.select("*", F.posexplode_outer(F.transform(F.try_variant_get("block", "$.itemListElement", "array<variant>"), node)).alias("pos", "node"))
+    return items.filter(F.try_variant_get("node", "$['@type']", "string").endswith("Event"))
 
 
 def _text(node: str, path: str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.operators import documents as D
 from quarrymill.operators import joins as J
+from quarrymill.sources import feeds
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
@@ -90,3 +91,18 @@ def test_many_rules_and_a_hot_host(spark):
     got = {r["url"]: r["allowed"] for r in D.allowed(spark.createDataFrame(urls, "url string, host string, path string"), table).collect()}
     assert got == {u: plain(h, p) for u, h, p in urls}
     assert {True, False} == set(got.values())
+
+
+def test_markup_is_parsed_once_a_block(spark):
+    html = '<script type="application/ld+json">{"@type": "ItemList", "itemListElement": [{"item": {"@type": "MusicEvent", "name": "a"}}, {"@type": "Event", "name": "b"}, {"@type": "Place"}, 3, null]}</script><script type="application/ld+json">no</script>'
+    pages = spark.createDataFrame([(1, html), (2, "<p>none</p>"), (3, None), (4, html.replace("ItemList", "Other", 1))], "id int, html string")
+    nodes = feeds.listed_events(feeds.jsonld_blocks(pages))
+    got = sorted(map(tuple, nodes.select("id", "pos", F.try_variant_get("node", "$.name", "string")).collect()))
+    assert got == [(1, 0, "a"), (1, 1, "b")]
+    plan = nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("(?i)parse_?json", plan)) == 1, plan
+
+
+def test_phrases_of_a_small_file_are_many_tasks(spark):
+    rows = J.spread(spark.range(1000).coalesce(1))
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and rows.count() == 1000
