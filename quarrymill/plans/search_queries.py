@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import search as S
 from ..operators import guides as G
 from ..operators import search
+from ..operators.joins import spread
 from .adapters import NOW, REFRESHED_CTE, pick, read
 from .listing_queries import ORDER, _topic_sql, fresh
 from .registry import Registry
@@ -35,7 +36,7 @@ def _lit(v):
 @R.add("f9_topics_and_months", f"""WITH a(i, raw, when_key, free, english, in_person, city, tax, topic, tokens, guide_tokens, less) AS (VALUES {', '.join(f"({i}, {', '.join(map(_lit, r))})" for i, r in enumerate(ASKED))})
 SELECT c_custkey AS k, when_key, free, english, in_person, a.city, tax, topic, tokens, guide_tokens, less FROM customer JOIN a ON i = c_custkey % {len(ASKED)}""")
 def f9(spark, sf):
-    rows = spark.sql(f"SELECT c_custkey AS k, {pick([r[0] for r in ASKED], 'c_custkey')} AS raw FROM {{c}}", c=read(spark, sf, "customer"))
+    rows = spark.sql(f"SELECT c_custkey AS k, {pick([r[0] for r in ASKED], 'c_custkey')} AS raw FROM {{c}}", c=spread(read(spark, sf, "customer")))
     got = S.parse_queries(rows)
     first = F.get(F.transform("chips", lambda c: c["key"]), F.lit(0))
     less = F.coalesce(*[F.when(first == k, S.without_chip(F.col("raw"), F.col("chips"), k)) for k in ("when", "free", "english", "inPerson", "city")], "raw")
@@ -67,7 +68,7 @@ SELECT k AS q, uid, hit::INT AS hit, place::INT AS place FROM q JOIN r USING (w,
 def f10(spark, sf):
     at = {n: e.replace("k", "c_custkey").replace("//", "div") for n, e in _PARTS.items()}
     raw = f"concat_ws(' ', {pick([f for f, _ in FLAGS], at['g'])}, {pick([w for w, *_ in WORDS], at['t'])}, {pick([w for w, _ in WHENS], at['w'])})"
-    asked = S.parse_queries(spark.sql(f"SELECT c_custkey AS q, {raw} AS raw FROM {{c}}", c=read(spark, sf, "customer")))
+    asked = S.parse_queries(spark.sql(f"SELECT c_custkey AS q, {raw} AS raw FROM {{c}}", c=spread(read(spark, sf, "customer"))))
     return search.search_listings(fresh(spark, sf), asked, NOW)
 
 
