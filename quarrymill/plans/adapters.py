@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import spread, written
+
 #: The time at which the registered queries run.
 NOW = "1999-06-16T12:00:00+08:00"
 
@@ -68,9 +70,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The listings, with ``tags`` as an array."""
-    rows = spark.sql(LISTINGS, orders=read(spark, sf_dir, "orders"))
+def listings(spark: SparkSession, sf_dir: str, many: bool = False) -> DataFrame:
+    """The listings, with ``tags`` as an array. With ``many`` the orders are dealt out to many files first: a file of one row
+    group is one task, and filters on what is made of its rows pass a repartition that is not written."""
+    orders = read(spark, sf_dir, "orders")
+    if many:
+        orders = written(spread(orders.select("o_orderkey", "o_custkey", "o_orderdate")), "orders")
+    rows = spark.sql(LISTINGS, orders=orders)
     return rows.withColumn("tags", F.filter(F.split("tags_text", ","), lambda t: t != ""))
 
 

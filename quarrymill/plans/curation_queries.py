@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import listings as L
+from ..operators.joins import written
 from ..sources import exports, tables
 from .adapters import LISTINGS_CTE, NOW, REFRESHED_CTE, listings
 from .listing_queries import DELISTED, DROPPED, NEW, RUNS_CTE, TITLE_KEY, fresh
@@ -54,22 +55,22 @@ FOLDED = ["uid", "venue_conflict", "is_new", "first_seen", "city", "district", "
 
 @R.add("w4_greedy_groups", f"WITH RECURSIVE {LISTINGS_CTE}, {_TAGGED}, {merge_ctes('tagged')} SELECT one.uid, coalesce(rep_uid, one.uid) AS rep_uid, coalesce(clash, false) AS venue_conflict FROM one LEFT JOIN al USING (uid)")
 def w4_groups(spark, sf):
-    rows = located(listings(spark, sf)).withColumn("is_new", F.col("k") % 2 == 0)
+    rows = located(listings(spark, sf, many=True)).withColumn("is_new", F.col("k") % 2 == 0)
     return L.merge_duplicates(rows).select("uid", "rep_uid", "venue_conflict")
 
 
 @R.add("w4_fold_in_full", f"WITH RECURSIVE {LISTINGS_CTE}, {_TAGGED}, {merge_ctes('tagged')} SELECT {', '.join('clash AS venue_conflict' if c == 'venue_conflict' else c for c in FOLDED)}, tags, venues, also FROM out")
 def w4_fold(spark, sf):
-    rows = located(listings(spark, sf)).withColumn("is_new", F.col("k") % 2 == 0)
-    folded = L.fold_duplicates(L.merge_duplicates(rows))
+    rows = written(located(listings(spark, sf, many=True)).withColumn("is_new", F.col("k") % 2 == 0), "listings")
+    folded = L.fold_duplicates(written(L.merge_duplicates(rows), "merged"))
     also = F.array_join(F.transform("listed_at", lambda x: F.concat_ws(" ", x["uid"], x["source_platform"], x["source_url"])), "|")
     return folded.select(*FOLDED, F.array_join("tags", ",").alias("tags"), F.nullif(F.array_join("conflict_venues", "|"), F.lit("")).alias("venues"), F.nullif(also, F.lit("")).alias("also"))
 
 
 @R.add("j2_find_anything", f"WITH RECURSIVE {LISTINGS_CTE}, {_TAGGED}, {merge_ctes('tagged')} SELECT one.uid AS asked, coalesce(rep_uid, one.uid) AS uid FROM one LEFT JOIN al USING (uid)")
 def j2(spark, sf):
-    rows = located(listings(spark, sf)).withColumn("is_new", F.lit(False))
-    merged = L.merge_duplicates(rows)
+    rows = located(listings(spark, sf, many=True)).withColumn("is_new", F.lit(False))
+    merged = written(L.merge_duplicates(rows).select("uid", "rep_uid"), "merged")
     wanted = rows.select(F.col("uid").alias("asked"))
     return L.find(wanted, merged.filter("uid = rep_uid").select("uid"), merged.filter("uid <> rep_uid").select("uid", "rep_uid"))
 
@@ -79,7 +80,7 @@ CURATED = f"""{REFRESHED_CTE}, {RUNS_CTE}, {DELISTED}, {NEW}, {DROPPED}, sh AS (
 
 
 def curated(spark, sf):
-    return L.curated(located(fresh(spark, sf)), ["anncr"])
+    return L.curated(located(fresh(spark, sf, many=True)), ["anncr"])
 
 
 @R.add("c2_curated_listings", f"WITH RECURSIVE {CURATED} SELECT uid, status, starts_at, venue, city, lat, is_new, clash AS venue_conflict, n_also::INT AS n_also, tags FROM out")
@@ -92,7 +93,7 @@ def c2(spark, sf):
   UNION ALL SELECT 'rows', 'events', (SELECT count(*) FROM out)::VARCHAR UNION ALL SELECT 'rows', 'aliases', (SELECT count(*) FROM al WHERE uid <> rep_uid)::VARCHAR UNION ALL SELECT 'meta', 'latest_crawl', (SELECT max(run) FROM runs)::VARCHAR UNION ALL SELECT 'meta', 'generated_at', '{NOW}'""")
 def s6(spark, sf):
     """The export as a reader gets it back: listings, aliases, how many rows each has, and what is known of the run."""
-    rows = located(fresh(spark, sf))
+    rows = written(located(fresh(spark, sf, many=True)), "refreshed")
     folded, aliases = L.curated(rows, ["anncr"])
     path = tables.scratch(spark, "export")
     latest = L.runs_of(rows).agg(F.max("run_start").alias("at")).first()["at"]

@@ -8,6 +8,7 @@ from ..functions import normalize as N
 from ..functions import rules
 from ..operators import listings as L
 from ..operators import windows as W
+from ..operators.joins import written
 from .adapters import LISTINGS_CTE, NOW, REFRESHED_CTE, listings, read
 from .registry import Registry
 
@@ -15,8 +16,8 @@ R = Registry()
 COLS = "uid, status, starts_at, type, city"
 
 
-def fresh(spark, sf):
-    return L.refresh_status(listings(spark, sf), NOW)
+def fresh(spark, sf, many=False):
+    return L.refresh_status(listings(spark, sf, many), NOW)
 
 
 def out(df):
@@ -276,28 +277,28 @@ reps AS (SELECT t, m, arg_min(uid, (-c, coalesce(first_seen, '9999'), uid)) AS r
 
 @R.add("w4_merge_duplicates", f"WITH {MERGE_CTE} SELECT uid, coalesce(rep, uid) AS rep_uid FROM one LEFT JOIN reps ON one.t = reps.t AND one.m = reps.m AND one.starts_at IS NOT NULL")
 def w4(spark, sf):
-    rows = listings(spark, sf).withColumn("is_new", F.lit(False)).withColumn("city", F.lit(None).cast("string")).withColumn("district", F.lit(None).cast("string"))
+    rows = listings(spark, sf, many=True).withColumn("is_new", F.lit(False)).withColumn("city", F.lit(None).cast("string")).withColumn("district", F.lit(None).cast("string"))
     return L.merge_duplicates(rows).select("uid", "rep_uid")
 
 
 @R.add("w4_fold_with_conflicts")
 def w4b(spark, sf):
-    rows = listings(spark, sf).withColumn("is_new", F.col("k") % 2 == 0)
-    folded = L.fold_duplicates(L.merge_duplicates(rows))
+    rows = written(listings(spark, sf, many=True).withColumn("is_new", F.col("k") % 2 == 0), "listings")
+    folded = L.fold_duplicates(written(L.merge_duplicates(rows), "merged"))
     return folded.select("uid", "venue_conflict", "is_new", "first_seen", "city", "district", "organizer", "price_text", F.array_join("also_listed", ",").alias("also_listed"), F.array_join("tags", ",").alias("tags"))
 
 
 @R.add("j2_find_by_alias", f"WITH {MERGE_CTE}, al AS (SELECT uid, rep FROM one JOIN reps ON one.t = reps.t AND one.m = reps.m WHERE rep <> uid AND starts_at IS NOT NULL) SELECT uid AS asked, coalesce(rep, uid) AS uid FROM one LEFT JOIN al USING (uid) WHERE substr(uid, -1, 1) = '7'")
 def j2(spark, sf):
-    rows = listings(spark, sf).withColumn("city", F.lit(None).cast("string")).withColumn("district", F.lit(None).cast("string"))
-    merged = L.merge_duplicates(rows)
+    rows = listings(spark, sf, many=True).withColumn("city", F.lit(None).cast("string")).withColumn("district", F.lit(None).cast("string"))
+    merged = written(L.merge_duplicates(rows).select("uid", "rep_uid"), "merged")
     wanted = rows.filter(F.col("uid").endswith("7")).select(F.col("uid").alias("asked"))
     return L.find(wanted, merged.filter("uid = rep_uid").select("uid"), merged.filter("uid <> rep_uid").select("uid", "rep_uid"))
 
 
 @R.add("c2_curated_export")
 def c2(spark, sf):
-    folded, _ = L.curated(fresh(spark, sf), ["anncr"])
+    folded, _ = L.curated(fresh(spark, sf, many=True), ["anncr"])
     return folded.orderBy(F.coalesce("starts_at", F.lit(L.LATE)), "uid").select("uid", "status", "starts_at", "venue", "city", "is_new", "venue_conflict", F.size("also_listed").alias("n_also"))
 
 

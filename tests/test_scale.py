@@ -106,3 +106,15 @@ def test_markup_is_parsed_once_a_block(spark):
 def test_phrases_of_a_small_file_are_many_tasks(spark):
     rows = J.spread(spark.range(1000).coalesce(1))
     assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and rows.count() == 1000
+
+
+def test_listings_of_one_row_group_are_many_tasks(spark):
+    from pyspark.sql.functions import spark_partition_id
+
+    from quarrymill.plans import adapters
+
+    one, many = adapters.listings(spark, "/root/testdata/sf0.001"), adapters.listings(spark, "/root/testdata/sf0.001", many=True)
+    # a filter on what is made of the rows must not be worked out before they are dealt out
+    busy = lambda rows: rows.filter("starts_at is not null").select(spark_partition_id()).distinct().count()
+    assert busy(one) == 1 and busy(many) >= spark.sparkContext.defaultParallelism
+    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
