@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .normalize import first_of
+from .normalize import first_of, let
 
 #: Phrases for times, in the order in which they are tried; words without meaning for a search; synonyms.
 WHEN = [
@@ -157,6 +157,13 @@ def capped(hay: Column, token: Column, most: int = 3) -> Column:
     return F.least(F.lit(most), ((F.length(hay) - F.length(F.replace(hay, token, F.lit("")))) / F.length(token)).cast("int"))
 
 
+def counted(hay: Column, token: Column, most: int = 3) -> Column:
+    """What ``capped`` is for a text and a token that are not null or empty: the text is read up to that place only."""
+    step = lambda a, p: F.struct(F.when(p > 0, p + F.length(token)).otherwise(F.lit(0)).alias("at"), (a["n"] + (p > 0).cast("int")).alias("n"))
+    found = lambda a: let(F.when(a["at"] > 0, F.position(token, hay, a["at"])).otherwise(F.lit(0)), lambda p: step(a, p))
+    return F.aggregate(F.array_repeat(F.lit(0), most), F.struct(F.lit(1).alias("at"), F.lit(0).alias("n")), lambda a, _: found(a), lambda a: a["n"])
+
+
 def section_score(heading: Column, title: Column, keywords: Column, text: Column, faq: Column, tokens: Column) -> Column:
     """Weighted capped counts over the tokens, more for more different ones, a little more for a question."""
     one = lambda t: capped(heading, t) * 4 + capped(title, t) * 1.5 + capped(keywords, t) * 2 + capped(text, t)

@@ -123,6 +123,8 @@ def search_listings(events: DataFrame, asked: DataFrame, now: str, most: int = 2
     return skewed_join(asked.select("q", "ask"), written(both.select("ask", "uid", "hit", place.alias("place")), "found"), "ask").select("q", "uid", "hit", "place")
 
 
+#: A token of more phrases than this is a common one.
+COMMON = 64
 FIELDS = {"heading": 4.0, "title": 1.5, "keywords": 2.0, "text": 1.0}
 
 
@@ -131,7 +133,7 @@ def postings(index: DataFrame, tokens: DataFrame) -> DataFrame:
     three times, for the tokens and entries that meet. Fields are in lower case."""
     blob = F.concat_ws(" \u0001 ", *FIELDS)
     held = containing(index.select("entry", blob.alias("_blob")), tokens, "_blob", "entry")
-    return skewed_join(held, index, "entry").select("token", "entry", *[S.capped(F.col(f), F.col("token")).alias(f) for f in FIELDS])
+    return skewed_join(held, index, "entry").select("token", "entry", *[S.counted(F.col(f), F.col("token")).alias(f) for f in FIELDS])
 
 
 def search_sections(index: DataFrame, asked: DataFrame, most: int = 6) -> DataFrame:
@@ -140,21 +142,50 @@ def search_sections(index: DataFrame, asked: DataFrame, most: int = 6) -> DataFr
 
     ``index`` has entry (a number that gives the order of equal scores), slug, section_id, title, heading, keywords, text and faq. An entry's score
     is that of its tokens by field, more for more different ones and for a question. Of a section and of a question the
-    best entry stays. Phrases with equal tokens are answered once.
+    best entry stays. Phrases with equal tokens are answered once. An entry that has common tokens of a phrase only is not met with
+    each phrase that has them: the best of these are found once.
     """
     asked = written(asked.select("q", "tokens", F.sha1(F.to_json("tokens")).alias("ask")), "asked")
-    asks = written(asked.filter(F.size("tokens") > 0).dropDuplicates(["ask"]).select("ask", "tokens"), "asks")
+    asks = written(asked.filter(F.size("tokens") > 0).dropDuplicates(["ask"]).select("ask", "tokens").withColumn("no", F.monotonically_increasing_id()), "asks")
     index = written(index.select("entry", "slug", "section_id", "faq", *FIELDS), "sections")
     low = index.select("entry", *[F.lower(F.coalesce(f, F.lit(""))).alias(f) for f in FIELDS])
-    each = asks.select("ask", F.explode(F.array_distinct("tokens")).alias("token"), F.size(F.array_distinct("tokens")).alias("n"))
-    posts = written(postings(low, each.select("token")), "postings")
+    each = asks.select("no", F.explode(F.array_distinct("tokens")).alias("token"))
     weighed = sum((F.col(f) * w for f, w in FIELDS.items()), F.lit(0.0))
-    hits = beside(posts.select("token", "entry", weighed.alias("s")), each, "token").groupBy("ask", "entry").agg(F.sum("s").alias("s"), F.count("*").alias("matched"), F.first("n").alias("n"))
-    hits = hits.join(index.select("entry", "slug", "section_id", "heading", "faq"), "entry")
-    score = F.col("s") * (1 + F.col("matched") / F.col("n")) * F.when(F.col("faq"), 1.1).otherwise(1.0)
-    once = F.when(F.col("faq"), F.col("heading")).otherwise(F.lit(""))
-    best = hits.withColumn("score", score).groupBy("ask", "slug", "section_id", once.alias("of")).agg(F.min_by(F.struct("entry", "score"), F.struct(-F.col("score"), "entry")).alias("b"))
-    best = first_of_each(best.select("ask", "b.entry", "b.score"), ["ask"], [F.desc("score"), F.col("entry")], most, by="entry")
+    posts = written(postings(low, each.select("token")).select("token", "entry", weighed.alias("s")), "postings")
+
+    # tokens of many phrases apart from the others; what phrases have in common of either is summed once
+    common = each.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > COMMON).select("token", F.lit(True).alias("common"))
+    two = beside(each, written(common, "common"), "token", "left").groupBy("no").agg(
+        F.array_sort(F.collect_list(F.when(F.col("common"), F.col("token")))).alias("h"), F.array_sort(F.collect_list(F.when(F.col("common").isNull(), F.col("token")))).alias("r"), F.count("*").alias("n"))
+    two = written(two, "parts")
+    numbered = lambda c, to: written(two.filter(F.size(c) > 0).select(c).distinct().withColumn(to, F.monotonically_increasing_id()), to)
+    heads, rests = numbered("h", "head"), numbered("r", "rest")
+    two = written(two.join(heads, "h", "left").join(rests, "r", "left").select("no", "n", "head", "rest"), "parts")
+
+    def summed(sets: DataFrame, tokens: str, of: str) -> DataFrame:
+        one, more = sets.filter(F.size(tokens) == 1).select(of, F.col(tokens)[0].alias("token")), sets.filter(F.size(tokens) > 1).select(of, F.explode(tokens).alias("token"))
+        alone = beside(posts, one, "token").select(of, "entry", "s", F.lit(1).cast("long").alias("m"))
+        return written(alone.unionByName(beside(posts, more, "token").groupBy(of, "entry").agg(F.sum("s").alias("s"), F.count("*").alias("m"))), of)
+
+    about = index.select("entry", "slug", "section_id", "faq", F.when(F.col("faq"), F.col("heading")).otherwise(F.lit("")).alias("of"))
+    group = ["slug", "section_id", "of"]
+    scored = lambda s, m: s * (1 + m / F.col("n")) * F.when(F.col("faq"), 1.1).otherwise(1.0)
+    top = lambda rows, by: first_of_each(rows.groupBy(*by, *group).agg(F.min_by(F.struct("entry", "score"), F.struct(-F.col("score"), "entry")).alias("b")).select(*by, *group, "b.*"), by, [F.desc("score"), F.col("entry")], most, by="entry")
+
+    # entries with common tokens alone: only the best for all of these can be among a phrase's best, as other tokens add to a score
+    of_heads = summed(heads, "h", "head")
+    kinds = two.filter("head is not null").select("head", "n").distinct()
+    firsts = written(top(beside(of_heads, kinds, "head").join(about, "entry").withColumn("score", scored(F.col("s"), F.col("m"))), ["head", "n"]), "firsts")
+    least = firsts.groupBy("head", "n").agg(F.when(F.count("*") == most, F.min("score")).alias("least"))
+    shared = beside(two, firsts, ["head", "n"]).select("no", *group, "entry", "score")
+
+    # entries with others: all that reach the score of the last of these
+    known = of_heads.groupBy("entry").agg(F.map_from_entries(F.collect_list(F.struct("head", F.struct("s", "m")))).alias("known"))
+    wanted = two.filter("rest is not null").join(least, ["head", "n"], "left").groupBy("rest").agg(F.collect_list(F.struct("no", "n", "head", "least")).alias("a"))
+    own = summed(rests, "r", "rest").join(about.join(known, "entry", "left"), "entry")
+    own = beside(own, written(wanted, "wanted"), "rest").withColumn("a", F.explode("a")).select(*group, "entry", "faq", "s", "m", F.element_at("known", F.col("a.head")).alias("k"), "a.no", "a.n", "a.least")
+    own = own.withColumn("score", scored(F.col("s") + F.coalesce("k.s", F.lit(0.0)), F.col("m") + F.coalesce("k.m", F.lit(0)))).filter("least is null or score >= least")
+    best = top(shared.unionByName(own.select("no", *group, "entry", "score")), ["no"]).join(asks.select("no", "ask"), "no").select("ask", "entry", "score")
     place = F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("score"), "entry"))  # ``most`` rows
     best = best.withColumn("place", place).join(asks, "ask").join(index.select("entry", "slug", "section_id", "heading", "faq", F.coalesce("text", F.lit("")).alias("text")), "entry")
     best = best.select("ask", "place", "slug", "section_id", "heading", "faq", "score", S.snippet(F.col("text"), F.col("tokens")).alias("snippet"))

@@ -100,3 +100,17 @@ def test_guides_with_odd_blocks(spark):
     got = [(r["entry"], r["section_id"], r["heading"], r["text"], r["keywords"], r["faq"]) for r in G.guide_index(guides, spark.createDataFrame([], "id string, display string")).orderBy("entry").collect()]
     at = 2 * 10**12
     assert got == [(at, "one", "H", "a   b c", "w", False), (at + 10**6, "two", "", "", "w k", False), (at + 2 * 10**6, "three", "why", "", "w", True), (at + 2 * 10**6 + 1, "three", "Q", " t", "w", False)]
+
+
+def test_tokens_of_many_phrases_are_met_once(spark, monkeypatch):
+    for most in (0, 3, 12):
+        monkeypatch.setattr(search, "COMMON", most)  # all tokens common, some, few
+        test_sections_are_scored_like_row_by_row(spark)
+
+
+def test_counts_stop_at_the_third_place(spark):
+    from quarrymill.functions import search as S
+
+    rows = [("aaaa", "aa"), ("aaaaaaaaa", "a"), ("大安大安 大安大安", "大安"), ("x", "xy"), ("", "a"), ("🙂b🙂", "🙂"), ("abcabc", "bc")]
+    got = spark.createDataFrame(rows, "hay string, token string").select("hay", "token", S.counted(F.col("hay"), F.col("token")).alias("n")).collect()
+    assert [r["n"] for r in got] == [min(3, h.count(t)) for h, t in rows]
