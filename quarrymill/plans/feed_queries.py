@@ -166,7 +166,7 @@ def j16(spark, sf):
 
 @R.add("t1_streaming_upsert", f"WITH {UPSERT_CTE} SELECT uid, title, description, first_seen, last_seen, feedback FROM up")
 def t1(spark, sf):
-    stored, batch = stored_and_batch(spark, sf)
+    stored, batch = stored_and_batch(spark, sf, many=True)
     path = tables.scratch(spark, "arrivals")
     batch.write.parquet(path)
     stream = spark.readStream.schema(batch.schema).parquet(path)

@@ -156,8 +156,8 @@ def p19(spark, sf):
 STAMP = "1999-06-12T03:00:00+08:00"
 
 
-def stored_and_batch(spark, sf):
-    rows = listings(spark, sf)
+def stored_and_batch(spark, sf, many=False):
+    rows = listings(spark, sf, many)
     stored = rows.filter("k % 3 < 2").withColumn("content_hash", N.content_hash())
     batch = rows.filter("k % 3 > 0").withColumn("feedback", F.lit(None).cast("string")).withColumn("title", F.when(F.col("k") % 5 == 0, F.concat("title", F.lit(" (moved)"))).otherwise(F.col("title"))).withColumn("description", F.lit("rewritten")).withColumn("pos", F.col("k"))
     return stored, batch

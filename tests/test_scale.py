@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.operators import documents as D
 from quarrymill.operators import joins as J
+from quarrymill.operators import listings as L
 from quarrymill.operators import windows as W
 from quarrymill.sources import feeds
 
@@ -141,3 +142,12 @@ def test_lists_of_similar_listings_are_made_once_a_group(spark, monkeypatch):
         want |= {(uid, other, place) for place, (_, _, other) in enumerate(sorted(kept[:4]))}
     monkeypatch.setattr(W, "similar", lambda *_: pytest.fail("a row for each reader before the lists are made"))
     assert {(r["uid"], r["other"], r["place"]) for r in W.similar_list(df).collect()} == want and want
+
+
+def test_upsert_meets_the_stored_table_once(spark):
+    stored = listing(spark, {"uid": "a"}, {"uid": "b"}).withColumn("content_hash", F.lit("x"))
+    batch = listing(spark, {"uid": "b"}, {"uid": "c"}).withColumn("pos", F.lit(1))
+    out = L.upsert(stored, batch, "2024-01-01")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    assert {(r["uid"], r["outcome"]) for r in out.collect()} == {("a", "kept"), ("b", "updated"), ("c", "new")}
