@@ -21,7 +21,7 @@ SELECT = ", ".join(["uid", *BASIC])
 def s1(spark, sf):
     rows = listings(spark, sf)
     path = tables.scratch(spark, "listings")
-    tables.write_listings(rows.select("uid", *[f for f in tables.LISTING.names if f in rows.columns]).withColumn("unknown", F.lit(1)), path)
+    tables.write_listings(rows.select("uid", *[f for f in tables.LISTING.names if f in rows.columns]).withColumn("unknown", F.lit(1)), path, compression="gzip")
     return tables.read_listings(spark, path).select("uid", *BASIC)
 
 

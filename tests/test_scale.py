@@ -151,3 +151,17 @@ def test_upsert_meets_the_stored_table_once(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1
     assert {(r["uid"], r["outcome"]) for r in out.collect()} == {("a", "kept"), ("b", "updated"), ("c", "new")}
+
+
+def test_listings_table_is_written_small(spark, tmp_path, monkeypatch):
+    from quarrymill.plans import feed_queries as Q
+
+    from .conftest import SMALL
+
+    monkeypatch.setattr(Q.tables, "scratch", lambda _, name: str(tmp_path / name))
+    got = Q.s1(spark, SMALL)
+    data = [f for f in (tmp_path / "listings").iterdir() if f.name.startswith("part-")]
+    size = sum(f.stat().st_size for f in data)
+    Q.tables.write_listings(Q.listings(spark, SMALL), str(tmp_path / "plain"))
+    assert size * 5 < sum(f.stat().st_size for f in (tmp_path / "plain").iterdir() if f.name.startswith("part-"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, Q.tables.read_listings(spark, str(tmp_path / "plain")).select(*got.columns).collect()))
