@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .joins import beside, first_of_each
+from .joins import FEW, beside, first_of_each, written
 
 #: The key figures of a tax year, in the order in which they are shown.
 KEY_FIGURES = ["residency_days", "exemption_{year}", "salary_deduction_{year}", "standard_single_{year}", "nr_salary_rate", "nr_threshold_{year}", "special_talent_threshold"]
@@ -117,10 +117,19 @@ def discovered(pages: DataFrame, pattern: str, most: int = IDS_OF_KEYWORD) -> Da
     """(id, keywords): the listing ids that ``pattern`` (its first group) finds in the search pages (pos, keyword, page, html), and the
     keywords that found each, in order of pos. Of each keyword the first ``most`` different ids count, page by page.
 
-    Ids are reduced to their first place before they are ranked, and ranked by parts, so no keyword is one task's.
+    A page with ``most`` different ids is the last of its keyword that counts, so later pages are left out before their ids become
+    rows. Ids are reduced to their first place before they are ranked, and ranked by parts, so no keyword is one task's. The place is
+    one number where pages are numbers: its minimum is hashed, that of a struct would sort every row first.
     """
     ids = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(pattern), F.lit(1))
+    full = pages.filter(F.col("page").isNotNull() & (F.size(F.array_distinct(ids)) >= most))
+    full = written(full.groupBy("pos", "keyword").agg(F.min("page").alias("_last")), "discovered-last")
+    if full.count() <= FEW:
+        pages = pages.join(F.broadcast(full), ["pos", "keyword"], "left").filter(F.col("page").isNull() | F.col("_last").isNull() | (F.col("page") <= F.col("_last")))
     each = pages.select("pos", "keyword", "page", F.posexplode(ids).alias("at", "id"))
-    each = each.groupBy("pos", "keyword", "id").agg(F.min(F.struct("page", "at")).alias("first"))
+    place = F.struct("page", "at")
+    if isinstance(pages.schema["page"].dataType, T.IntegralType):  # a null comes first, as in a struct
+        place = F.coalesce(F.col("page").cast("decimal(20,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(10,0)") + F.col("at")
+    each = each.groupBy("pos", "keyword", "id").agg(F.min(place).alias("first"))
     hits = first_of_each(each, ["pos", "keyword"], [F.asc("first")], most, by="id")
     return hits.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "keyword"))), lambda x: x["keyword"]).alias("keywords"))

@@ -65,6 +65,38 @@ def test_keywords_in_order_and_what_they_find(spark):
     assert {r["id"]: r["keywords"] for r in got.collect()} == want
 
 
+def test_ids_of_pages_are_cut_at_the_last_page_that_counts_and_hashed(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for pos in range(12):  # pages of 0 to 40 ids; a few keywords have no page of 25, and some pages a number twice or none
+        for page in [*range(rng.randrange(30)), 3, (1 << 63) - 1, -(1 << 63), None]:
+            rows.append((pos, f"k{pos}", page, " ".join(f"w{rng.randrange(300)}" for _ in range(rng.randrange(50 if pos % 3 else 12)))))
+    rng.shuffle(rows)
+    want = {}
+    for pos in range(12):
+        first = {}
+        for _, _, page, html in (r for r in rows if r[0] == pos):
+            for at, x in enumerate(html.split()):
+                place = (page is not None, page or 0, at)
+                first[x] = min(first.get(x, place), place)
+        ranked = sorted(first, key=first.get)
+        want[pos] = [first[x] for x in ranked[:25]], first
+    df = spark.createDataFrame(rows, "pos int, keyword string, page long, html string").repartition(7)
+    for few in (lookups.FEW, 0):  # with and without the cut
+        monkeypatch.setattr(lookups, "FEW", few, raising=False)
+        out = lookups.discovered(df, r"(w\d+)")
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert not [x for x in plan.splitlines() if "SortAggregate" in x and "min(" in x], "every found id would be sorted"
+        got = {}
+        for r in out.collect():
+            for k in r["keywords"]:
+                got.setdefault(int(k[1:]), []).append(r["id"])
+        for pos, (places, first) in want.items():
+            assert sorted(first[x] for x in got.get(pos, [])) == places
+
+
 def test_lookups_of_nothing(spark):
     assert lookups.find_facts(spark.createDataFrame([], "id string, topics array<string>, year int"), spark.createDataFrame([], "q int, ids array<string>, topic string, year int")).count() == 0
     assert lookups.discovered(spark.createDataFrame([], "pos int, keyword string, page int, html string"), "(x)").count() == 0
