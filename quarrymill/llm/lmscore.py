@@ -44,8 +44,9 @@ SLOTS, PARTS = 1 << SLOT_BITS, (1 << SLOT_BITS) // PART + 1
 WEIGHTS = ((0.75, 0.3, 0.2), (0.2, 0.75, 0.2), (0.45, 0.1, 0.6), (0.15, 0.45, 0.5))
 STEP, PRIOR, SURE = 3.0, 0.2, 1.5
 #: Bytes of the first block of a text and of the longest; bytes of the texts that are coded, and counted, together; texts
-#: that are taken out of an Arrow batch at a time; logits are held in this part of one.
-FIRST, LONGEST, TOGETHER, COUNTED, TAKEN, FINE = 64, 1 << 13, 1 << 18, 1 << 20, 256, 1024
+#: that are taken out of an Arrow batch at a time; logits are held in this part of one; rows of counts, and parts of tables, that
+#: are handed to the JVM at a time.
+FIRST, LONGEST, TOGETHER, COUNTED, TAKEN, FINE, HANDED, HANDED_PARTS = 64, 1 << 13, 1 << 18, 1 << 18, 256, 1024, 1 << 14, 8
 #: Trees of their own for this many of the most frequent pairs of bytes before; other bytes use that of the byte before.
 OWN_TREES = 256
 #: Words of a phrase, on average; words of its context; first weight, bias and steps of the decision whether a phrase follows.
@@ -195,6 +196,12 @@ def _texts(batch):
         yield batch.slice(i, TAKEN)
 
 
+def _in_slices(batch, rows: int):
+    """``batch`` as batches of so many rows at most: the JVM holds each of them outside its heap."""
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
 _COUNTED = "token binary, train long, total long, triple int, context long, phrase long"
 
 
@@ -235,12 +242,12 @@ def _count_tokens(batches):
                     yield rows(len(once), train=np.ones(len(once), np.int64), context=context[once], phrase=phrase[once])
             for counts in (learnt, other):
                 if len(counts) > HELD:
-                    yield tokens(counts, counts is learnt)
+                    yield from _in_slices(tokens(counts, counts is learnt), HANDED)
     for counts in (learnt, other):
         if counts:
-            yield tokens(counts, counts is learnt)
+            yield from _in_slices(tokens(counts, counts is learnt), HANDED)
     if len(triples[0]):
-        yield rows(len(triples[0]), train=triples[1], triple=triples[0].astype(np.int32))
+        yield from _in_slices(rows(len(triples[0]), train=triples[1], triple=triples[0].astype(np.int32)), HANDED)
 
 
 def _pack(counts: np.ndarray) -> bytes:
@@ -282,12 +289,12 @@ def _count_decisions(trees: Trees):
         step = PART * 2
         for order in range(ORDERS):
             table, tables[order] = tables[order], None
-            rows = [(i, _pack(table[i * step : (i + 1) * step])) for i in range(PARTS) if table[i * step : (i + 1) * step].any()]
-            del table
-            if rows:
-                part, data = zip(*rows, strict=True)
-                n = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array([order * PARTS + p for p in part], pa.int32()), pa.array([task] * n, pa.int32()), pa.array(data, pa.binary())], names=["part", "task", "counts"])
+            for some in range(0, PARTS, HANDED_PARTS):
+                rows = [(i, _pack(table[i * step : (i + 1) * step])) for i in range(some, min(some + HANDED_PARTS, PARTS)) if table[i * step : (i + 1) * step].any()]
+                if rows:
+                    part, data = zip(*rows, strict=True)
+                    n = len(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array([order * PARTS + p for p in part], pa.int32()), pa.array([task] * n, pa.int32()), pa.array(data, pa.binary())], names=["part", "task", "counts"])
 
     return run
 
@@ -416,8 +423,9 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame, dict]:
     numbers, and the counts of 65,536 pairs of bytes and of 256 bytes after each of OWN_TREES pairs.
     """
     rows = docs.select(text_of(docs).alias("text"), "learn")
-    counted = rows.mapInArrow(_count_tokens, _COUNTED).groupBy("token", "triple", "context", "phrase").agg(F.sum("train").alias("train"), F.sum("total").alias("total"))
-    counted = written(counted, "lm-counted")
+    keys = ["token", "triple", "context", "phrase"]
+    counted = rows.mapInArrow(_count_tokens, _COUNTED).repartition(*keys)  # tasks have summed what they can: no second map of it in the JVM
+    counted = written(counted.groupBy(*keys).agg(F.sum("train").alias("train"), F.sum("total").alias("total")), "lm-counted")
     vocabulary = counted.filter("token is not null").select("token", "train", "total")
     seen = counted.filter("context is not null").groupBy("context").agg(F.max(F.struct("train", "phrase")).alias("top"), F.sum("train").alias("n"))
     known = written(seen.filter("top.train > 1").select("context", F.col("top.phrase").alias("guess"), F.col("top.train").alias("c"), "n"), "lm-phrases")

@@ -173,6 +173,34 @@ def test_lm_tells_texts_that_stand_twice_apart(spark):
     assert got[3]["score"] == pytest.approx(-total / math.log(10), rel=1e-6)
 
 
+def test_lm_counts_leave_a_task_in_small_batches(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    import pyspark
+
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(33, 3000, 400_000)))] + [" ".join(f"w{i}" for i in rng.integers(0, 60_000, 5000)) for _ in range(30)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts), pa.array([True] * len(texts))], names=["text", "learn"])]
+    rows = list(lmscore._count_tokens(batches))
+    assert len(rows) > 3 and max(b.num_rows for b in rows) <= 1 << 14
+    tokens = {}
+    for b in rows:
+        for token, n in zip(b.column("token").to_pylist(), b.column("train").to_pylist(), strict=True):
+            if token is not None:
+                tokens[token] = tokens.get(token, 0) + n
+    assert tokens == collections.Counter(x for t in texts for x in t.encode().lower().split())
+    triples = sum(n for b in rows for x, n in zip(b.column("triple").to_pylist(), b.column("train").to_pylist(), strict=True) if x is not None)
+    assert triples == sum(len(t.encode()) + 1 for t in texts)
+    monkeypatch.setattr(pyspark.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 0})()))
+    out = list(lmscore._count_decisions(lmscore.Trees(np.ones((256, 256), np.int64)))(b.select(["text"]) for b in batches))
+    assert max(b.num_rows for b in out) <= 8 and len({p for b in out for p in b.column("part").to_pylist()}) == sum(b.num_rows for b in out)
+    counts = np.zeros(lmscore.PART * 2, np.uint64)
+    for b in out:
+        for packed in b.column("counts").to_pylist():
+            lmscore._add(counts, packed)
+    assert counts.sum() == 3 * 8 * triples  # trees of equal counts have 8 decisions a byte
+
+
 # ---- 2: byte pairs
 
 
