@@ -84,7 +84,7 @@ def test_ids_of_pages_are_cut_at_the_last_page_that_counts_and_hashed(spark, mon
         ranked = sorted(first, key=first.get)
         want[pos] = [first[x] for x in ranked[:25]], first
     df = spark.createDataFrame(rows, "pos int, keyword string, page long, html string").repartition(7)
-    for few in (lookups.FEW, 0):  # with and without the cut
+    for few in (20_000, 0):  # with and without the cut
         monkeypatch.setattr(lookups, "FEW", few, raising=False)
         out = lookups.discovered(df, r"(w\d+)")
         plan = out._jdf.queryExecution().sparkPlan().toString()
