@@ -174,8 +174,7 @@ def section_score(heading: Column, title: Column, keywords: Column, text: Column
 
 
 def snippet(text: Column, tokens: Column, radius: int = 110) -> Column:
-    low = F.lower(text)
-    at = F.array_min(F.filter(F.transform(tokens, lambda t: F.position(t, low)), lambda p: p > 0)) - 1
+    at = let(F.lower(text), lambda low: F.array_min(F.filter(F.transform(tokens, lambda t: F.when(low.contains(t), F.position(t, low))), lambda p: p > 0))) - 1
     start = F.greatest(F.lit(0), at - radius)
     end = F.least(F.length(text), at + radius)
     dots = lambda c: F.when(c, F.lit("…")).otherwise(F.lit(""))

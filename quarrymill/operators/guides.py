@@ -18,8 +18,8 @@ BLOCK = (
 )
 GUIDE = f"slug string, pos long, title string, kind string, keywords array<string>, sources array<string>, related array<string>, sections array<struct<id:string,heading:string,keywords:array<string>,blocks:array<{BLOCK}>>>"
 FACT, LINKED = r"\{\{fact:([a-z0-9_]+)\}\}", r"\[\[guide:([a-z0-9-]+)(?:\|[^\]]*)?\]\]"
-#: What is marked in a text, in the order in which it is tried at a place.
-MARK = r"\*\*[^*]+\*\*|\[\[guide:[a-z0-9-]+(?:\|[^\]]*)?\]\]|\[[^\]]+\]\([^)\s]+\)|\{\{fact:[a-z0-9_]+\}\}|`[^`]+`"
+#: What is marked in a text, in the order in which it is tried at a place. Its first letter is looked at before all else, as few places have one.
+MARK = r"(?=[*\[{`])(?:\*\*[^*]+\*\*|\[\[guide:[a-z0-9-]+(?:\|[^\]]*)?\]\]|\[[^\]]+\]\([^)\s]+\)|\{\{fact:[a-z0-9_]+\}\}|`[^`]+`)"
 
 
 def plain(text: Column, names: Column, depth: int = 3) -> Column:
@@ -41,7 +41,7 @@ def plain(text: Column, names: Column, depth: int = 3) -> Column:
 
     between = F.split(text, MARK, -1)
     marks = F.transform(F.regexp_extract_all(text, F.lit(MARK), F.lit(0)), spelled)
-    return tidy(F.when(F.instr(text, "*") + F.instr(text, "[") + F.instr(text, "{") + F.instr(text, "`") == 0, text).otherwise(F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.get(marks, i), F.lit("")))), "")))
+    return tidy(F.when(F.instr(text, "*") + F.instr(text, "[") + F.instr(text, "{") + F.instr(text, "`") == 0, text).otherwise(F.array_join(F.zip_with(between, marks, lambda x, m: F.concat(x, F.coalesce(m, F.lit("")))), "")))
 
 
 def with_names(rows: DataFrame, facts: DataFrame, key: list[str], texts: Column) -> DataFrame:

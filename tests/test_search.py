@@ -114,3 +114,42 @@ def test_counts_stop_at_the_third_place(spark):
     rows = [("aaaa", "aa"), ("aaaaaaaaa", "a"), ("大安大安 大安大安", "大安"), ("x", "xy"), ("", "a"), ("🙂b🙂", "🙂"), ("abcabc", "bc")]
     got = spark.createDataFrame(rows, "hay string, token string").select("hay", "token", S.counted(F.col("hay"), F.col("token")).alias("n")).collect()
     assert [r["n"] for r in got] == [min(3, h.count(t)) for h, t in rows]
+
+
+def test_no_row_is_written_for_each_token_of_each_section(spark, monkeypatch):
+    rnd = random.Random(9)
+    words = ["a", "aa", "aaaa", "ererer", "rer", "er", "大安", "安", "🙂b", "b🙂b🙂b", "q\nr", "x" * 80, "e s", "ß", "İ", "and", "", "\t", "|", "s"]
+    make = lambda n: " ".join(rnd.choice(words) + rnd.choice(["", "", ".", "er"]) for _ in range(n))
+    index = [(i, f"g{i % 50}", f"s{i % 6}" if i % 11 else None, make(1), make(rnd.choice([1, 2, 8])) if i % 7 else None, make(2), make(rnd.choice([0, 9, 60])) if i % 13 else None, i % 3 == 0) for i in range(400)]
+    tokens = [w.lower() for w in words if w.strip(" ")] + ["ere", "rere", "🙂b🙂", "xx", "er e", "aa a", "r\nq", "zz", "a.", "大安 er", "\nr"]
+    asked = [(i * 10 + k, [t, *more]) for i, t in enumerate(tokens) for k, more in enumerate([[], ["topic"], ["er", "安"], ["|", "topic", "aa"], ["  "]]) if t not in more]
+    rows = {}
+    old = search.written
+
+    def counted(df, name):
+        out = old(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(search, "written", counted)
+    df = spark.createDataFrame(index, "entry long, slug string, section_id string, title string, heading string, keywords string, text string, faq boolean")
+    for common in (64, 20):
+        monkeypatch.setattr(search, "COMMON", common)
+        got = {}
+        for r in search.search_sections(df, spark.createDataFrame(asked, "q int, tokens array<string>")).collect():
+            got.setdefault(r["q"], []).append((r["place"], r["slug"], r["section_id"], r["heading"], round(r["score"], 6)))
+        pairs = 0
+        for q, of in asked:
+            scored = []
+            for entry, slug, sec, title, heading, keywords, text, faq in index:
+                per = [sum(w * min(3, (f or "").lower().count(t)) for f, w in ((heading, 4), (title, 1.5), (keywords, 2), (text, 1))) if t.strip() or "\t" in t else 0 for t in of]
+                pairs += sum(x > 0 for x in per)
+                if sum(per):
+                    scored.append((-sum(per) * (1 + sum(x > 0 for x in per) / len(of)) * (1.1 if faq else 1), entry, slug, sec, heading, faq))
+            want, seen = [], set()
+            for s, _, slug, sec, heading, faq in sorted(scored, key=lambda x: x[:2]):
+                if (k := (slug, sec, heading if faq else "")) not in seen and len(want) < 6:
+                    seen.add(k)
+                    want.append((len(want) + 1, slug, sec, heading, round(-s, 6)))
+            assert sorted(got.get(q, [])) == want, (q, of)
+        assert pairs > 10_000 and (common == 20 or max(rows.values()) <= 6 * len(asked)), rows  # a row for each pair before
