@@ -129,7 +129,7 @@ FIELDS = {"heading": 4.0, "title": 1.5, "keywords": 2.0, "text": 1.0}
 
 
 #: Letters of a block of entries (more, if one section has more).
-BLOCK = 8_000_000
+BLOCK = 4_000_000
 
 
 def _finder(most: int | None = None):
@@ -157,7 +157,7 @@ def _finder(most: int | None = None):
 
     def held(words, parts):
         """Arrays (word, part, times), by word: how often each of ``parts`` (strings without spaces) stands in each of ``words``. The
-        letters of all words go down the tree of parts together, a letter a step."""
+        letters of many words go down the tree of parts together, a letter a step."""
         import numpy as np
 
         edges, ends = {}, [-1]
@@ -171,31 +171,38 @@ def _finder(most: int | None = None):
             ends[node] = i
         known = np.sort(np.fromiter(edges, "int64", len(edges)))
         child, ends = np.array([edges[k] for k in known.tolist()], "int64"), np.array(ends)
-        letters = np.frombuffer("".join(words).encode("utf-32-le"), "uint32").astype("int64")
-        size = np.array([len(w) for w in words], "int64")
-        word, stop = np.repeat(np.arange(len(words)), size), np.repeat(np.cumsum(size), size)
-        at, node, depth, found = np.arange(len(letters)), np.zeros(len(letters), "int64"), 0, []
-        while len(at) and len(known):
-            key = node << 21 | letters[at + depth]
-            to = np.minimum(np.searchsorted(known, key), len(known) - 1)
-            on = known[to] == key
-            at, node, depth = at[on], child[to[on]], depth + 1
-            full = ends[node] >= 0
-            found.append((at[full], ends[node[full]]))
-            on = at + depth < stop[at]
-            at, node = at[on], node[on]
-        if not found:
-            return (np.zeros(0, "int64"),) * 3
-        at, part = map(np.concatenate, zip(*found))
-        key = word[at] * len(parts) + part
-        order = np.argsort(key, kind="stable")  # places of a part stay in order
-        key, at = key[order], at[order]
-        close = np.flatnonzero((np.diff(key) == 0) & (np.diff(at) < np.array([len(p) for p in parts])[key[1:] % len(parts)]))
-        some, times = np.unique(key, return_counts=True)
-        word, part = some // len(parts), some % len(parts)
-        for i in np.unique(np.searchsorted(some, key[close])).tolist():  # places that overlap
-            times[i] = words[word[i]].count(parts[part[i]])
-        return word, part, times
+        lengths = np.array([len(p) for p in parts], "int64")
+
+        def of_some(words):
+            letters = np.frombuffer("".join(words).encode("utf-32-le"), "uint32").astype("int64")
+            size = np.array([len(w) for w in words], "int64")
+            word, stop = np.repeat(np.arange(len(words)), size), np.repeat(np.cumsum(size), size)
+            at, node, depth, found = np.arange(len(letters)), np.zeros(len(letters), "int64"), 0, [(np.zeros(0, "int64"),) * 2]
+            while len(at) and len(known):
+                key = node << 21 | letters[at + depth]
+                to = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                on = known[to] == key
+                at, node, depth = at[on], child[to[on]], depth + 1
+                full = ends[node] >= 0
+                found.append((at[full], ends[node[full]]))
+                on = at + depth < stop[at]
+                at, node = at[on], node[on]
+            at, part = map(np.concatenate, zip(*found))
+            key = word[at] * max(1, len(parts)) + part
+            order = np.argsort(key, kind="stable")  # places of a part stay in order
+            key, at = key[order], at[order]
+            some, times = np.unique(key, return_counts=True)
+            word, part = some // max(1, len(parts)), some % max(1, len(parts))
+            close = key[1:][(np.diff(key) == 0) & (np.diff(at) < lengths[key[1:] % max(1, len(parts))])]
+            for i in np.unique(np.searchsorted(some, close)).tolist():  # places that overlap
+                times[i] = words[word[i]].count(parts[part[i]])
+            return word, part, times
+
+        out = [(np.zeros(0, "int64"),) * 3]
+        for first in range(0, len(words), 1 << 15):
+            word, part, times = of_some(words[first : first + (1 << 15)])
+            out.append((word + first, part, times))
+        return tuple(map(np.concatenate, zip(*out)))
 
     def sums(entries, sets):
         """Arrays (set, entry, s, m), by set, then entry. Each different word is looked at once, for the tokens' longest words."""
@@ -221,8 +228,8 @@ def _finder(most: int | None = None):
             both, n = np.unique(entry * n_words + ids[done : done + len(entry)], return_counts=True)
             done += len(entry)
             size = np.diff(begin)[both % n_words]
-            cuts = np.searchsorted(np.cumsum(size), np.arange(0, size.sum(), 1 << 20)[1:])
-            cuts = np.searchsorted(both, both[cuts] // n_words * n_words)  # parts of about a million pairs, cut between entries
+            cuts = np.searchsorted(np.cumsum(size), np.arange(0, size.sum(), 1 << 18)[1:])
+            cuts = np.searchsorted(both, both[cuts] // n_words * n_words)  # parts of some 260,000 pairs, cut between entries
             for own, m, k in zip(np.split(both, cuts), np.split(n, cuts), np.split(size, cuts)):
                 at = repeated(begin[own % n_words], k)
                 key, times_there = added(np.repeat(own // n_words, k) * len(parts) + part[at], np.repeat(m, k) * times[at])
